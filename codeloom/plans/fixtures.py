@@ -78,7 +78,7 @@ SELECT event_id,ts,'belief-'||user_id AS belief_id,CASE event_type WHEN 'purchas
 SELECT event_id,ts,'belief-'||user_id AS belief_id,CASE event_type WHEN 'purchase' THEN 'reinforce' WHEN 'click' THEN 'reinforce' WHEN 'view' THEN 'weaken' WHEN 'signup' THEN 'modify' ELSE CASE WHEN value>95 THEN 'delete' ELSE 'archive' END END AS action,CASE WHEN value>20 THEN 'text '||event_id ELSE NULL END AS new_content FROM events""",
     # trust
     "v_verifications": """
-SELECT event_id,ts,'schema'||(user_id%4) AS schema_id,'pattern'||(user_id%20) AS pattern_name,CASE WHEN event_type='error' AND event_id%7=0 THEN 'rejected' WHEN event_type='error' AND user_id%3=0 THEN 'corrected' ELSE 'verified' END AS result FROM events""",
+SELECT event_id,ts,'schema'||(user_id%4) AS schema_id,'pattern'||(user_id%20) AS pattern_name,CASE WHEN event_type='error' AND event_id%7=0 THEN 'rejected' WHEN event_type IN ('error','click') AND user_id%10=3 THEN 'corrected' ELSE 'verified' END AS result FROM events""",
     "v_pattern_versions": """
 SELECT DISTINCT 'schema'||(user_id%4)||'/pattern'||(user_id%20)||'/v'||(1+user_id%3) AS id,'schema'||(user_id%4) AS schema_id,'pattern'||(user_id%20) AS name,CAST(1+user_id%3 AS INT) AS version,'re'||(user_id%20) AS regex,user_id%3=2 AND user_id%20<>7 AS is_active FROM events""",
     "v_corrections": """
