@@ -118,3 +118,13 @@ def any_of(column: Column, patterns: Sequence[str], ignore_case: bool = True) ->
     """One alternation instead of one scan per pattern."""
     body = "|".join(f"(?:{p})" for p in patterns)
     return column.rlike(("(?i)" if ignore_case else "") + body)
+
+
+def each_item(df: DataFrame, keep: Sequence[Column | str], items: Column, name: str) -> DataFrame:
+    """One row per array element.
+
+    A plain explode makes the optimizer test the array for emptiness first, which
+    computes a costly array twice. The outer form has no such test; the null row
+    of an empty array is dropped afterwards.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())

@@ -7,6 +7,8 @@ view reads its base tables whole; CASE expressions only assign roles to rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,16 +128,22 @@ SELECT 'f'||l_orderkey||'_'||l_partkey||'_'||l_suppkey||'_'||l_linenumber AS fil
 }
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """Temporary views for the base tables and every fixture view."""
+def register(spark: SparkSession, sf_dir: str, text: str | None = None) -> None:
+    """Temporary views for the base tables, or for those a SQL text names."""
+    words = set(re.findall(r"\w+", text)) if text is not None else set(TABLES)
     for table in TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        if table in words:
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+
+
+def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    register(spark, sf_dir, text)
+    return spark.sql(text)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view over the tables in ``sf_dir``."""
-    register(spark, sf_dir)
-    return spark.sql(VIEWS[name])
+    return sql(spark, sf_dir, VIEWS[name])
 
 
 def ctes(*names: str) -> str:

@@ -100,7 +100,7 @@ pe AS (SELECT ex.*,rk.score,row_number() OVER (PARTITION BY ex.id ORDER BY posit
 SELECT id,position,example FROM pe WHERE pn<=5 ORDER BY score DESC,id,position LIMIT 5""", MEM)
 def _(spark, d):
     everything = _memory(spark, d)
-    examples = spark.sql(_EXAMPLES).groupBy("id", "position").agg(F.min("example").alias("example"))
+    examples = fx.sql(spark, d, _EXAMPLES).groupBy("id", "position").agg(F.min("example").alias("example"))
     return memory.find_examples(everything, examples, "retry supplier#000000003", 5)
 
 
@@ -114,8 +114,7 @@ def _vector_sql() -> str:
 
 @query("vector_search", _vector_sql())
 def _(spark, d):
-    fx.register(spark, d)
-    vectors = spark.table("embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    vectors = fx.sql(spark, d, "SELECT * FROM embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     return memory.vector_search(vectors, QUERY_VECTORS, 10, min_score=0.0)
 
 
@@ -187,7 +186,7 @@ WITH tx AS ({_CONFLICT}), kw(keyword) AS (VALUES ('regex'),('keyword')), av AS (
 SELECT tx.id,av.keyword,count(*) AS n_principles FROM tx JOIN av ON contains(lower(tx.content),av.keyword) GROUP BY 1,2""", P)
 def _(spark, d):
     principles = fx.principles(spark, d)
-    return memory.check_conflicts(spark.sql(_CONFLICT), principles).drop("confidence")
+    return memory.check_conflicts(fx.sql(spark, d, _CONFLICT), principles).drop("confidence")
 
 
 @query("avoid_principles", "SELECT p.id,kw.keyword FROM v_principles p JOIN (VALUES ('regex'),('keyword')) kw(keyword) ON contains(lower(p.content),kw.keyword) WHERE conv_pct>=70 AND (contains(lower(content),'never') OR contains(lower(content),'avoid'))", P)
@@ -320,7 +319,7 @@ UNION ALL SELECT schema_id||'::'||name||'::v'||(version+1),schema_id,name,versio
 def _(spark, d):
     versions = fx.view(spark, d, "v_pattern_versions")
     versions.createOrReplaceTempView("v_pattern_versions")
-    return trust.evolve_patterns(versions, spark.sql(_NEW))
+    return trust.evolve_patterns(versions, fx.sql(spark, d, _NEW))
 
 
 _MATCHED = """SELECT 'o'||o_orderkey AS path,CASE WHEN o_custkey%10=0 THEN NULL ELSE (o_orderkey%12)/10.0 END AS score,CASE WHEN o_custkey%3=0 THEN NULL ELSE (o_custkey%11)/10.0 END AS trust,o_orderstatus='F' AS is_evolved FROM orders"""
@@ -328,8 +327,7 @@ _MATCHED = """SELECT 'o'||o_orderkey AS path,CASE WHEN o_custkey%10=0 THEN NULL
 
 @query("route_tier", f"SELECT path,CASE WHEN score IS NULL THEN 3 WHEN trust>=0.9 AND is_evolved AND score>=0.4 THEN 1 WHEN score>=0.5 AND trust<0.7 THEN 2 ELSE 1 END AS tier FROM ({_MATCHED})")
 def _(spark, d):
-    fx.register(spark, d)
-    return trust.route_tier(spark.sql(_MATCHED)).select("path", "tier")
+    return trust.route_tier(fx.sql(spark, d, _MATCHED)).select("path", "tier")
 
 
 @query("enhancement_candidates", """SELECT id,CASE WHEN conf_pct<60 THEN 'low_confidence' ELSE 'missing_property' END AS reason FROM v_nodes WHERE type<>'File' AND (conf_pct<60 OR type IN ('Function','Class','Model') OR (type='ApiEndpoint' AND (method IS NULL OR path IS NULL)))""", ["v_nodes"])

@@ -55,7 +55,7 @@ FROM loc l JOIN v_nodes n ON n.file=l.file AND n.line_start<=l.line_to AND n.lin
 SELECT location_id,id,type,line_start,line_end FROM hit WHERE rn=1""", N)
 def _(spark, d):
     nodes = fx.nodes(spark, d)
-    return mesh.node_at_location(nodes, spark.sql(_LOCATIONS)).select("location_id", "id", "type", "line_start", "line_end")
+    return mesh.node_at_location(nodes, fx.sql(spark, d, _LOCATIONS)).select("location_id", "id", "type", "line_start", "line_end")
 
 
 @query("find_callers", """SELECT e.from_id AS caller_id,c.name AS caller_name,c.file AS caller_file,e.to_id AS target_id,t.name AS target_name
@@ -220,9 +220,8 @@ UNION ALL SELECT 'ar'||s_suppkey,'ApiResponse','r','proj'||s_nationkey,'svc/s'||
 
 
 def _doc_nodes(spark, d):
-    fx.nodes(spark, d)
-    spark.sql(fx.VIEWS["v_nodes"]).createOrReplaceTempView("v_nodes")
-    raw = spark.sql(_DOC_NODES)
+    fx.view(spark, d, "v_nodes").createOrReplaceTempView("v_nodes")
+    raw = fx.sql(spark, d, _DOC_NODES)
     bag = F.map_filter(F.create_map(F.lit("method"), F.col("method"), F.lit("path"), F.col("path"), F.lit("status"), F.col("status"),
                                     F.lit("location"), F.col("loc")), lambda _, v: v.isNotNull())
     return raw.select("id", "type", "name", "project_id", "file", "line_start", bag.alias("properties"))
@@ -278,8 +277,7 @@ _IMPORTS = "SELECT 'src/'||o_orderpriority||'/m'||o_custkey||'.py' AS file,'m'||
 WITH im AS (SELECT DISTINCT file,module FROM ({_IMPORTS})), fs AS (SELECT DISTINCT file FROM im), t AS (SELECT module,min(fs.file) AS target FROM (SELECT DISTINCT module FROM im) m JOIN fs ON contains(fs.file,m.module) GROUP BY 1)
 SELECT DISTINCT im.file,t.target,regexp_extract(im.file,'^(.*)/[^/]*$',1) AS directory FROM im JOIN t USING (module) WHERE im.file<>t.target""")
 def _(spark, d):
-    fx.register(spark, d)
-    return docs.module_dependencies(spark.sql(_IMPORTS))
+    return docs.module_dependencies(fx.sql(spark, d, _IMPORTS))
 
 
 @query("er_relations", "SELECT a.name AS from_model,b.name AS to_model,e.type FROM v_edges e JOIN v_nodes a ON a.id=e.from_id JOIN v_nodes b ON b.id=e.to_id WHERE e.type IN ('READS_FROM','WRITES_TO','QUERIES') AND a.type IN ('Model','Table') AND b.type IN ('Model','Table')", E)
@@ -320,8 +318,7 @@ _SCHEMA_TREE = ("SELECT 's'||p_partkey AS schema_id,CASE WHEN p_partkey>0 THEN '
 WITH RECURSIVE sc AS ({_SCHEMA_TREE[0]}), pt AS ({_SCHEMA_TREE[1]}), up AS (SELECT schema_id,schema_id AS anc,0 AS k FROM sc UNION SELECT u.schema_id,s.extends,u.k+1 FROM up u JOIN sc s ON s.schema_id=u.anc WHERE s.extends IS NOT NULL AND u.k<5)
 SELECT DISTINCT up.schema_id,pt.pattern FROM up JOIN pt ON pt.schema_id=up.anc""")
 def _(spark, d):
-    fx.register(spark, d)
-    return graph.inherited_patterns(*(spark.sql(s) for s in _SCHEMA_TREE))
+    return graph.inherited_patterns(*(fx.sql(spark, d, s) for s in _SCHEMA_TREE))
 
 
 _TOPICS = "SELECT CASE language WHEN 'python' THEN 'schema:fastapi' WHEN 'typescript' THEN 'schema:nextjs' ELSE 'schema:kotlin' END AS topic,corrections<2 AS success FROM v_file_results"
@@ -331,4 +328,4 @@ _ABOVE = ", ".join(f"('{t}','{a}')" for t, a in graph._all_topics())
 @query("topic_rollup", f"WITH t AS ({_TOPICS}), up(topic,above) AS (VALUES {_ABOVE}) SELECT above AS topic,count(*) AS n,count(*) FILTER (success) AS ok FROM t JOIN up USING (topic) GROUP BY 1", ["v_file_results"])
 def _(spark, d):
     fx.view(spark, d, "v_file_results").createOrReplaceTempView("v_file_results")
-    return graph.topic_rollup(spark.sql(_TOPICS))
+    return graph.topic_rollup(fx.sql(spark, d, _TOPICS))

@@ -129,7 +129,7 @@ l AS (SELECT project_id,commit_sha,row_number() OVER (PARTITION BY project_id OR
 SELECT h.project_id,head_sha,commit_sha AS last_sha FROM h LEFT JOIN l ON l.project_id=h.project_id AND rn=1 WHERE commit_sha IS NULL OR commit_sha<>head_sha""", ["v_runs"])
 def _(spark, d):
     runs = fx.view(spark, d, "v_runs")
-    heads = spark.sql("SELECT 'proj'||c_nationkey AS project_id,md5('c'||max(c_custkey)) AS head_sha FROM customer GROUP BY 1 UNION ALL SELECT 'fresh'||r_regionkey,'x' FROM region")
+    heads = fx.sql(spark, d, "SELECT 'proj'||c_nationkey AS project_id,md5('c'||max(c_custkey)) AS head_sha FROM customer GROUP BY 1 UNION ALL SELECT 'fresh'||r_regionkey,'x' FROM region")
     return review.needs_sync(heads, runs)
 
 
@@ -258,8 +258,7 @@ _BAG = "SELECT 'l'||s_suppkey AS id,'proj'||s_nationkey AS project_id,'f.py' AS
 
 @query("collect_property_references", f"SELECT id AS node_id,CASE k WHEN 'kafka_topic' THEN 'topic' ELSE 'api' END AS type,CASE k WHEN 'kafka_topic' THEN 'both' ELSE 'produce' END AS direction,v AS identifier,k AS source FROM ({_BAG}) WHERE k<>'colour'")
 def _(spark, d):
-    fx.register(spark, d)
-    nodes = spark.sql(_BAG).withColumn("properties", F.create_map("k", "v"))
+    nodes = fx.sql(spark, d, _BAG).withColumn("properties", F.create_map("k", "v"))
     return linking.collect_property_references(nodes).select("node_id", "type", "direction", "identifier", "source")
 
 
