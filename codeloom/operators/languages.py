@@ -60,43 +60,46 @@ SPECIAL_NAMES = {"gemfile": "ruby", "rakefile": "ruby", "podfile": "ruby", "pack
 NOT_CODE = ("yaml", "json", "markdown", "sql", "unknown")
 
 
-def base_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)/*$", 1)
-
-
-def extension(path: Column) -> Column:
-    """Ending with its dot; names that only start with a dot have none."""
-    return F.lower(F.regexp_extract(base_name(path), r"^.+(\.[^.]*)$", 1))
-
-
-def language_of(path: Column, content: Column) -> Column:
-    ending = extension(path)
-    by_ending = F.lit(None).cast("string")
-    for language, endings in ENDINGS.items():
-        by_ending = F.when(ending.isin(*endings), language).otherwise(by_ending)
-    first = F.lower(F.substring_index(content, "\n", 1))
-    by_shebang = F.lit(None).cast("string")
-    for language, names in reversed(SHEBANGS.items()):
-        by_shebang = F.when(first.rlike("|".join(names)), language).otherwise(by_shebang)
-    by_shebang = F.when(first.startswith("#!"), by_shebang)
-    scores = [
-        F.struct(sum((content.rlike(p).cast("int") for p in patterns), F.lit(0)).alias("score"),
-                 F.lit(-i).alias("order"), F.lit(language).alias("language"))
-        for i, (language, patterns) in enumerate(CONTENT.items())
-    ]
-    # Without a single hit this entry outranks the others, and has no language.
-    nothing = F.struct(F.lit(0).alias("score"), F.lit(1).alias("order"), F.lit(None).cast("string").alias("language"))
-    by_content = F.array_max(F.array(nothing, *scores))["language"]
-    special = F.lit(None).cast("string")
-    for name, language in SPECIAL_NAMES.items():
-        special = F.when(F.lower(base_name(path)) == name, language).otherwise(special)
-    # Later tests run only where the earlier ones found nothing.
-    return F.coalesce(by_ending, by_shebang, by_content, special, F.lit("unknown"))
+def text_literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _case(branches: list[tuple[str, str]]) -> str:
+    return "CASE " + " ".join(f"WHEN {test} THEN {value}" for test, value in branches) + " END"
+
+
+_BASE = "regexp_extract(path, '([^/]*)/*$', 1)"
+#: Ending with its dot; names that only start with a dot have none.
+_ENDING = f"lower(regexp_extract({_BASE}, {text_literal(r'^.+([.][^.]*)$')}, 1))"
+
+
+def _any(values: list[str]) -> str:
+    return "(" + ", ".join(text_literal(v) for v in values) + ")"
+
+
+def language_of() -> Column:
+    """Language from the columns path and content, as one SQL expression.
+
+    The many content tests sit inside a lambda: it is evaluated only for files
+    that nothing cheaper identified, and stays out of the generated method,
+    which they would push past the JVM's size limit.
+    """
+    by_ending = _case([(f"{_ENDING} IN {_any(endings)}", text_literal(k)) for k, endings in ENDINGS.items()])
+    first = "lower(substring_index(content, '\\n', 1))"
+    by_shebang = _case([(f"startswith({first}, '#!') AND {first} RLIKE {text_literal('|'.join(names))}", text_literal(k))
+                        for k, names in SHEBANGS.items()])
+    # Without a single hit the first entry outranks the others, and has no language.
+    scores = ["named_struct('score', 0, 'order', 1, 'language', CAST(NULL AS STRING))"] + [
+        f"named_struct('score', {' + '.join(f'CAST(c RLIKE {text_literal(p)} AS INT)' for p in rules)}, 'order', {-i}, 'language', {text_literal(k)})"
+        for i, (k, rules) in enumerate(CONTENT.items())]
+    by_content = f"element_at(transform(array(content), c -> array_max(array({', '.join(scores)})).language), 1)"
+    special = _case([(f"lower({_BASE}) = {text_literal(name)}", text_literal(k)) for name, k in SPECIAL_NAMES.items()])
+    return F.expr(f"coalesce({by_ending}, {by_shebang}, {by_content}, {special}, 'unknown')")
 
 
 def detect_language(files: DataFrame) -> DataFrame:
     """``files``: path, content."""
-    return files.withColumn("language", language_of(F.col("path"), F.col("content")))
+    return files.withColumn("language", language_of())
 
 
 def code_files_only(files: DataFrame) -> DataFrame:
@@ -113,22 +116,19 @@ def match_schemas(files: DataFrame, trust: dict[str, float] | None = None, schem
     trust = trust or {}
     scored = []
     for i, (name, (languages, boost, imports, globs, patterns)) in enumerate((schemas or SCHEMAS).items()):
-        points = F.lit(0.0)
-        for text in imports:
-            points = points + F.when(F.col("content").contains(text), boost).otherwise(0.0)
-        for glob in globs:
-            rule = glob.replace("*", ".*").replace("?", ".")
-            points = points + F.when(F.col("path").rlike(rule), boost * 0.5).otherwise(0.0)
-        for rule in patterns:
-            points = points + F.when(F.col("content").rlike(rule), boost * 0.3).otherwise(0.0)
-        if name in trust:
-            points = points * F.lit(0.5 + trust[name])
-        score = F.when(F.col("language").isin(*languages), points).otherwise(0.0)
-        scored.append(F.struct((-F.round(score, 9)).alias("_neg"), F.lit(i).alias("_order"), F.lit(name).alias("schema"),
-                               score.alias("score"), F.lit(trust.get(name)).cast("double").alias("trust")))
-    kept = F.filter(F.array_sort(F.array(*scored)), lambda s: s["score"] > 0)
-    return files.withColumn("schemas", F.transform(kept, lambda s: F.struct(s["schema"].alias("schema"), s["score"].alias("score"),
-                                                                            s["trust"].alias("trust"))))
+        points = [f"if(contains(f.content, {text_literal(t)}), {boost}D, 0D)" for t in imports]
+        points += [f"if(f.path RLIKE {text_literal(g.replace('*', '.*').replace('?', '.'))}, {boost * 0.5}D, 0D)" for g in globs]
+        points += [f"if(f.content RLIKE {text_literal(p)}, {boost * 0.3}D, 0D)" for p in patterns]
+        total = f"({' + '.join(points) or '0D'}) * {0.5 + trust[name] if name in trust else 1.0}D"
+        known = f"{trust[name]}D" if name in trust else "CAST(NULL AS DOUBLE)"
+        scored.append(f"named_struct('order', {i}, 'schema', {text_literal(name)}, "
+                      f"'score', if(f.language IN {_any(languages)}, {total}, 0D), 'trust', {known})")
+    ranked = (
+        f"array_sort(filter(array({', '.join(scored)}), s -> s.score > 0), (a, b) -> CASE WHEN round(a.score, 9) > round(b.score, 9) THEN -1 "
+        "WHEN round(a.score, 9) < round(b.score, 9) THEN 1 ELSE a.order - b.order END)"
+    )
+    one = f"transform(array(struct(path, content, language)), f -> transform({ranked}, s -> named_struct('schema', s.schema, 'score', s.score, 'trust', s.trust)))"
+    return files.withColumn("schemas", F.expr(f"element_at({one}, 1)"))
 
 
 def with_base_fallback(files: DataFrame, schemas: dict | None = None) -> DataFrame:

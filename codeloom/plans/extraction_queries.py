@@ -185,12 +185,13 @@ def _(spark, d):
     return default.join(nodes.select(F.col("id").alias("from_id"), F.col("file").alias("path")), "from_id").groupBy("path").agg(F.count("*").alias("n"))
 
 
-@query("extraction_confidence", """SELECT path,'base-java' AS schema,7 AS matches,1.0::DOUBLE AS confidence FROM v_sources WHERE false
-UNION ALL SELECT path,'base-python',3,round(least(1.0,(1.0/2+2*(3.0/4))/3+0.2),6)::DOUBLE FROM v_sources WHERE contains(path,'/bin/')""", S)
+#: Matches of the base Python patterns in the three Python forms of the corpus: filled captures over captures.
+@query("extraction_confidence", """SELECT path,'base-python' AS schema,CASE WHEN contains(path,'/bin/') THEN 2 WHEN contains(path,'/api/') THEN 4 ELSE 7 END AS matches,
+round(least(1.0,0.2+CASE WHEN contains(path,'/bin/') THEN (1.0/2+2.0/4)/2 WHEN contains(path,'/api/') THEN (2.0/2+2.0/2+2.0/2+2.0/4)/4 ELSE (1.0/2+2.0/2+2.0/2+3.0/4+3.0/4+2.0/4+3.0/3)/7 END),6)::DOUBLE AS confidence
+FROM v_sources WHERE regexp_matches(path,'(/bin/tool[0-9]+|[.]py)$')""", S)
 def _(spark, d):
-    found = extraction.find_matches(files(spark, d).filter(F.col("path").contains("/bin/")))
-    rows = extraction.extraction_confidence(found).select("path", "schema", F.col("matches").cast("int").alias("matches"), F.round("confidence", 6).alias("confidence"))
-    return rows
+    rows = extraction.extraction_confidence(extraction.find_matches(files(spark, d))).filter("schema='base-python'")
+    return rows.select("path", "schema", F.col("matches").cast("int").alias("matches"), F.round("confidence", 6).alias("confidence"))
 
 
 @query("verification_context", f"WITH {_LN} SELECT a.path,a.i AS line_start,string_agg(b.i||': '||b.l,chr(10) ORDER BY b.i) AS before FROM ln a JOIN ln b ON b.path=a.path AND b.i<a.i AND b.i>=a.i-10 WHERE a.language='java' AND starts_with(a.l,'public class') GROUP BY 1,2", S)
