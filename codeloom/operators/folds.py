@@ -72,8 +72,8 @@ def feedback_fold(beliefs: DataFrame, outcomes: DataFrame) -> DataFrame:
     ``beliefs``: id, conv_pct, usage_count. ``outcomes``: belief_id, event_id,
     ts, outcome.
     """
-    mapped = _events(outcomes, FEEDBACK_DELTAS, "outcome")
-    total = _runs(mapped, "belief_id")[-1].select(F.col("belief_id").alias("id"), "map")
+    mapped = composed(outcomes, FEEDBACK_DELTAS, "outcome")
+    total = mapped.select(F.col("belief_id").alias("id"), "map")
     uses = outcomes.groupBy(F.col("belief_id").alias("id")).agg(F.count("*").alias("_uses"))
     return (
         beliefs.select("id", "conv_pct", "usage_count").join(total, "id", "left").join(uses, "id", "left")
@@ -85,6 +85,22 @@ def feedback_fold(beliefs: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
 
 
+def composed(events: DataFrame, deltas: dict[str, int], kind: str) -> DataFrame:
+    """All events of each belief as one map."""
+    return _runs(_events(events, deltas, kind), "belief_id")[-1]
+
+
+def apply_log(beliefs: DataFrame, log: DataFrame) -> DataFrame:
+    """Beliefs after a log of maps (belief_id, map, uses, batch), in batch order."""
+    per = log.groupBy(F.col("belief_id").alias("id")).agg(
+        F.array_sort(F.collect_list(F.struct("batch", "map"))).alias("_maps"), F.sum("uses").alias("_uses"))
+    joined = beliefs.select("id", "conv_pct", "usage_count").join(per, "id", "left")
+    after = F.aggregate(F.coalesce("_maps", F.array().cast("array<struct<batch:int,map:struct<a:int,l:int,h:int>>>")),
+                        F.col("conv_pct"), lambda x, m: _apply(x, m["map"]))
+    return joined.select("id", after.cast("int").alias("conv_pct"),
+                         (F.col("usage_count") + F.coalesce("_uses", F.lit(0))).cast("bigint").alias("usage_count"))
+
+
 def feedback_states(beliefs: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Conviction before and after every single event.
 
@@ -151,8 +167,7 @@ def adjust_beliefs(beliefs: DataFrame, commands: DataFrame) -> DataFrame:
     """Beliefs after all commands; deleted ones are gone."""
     done = adjustment_status(beliefs, commands)
     applied = done.filter(F.col("status") == "updated")
-    mapped = _events(applied.filter(F.col("action").isin(*ADJUST_DELTAS)), ADJUST_DELTAS, "action")
-    total = _runs(mapped, "belief_id")[-1].select(F.col("belief_id").alias("id"), "map")
+    total = composed(applied.filter(F.col("action").isin(*ADJUST_DELTAS)), ADJUST_DELTAS, "action").select(F.col("belief_id").alias("id"), "map")
     text = applied.filter(F.col("action") == "modify").groupBy(F.col("belief_id").alias("id")).agg(
         F.max_by("new_content", F.struct("ts", "event_id")).alias("_text"))
     deleted = done.filter(F.col("status") == "deleted").select(F.col("belief_id").alias("id"))
