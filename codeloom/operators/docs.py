@@ -165,35 +165,40 @@ def functions_by_file(nodes: DataFrame, limit: int | None = None) -> DataFrame:
     return listing(sizes, ["project_id", "file"], limit)
 
 
+#: Piece lengths by which modules and file names meet, longest first.
+_PIECES = (8, 5, 3, 2, 1)
+
+
+def _pieces(text: Column, size: Column) -> Column:
+    """Distinct substrings of one length; none if the text is shorter."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
+
+
 def module_dependencies(imports: DataFrame) -> DataFrame:
     """File to imported file, where the import text lies inside a known file name.
 
     ``imports``: file, module. Only files that import something count as known,
-    the first by name wins. A module can only lie inside a file name that holds
-    its first three characters, so both sides meet on that trigram and the
-    containment test runs on those candidates alone. Shorter modules meet on
-    their whole text.
+    the first by name wins. A file name that contains a module contains every
+    piece of it, so each module waits under its rarest piece of the greatest
+    length it has, and the containment test runs on what meets there.
     """
     used = imports.select("file", "module").filter("module <> ''").distinct()
     files = used.select(F.col("file").alias("target")).distinct()
     modules = used.select("module").distinct()
-    long_modules = modules.filter(F.length("module") >= 3).withColumn("_gram", F.substring("module", 1, 3))
-    grams = files.withColumn(
-        "_gram",
-        F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("target") - 2, F.lit(1))),
-            lambda i: F.substring(F.col("target"), i, F.lit(3)),
-        ))),
-    )
-    found = grams.join(long_modules, "_gram").filter(F.col("target").contains(F.col("module")))
-    short = modules.filter(F.length("module") < 3)
-    short_grams = files.withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("target")))).select(
-        "target", F.explode(F.array(F.substring(F.col("target"), F.col("_i"), F.lit(1)),
-                                    F.substring(F.col("target"), F.col("_i"), F.lit(2)))).alias("module"))
-    found_short = short_grams.join(short, "module")
-    first = first_per_key(
-        found.select("module", "target").unionByName(found_short.select("module", "target")), ["module"], [F.col("target")]
-    )
+    spread = files.withColumn("_size", F.explode(F.array(*[F.lit(n) for n in _PIECES]))).select(
+        "target", "_size", F.explode(_pieces(F.col("target"), F.col("_size"))).alias("_piece"))
+    size = F.lit(_PIECES[-1])
+    for n in reversed(_PIECES):
+        size = F.when(F.length("module") >= n, n).otherwise(size)
+    asked = modules.withColumn("_size", size).select("module", F.explode(_pieces(F.col("module"), F.col("_size"))).alias("_piece"))
+    often = spread.groupBy("_piece").agg(F.count("*").alias("_n"))
+    # A piece no file name has rules its module out, so an inner join decides it.
+    wanted = asked.groupBy("module").agg(F.count("*").alias("_all")).join(
+        asked.join(often, "_piece").groupBy("module").agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"), F.count("*").alias("_some")), "module",
+    ).filter(F.col("_all") == F.col("_some")).select("module", "_piece")
+    found = spread.join(wanted, "_piece").filter(F.col("target").contains(F.col("module"))).select("module", "target")
+    first = first_per_key(found, ["module"], [F.col("target")])
     folder = F.when(F.col("file").contains("/"), F.regexp_extract("file", "^(.*)/[^/]*$", 1)).otherwise(".")
     return (
         used.join(first, "module").filter(F.col("file") != F.col("target"))

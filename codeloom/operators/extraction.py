@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.pattern_tables import PATTERNS, SCHEMAS
 from codeloom.functions.scalars import camel_case, snake_case
 from codeloom.functions.scaling import each_item
+from codeloom.session import cut_lineage
 
 CALLABLE = ("Function", "Method")
 BRACE_LANGUAGES = ("typescript", "javascript")
@@ -282,24 +283,29 @@ def _properties(captures: Column, pattern: Column, patterns: Sequence[tuple]) ->
     return F.transform_values(template, lambda _, ref: F.coalesce(F.try_element_at(captures, ref), ref))
 
 
+def file_nodes(files: DataFrame) -> DataFrame:
+    """One node per file, spanning all of its lines; needs no matching."""
+    return files.select(
+        node_id("project_id", "path", F.lit("File"), "path", F.lit("1")).alias("id"), F.lit("File").alias("type"), F.col("path").alias("name"),
+        "project_id", F.col("path").alias("file"), F.lit(1).alias("line_start"), F.size(F.split("content", "\n")).alias("line_end"),
+        F.lit(1.0).alias("confidence"),
+        F.create_map(F.lit("language"), F.col("language"), F.lit("size"), F.octet_length("content").cast("string")).alias("properties"),
+        F.lit(None).cast("string").alias("schema"),
+    )
+
+
 def extract_nodes(prepared: DataFrame, patterns: Sequence[tuple] = PATTERNS) -> DataFrame:
     """File nodes and matched nodes as rows of the node table.
 
     ``prepared`` is the output of :func:`with_nodes`. Schemas may find the same
     node; equal ids are one node, the first schema's.
     """
-    files = prepared.select(
-        F.col("file_id").alias("id"), F.lit("File").alias("type"), F.col("path").alias("name"), "project_id", F.col("path").alias("file"),
-        F.lit(1).alias("line_start"), F.size("lines").alias("line_end"), F.lit(1.0).alias("confidence"),
-        F.create_map(F.lit("language"), F.col("language"), F.lit("size"), F.octet_length("content").cast("string")).alias("properties"),
-        F.lit(None).cast("string").alias("schema"),
-    )
     each = each_item(prepared, ["project_id", "path"], unique_nodes(F.col("nodes")), "_n").select("project_id", "path", "_n.*")
     found = each.select(
         "id", "type", "name", "project_id", F.col("path").alias("file"), "line_start", "line_end", F.lit(0.8).alias("confidence"),
         _properties(F.col("captures"), F.col("pattern"), patterns).alias("properties"), "schema",
     )
-    return files.unionByName(found)
+    return file_nodes(prepared).unionByName(found)
 
 
 def unique_nodes(nodes: Column) -> Column:
@@ -457,11 +463,10 @@ def contains_default(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def extract_mesh(files: DataFrame, patterns: Sequence[tuple] = PATTERNS) -> tuple[DataFrame, DataFrame]:
     """Node and edge tables of files carrying ``schemas``.
 
-    Nodes and each edge kind re-read the files when both results are written;
-    write the output of :func:`with_nodes` first if that matters more than
-    the storage.
+    The matched files are written to the checkpoint folder once, since nodes and
+    each kind of edge read them and matching costs far more than reading back.
     """
-    prepared = with_nodes(find_matches(files, patterns), patterns)
+    prepared = cut_lineage(with_nodes(find_matches(files, patterns), patterns).drop("matches"))
     nodes = extract_nodes(prepared, patterns)
     keep = ["project_id", "path", "from_id", "to_id", "type", "confidence"]
     edges = (

@@ -4,7 +4,8 @@ One feedback event maps a conviction x to min(h, max(l, x + a)). Two such maps
 compose to a third, so a long run of events is folded bottom-up over a ladder
 of time buckets: within a second, within an hour, within a month, overall. No
 group ever holds more than one bucket's children, however hot its key is, and
-every step is a plain aggregate.
+every step is a plain aggregate. Should some second of one belief hold too many
+events, a finer ladder is used that also splits equal timestamps by event id.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 from codeloom.functions.scaling import first_per_key
 from codeloom.operators.memory import ADJUST_DELTAS, FEEDBACK_DELTAS, REVIEW_BELOW
 
-LADDER = ("second", "hour", "month")
+COARSE = ("second", "hour", "month")
+FINE = ("tick", "instant", "millisecond", "second", "hour", "month")
+#: Most events one bucket of the coarse ladder may hold, and ids per tick.
+BUCKET_LIMIT = 4096
 _TOP = 1_000_000
 
 
@@ -41,23 +45,35 @@ def _apply(state: Column, mapping: Column) -> Column:
     return _clamp(state + mapping["a"], mapping["l"], mapping["h"])
 
 
-def _events(events: DataFrame, deltas: dict[str, int], kind: str) -> DataFrame:
+def _rung(name: str) -> Column:
+    """Bucket of an event; ticks cut events of one instant by their id."""
+    if name == "tick":
+        return F.struct("ts", F.floor(F.col("event_id") / BUCKET_LIMIT).alias("part"))
+    return F.col("ts") if name == "instant" else F.date_trunc(name, F.col("ts"))
+
+
+def ladder_for(events: DataFrame) -> tuple[str, ...]:
+    """The coarse ladder if no second of a belief holds too many events."""
+    fullest = events.groupBy("belief_id", F.date_trunc("second", "ts")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return COARSE if (fullest or 0) <= BUCKET_LIMIT else FINE
+
+
+def _events(events: DataFrame, deltas: dict[str, int], kind: str, ladder: tuple[str, ...]) -> DataFrame:
     """Events as maps on hundredths, with their bucket on every rung."""
     delta = F.lit(0)
     for name, value in deltas.items():
         delta = F.when(F.col(kind) == name, value).otherwise(delta)
     one = F.struct(delta.alias("a"), F.lit(0).alias("l"), F.lit(100).alias("h"))
-    rungs = [F.date_trunc(rung, F.col("ts")).alias(f"_{rung}") for rung in LADDER]
-    return events.select("*", one.alias("map"), *rungs)
+    return events.select("*", one.alias("map"), *[_rung(r).alias(f"_{r}") for r in ladder])
 
 
-def _runs(mapped: DataFrame, key: str) -> list[DataFrame]:
-    """Per rung: key, bucket, its ordered children; the last rung is the key."""
+def _runs(mapped: DataFrame, key: str, ladder: tuple[str, ...]) -> list[DataFrame]:
+    """Per rung: key, bucket, its ordered children; then the map of each key."""
     levels = []
-    child, order, current = None, ["ts", "event_id"], mapped
-    for i, rung in enumerate([*LADDER, None]):
-        bucket = [f"_{r}" for r in LADDER[i:]]
-        members = F.struct(*order, "map") if child is None else F.struct(child, "map")
+    child, current = None, mapped
+    for i, rung in enumerate([*ladder, None]):
+        bucket = [f"_{r}" for r in ladder[i:]]
+        members = F.struct("ts", "event_id", "map") if child is None else F.struct(child, "map")
         level = current.groupBy(key, *bucket).agg(F.array_sort(F.collect_list(members)).alias("children"))
         levels.append(level)
         current = level.select(key, *bucket, _fold(F.col("children")).alias("map"))
@@ -66,14 +82,19 @@ def _runs(mapped: DataFrame, key: str) -> list[DataFrame]:
     return levels
 
 
+def composed(events: DataFrame, deltas: dict[str, int], kind: str) -> DataFrame:
+    """All events of each belief as one map."""
+    ladder = ladder_for(events)
+    return _runs(_events(events, deltas, kind, ladder), "belief_id", ladder)[-1]
+
+
 def feedback_fold(beliefs: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Conviction (hundredths) and usage of every belief after all feedback.
 
     ``beliefs``: id, conv_pct, usage_count. ``outcomes``: belief_id, event_id,
     ts, outcome.
     """
-    mapped = composed(outcomes, FEEDBACK_DELTAS, "outcome")
-    total = mapped.select(F.col("belief_id").alias("id"), "map")
+    total = composed(outcomes, FEEDBACK_DELTAS, "outcome").select(F.col("belief_id").alias("id"), "map")
     uses = outcomes.groupBy(F.col("belief_id").alias("id")).agg(F.count("*").alias("_uses"))
     return (
         beliefs.select("id", "conv_pct", "usage_count").join(total, "id", "left").join(uses, "id", "left")
@@ -85,20 +106,18 @@ def feedback_fold(beliefs: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
 
 
-def composed(events: DataFrame, deltas: dict[str, int], kind: str) -> DataFrame:
-    """All events of each belief as one map."""
-    return _runs(_events(events, deltas, kind), "belief_id")[-1]
-
-
 def apply_log(beliefs: DataFrame, log: DataFrame) -> DataFrame:
     """Beliefs after a log of maps (belief_id, map, uses, batch), in batch order."""
-    per = log.groupBy(F.col("belief_id").alias("id")).agg(
+    # Batches are folded by the thousand first, so a long log makes no long list.
+    thousand = F.floor(F.col("batch") / 1000)
+    parts = log.groupBy(F.col("belief_id").alias("id"), thousand.alias("_part")).agg(
         F.array_sort(F.collect_list(F.struct("batch", "map"))).alias("_maps"), F.sum("uses").alias("_uses"))
-    joined = beliefs.select("id", "conv_pct", "usage_count").join(per, "id", "left")
-    after = F.aggregate(F.coalesce("_maps", F.array().cast("array<struct<batch:int,map:struct<a:int,l:int,h:int>>>")),
-                        F.col("conv_pct"), lambda x, m: _apply(x, m["map"]))
-    return joined.select("id", after.cast("int").alias("conv_pct"),
-                         (F.col("usage_count") + F.coalesce("_uses", F.lit(0))).cast("bigint").alias("usage_count"))
+    per = parts.select("id", "_part", _fold(F.col("_maps")).alias("map"), "_uses").groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("_part", "map"))).alias("_maps"), F.sum("_uses").alias("_uses"))
+    after = beliefs.select("id", "conv_pct", "usage_count").join(per.select("id", _fold(F.col("_maps")).alias("map"), "_uses"), "id", "left")
+    return after.select(
+        "id", F.coalesce(_apply(F.col("conv_pct"), F.col("map")), F.col("conv_pct")).cast("int").alias("conv_pct"),
+        (F.col("usage_count") + F.coalesce("_uses", F.lit(0))).cast("bigint").alias("usage_count"))
 
 
 def feedback_states(beliefs: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -107,11 +126,11 @@ def feedback_states(beliefs: DataFrame, outcomes: DataFrame) -> DataFrame:
     Goes down the ladder again: the state entering a bucket is handed to its
     children, one rung at a time.
     """
-    mapped = _events(outcomes, FEEDBACK_DELTAS, "outcome")
-    levels = _runs(mapped, "belief_id")[:-1]
+    ladder = ladder_for(outcomes)
+    levels = _runs(_events(outcomes, FEEDBACK_DELTAS, "outcome", ladder), "belief_id", ladder)[:-1]
     entering = beliefs.select(F.col("id").alias("belief_id"), F.col("conv_pct").alias("state"))
     for i in range(len(levels) - 1, -1, -1):
-        bucket = [f"_{r}" for r in LADDER[i:]]
+        bucket = [f"_{r}" for r in ladder[i:]]
         joined = levels[i].join(entering, ["belief_id", *bucket])
         start = F.struct(F.col("state").alias("state"), F.array().cast("array<int>").alias("seen"))
         seen = F.aggregate("children", start, lambda acc, m: F.struct(
@@ -125,7 +144,7 @@ def feedback_states(beliefs: DataFrame, outcomes: DataFrame) -> DataFrame:
                 F.col("_s.before").cast("int").alias("before_pct"),
                 _apply(F.col("_s.before"), F.col("_s.child.map")).cast("int").alias("after_pct"),
             )
-        child = f"_{LADDER[i - 1]}"
+        child = f"_{ladder[i - 1]}"
         entering = stepped.select("belief_id", *bucket, F.col(f"_s.child.{child}").alias(child), F.col("_s.before").alias("state"))
     raise AssertionError("the ladder has at least one rung")
 

@@ -44,7 +44,7 @@ def closure(steps: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     0 < distance <= depth. Distances only; a cycle ends because visited pairs
     are dropped.
     """
-    edges = steps.select("src", "dst").distinct()
+    edges = cut_lineage(steps.select("src", "dst").distinct())
     frontier = starts.select(F.col("id").alias("start_id"), "id").distinct()
     seen = frontier.withColumn("distance", F.lit(0))
     for distance in range(1, depth + 1):
@@ -89,6 +89,7 @@ def shortest_path(links: DataFrame, source: str, target: str, max_nodes: int = 4
     (``is_clique``). Groups of alike nodes thus cost one hub, not all pairs.
     Returns position, node; no rows when there is no such path.
     """
+    links = cut_lineage(links)
     direct = links.filter(~F.col("is_clique")).select("node", "hub")
     both = direct.unionByName(direct.select(F.col("hub").alias("node"), F.col("node").alias("hub")))
     clique = links.filter("is_clique").select("node", "hub")
@@ -133,7 +134,7 @@ def call_graph(calls: DataFrame, root: str | None = None, max_nodes: int = 30) -
     the first ``max_nodes`` connected functions by name are returned.
     """
     pairs = calls.select("caller", "callee").distinct()
-    both = pairs.unionByName(pairs.select(F.col("callee").alias("caller"), F.col("caller").alias("callee")))
+    both = cut_lineage(pairs.unionByName(pairs.select(F.col("callee").alias("caller"), F.col("caller").alias("callee"))).distinct())
     if root is None:
         names = both.select(F.col("caller").alias("name")).distinct().orderBy("name").limit(max_nodes)
         return names.withColumn("level", F.lit(0))

@@ -13,8 +13,7 @@ S = ["v_sources"]
 
 
 def sources(spark, d):
-    """The corpus, spread over the cores: its text is far larger than the table it derives from."""
-    return fx.view(spark, d, "v_sources").repartition(spark.sparkContext.defaultParallelism, "path")
+    return fx.spread(fx.view(spark, d, "v_sources"), "path")
 
 
 def matched(spark, d):
@@ -126,7 +125,7 @@ def _(spark, d):
 
 @query("match_line_numbers", f"WITH {_LN} SELECT project_id,path,max(n) AS line_end FROM (SELECT project_id,path,CAST(n AS INT) AS n FROM ln) GROUP BY 1,2", S)
 def _(spark, d):
-    nodes = extraction.extract_nodes(prepared(spark, d)).filter("type='File'")
+    nodes = extraction.file_nodes(languages.detect_language(sources(spark, d)))
     return nodes.select("project_id", F.col("file").alias("path"), "line_end")
 
 

@@ -146,6 +146,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return sql(spark, sf_dir, VIEWS[name])
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Generated text over all cores: it is far larger than the table it derives
+    from, whose few row groups would otherwise fix the number of tasks."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def ctes(*names: str) -> str:
     """``WITH`` text defining the named views, to be followed by a query."""
     return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)

@@ -57,7 +57,7 @@ fi AS (SELECT diff_id,CAST(fno-1 AS INT) AS file_no,regexp_extract(any_value(hd)
 
 
 def _files(spark, d):
-    return review.diff_files(fx.view(spark, d, "v_diffs"))
+    return review.diff_files(fx.spread(fx.view(spark, d, "v_diffs"), "diff_id"))
 
 
 @query("parse_diff", f"WITH {_LINES} SELECT diff_id,file_no,path,CASE WHEN ren IS NOT NULL THEN ren WHEN oldp<>path THEN oldp END AS old_path,status,is_binary,lines_added,lines_deleted,CAST(n_hunks AS INT) AS n_hunks FROM fi", DF)

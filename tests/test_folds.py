@@ -38,6 +38,18 @@ def test_fold_equals_event_loop_with_hot_belief(spark):
     assert all(0 <= v <= 100 for v in state.values())
 
 
+def test_fine_ladder_for_a_crowded_instant(spark, monkeypatch):
+    monkeypatch.setattr(folds, "BUCKET_LIMIT", 16)
+    start = {f"b{i}": 50 for i in range(5)}
+    rows = events(300, 2, 0.6)
+    beliefs = spark.createDataFrame([(k, v, 0) for k, v in start.items()], "id string, conv_pct int, usage_count int")
+    log = spark.createDataFrame(rows, EVENTS)
+    assert folds.ladder_for(log) == folds.FINE
+    state, seen = brute(start, rows)
+    assert {r.id: r.conv_pct for r in folds.feedback_fold(beliefs, log).collect()} == state
+    assert {r.event_id: (r.before_pct, r.after_pct) for r in folds.feedback_states(beliefs, log).collect()} == seen
+
+
 def test_commands_after_delete_are_errors(spark):
     beliefs = spark.createDataFrame([("b1", 95, "t"), ("b2", 50, "t")], "id string, conv_pct int, content string")
     at = lambda s: datetime(2024, 1, 1, 0, 0, s)
