@@ -217,7 +217,6 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, node_id: str | None = None
                   max_callers: int = 10, max_outgoing: int = 20) -> DataFrame:
     """Callers and outgoing edges of a node, or of every node, ranked by name."""
     known = nodes.select(F.col("id").alias("other_id"), F.col("name").alias("other_name"))
-    # The reference searches callers through any named node and outgoing edges of all types.
     incoming = edges.filter(F.col("type") == "CALLS").select(
         F.col("to_id").alias("id"), F.col("from_id").alias("other_id"), F.lit("caller").alias("role"), "type"
     )
