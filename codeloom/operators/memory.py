@@ -274,8 +274,9 @@ def belief_graph_stats(beliefs: DataFrame) -> DataFrame:
     ties = belief_pairs(beliefs).agg(
         (F.coalesce(F.sum(F.col("same_domain") + F.col("same_category")), F.lit(0)) / 2).cast("bigint").alias("_ties"))
     own = beliefs.agg(F.count("*").alias("belief_count"), F.round(F.coalesce(F.avg("conviction"), F.lit(0.0)), 3).alias("avg_conviction"))
-    keyed = [df.withColumn("_k", F.lit(1)) for df in (own, mentions, ties)]  # one row each
-    return keyed[0].join(keyed[1], "_k").join(keyed[2], "_k").select(
+    # Three one-row results side by side, without a join.
+    rows = own.unionByName(mentions, allowMissingColumns=True).unionByName(ties, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns]).select(
         (F.col("belief_count") + F.col("entity_count")).alias("node_count"),
         (F.col("_mentions") + F.col("_ties")).alias("edge_count"),
         "belief_count", "entity_count", "avg_conviction",

@@ -53,7 +53,7 @@ SELECT 'c'||c_custkey AS id,'File' AS type,c_name AS name,'proj'||c_nationkey AS
 UNION ALL SELECT 'o'||o_orderkey,'Function','fn_'||(o_orderkey%997),'proj'||c_nationkey,CASE WHEN c_custkey%3=0 THEN 'dev' ELSE 'main' END,'src/'||c_mktsegment||'/c'||c_custkey||'.py',CAST((o_orderkey%90)*10+1 AS INT),CAST((o_orderkey%90)*10+6+o_orderkey%20 AS INT),CAST(50+o_orderkey%50 AS INT),NULL,NULL FROM orders JOIN customer ON o_custkey=c_custkey
 UNION ALL SELECT 'p'||p_partkey,'Method','m_'||(p_partkey%499),'proj'||(p_partkey%25),'main','lib/'||p_brand||'.ts',CAST((p_partkey%90)*10+2 AS INT),CAST((p_partkey%90)*10+9 AS INT),CAST(40+p_partkey%60 AS INT),NULL,NULL FROM part
 UNION ALL SELECT 'k'||p_partkey,'Class','Cls'||p_partkey,'proj'||(p_partkey%25),'main','lib/'||p_brand||'.ts',CAST((p_partkey%90)*10+1 AS INT),CAST((p_partkey%90)*10+10 AS INT),80,NULL,NULL FROM part
-UNION ALL SELECT 'm'||n_nationkey,'Model','model_'||n_name,'proj'||n_nationkey,'main','svc/models.py',CAST(n_nationkey*20+1 AS INT),CAST(n_nationkey*20+9 AS INT),90,NULL,NULL FROM nation
+UNION ALL SELECT 'm'||n_nationkey,'Model','model_'||n_name,'proj'||n_nationkey,'main','svc/models'||n_nationkey||'.py',CAST(n_nationkey*20+1 AS INT),CAST(n_nationkey*20+9 AS INT),90,NULL,NULL FROM nation
 UNION ALL SELECT 's'||s_suppkey,CASE WHEN s_suppkey%2=0 THEN 'Queue' ELSE 'ApiEndpoint' END,s_name,'proj'||s_nationkey,'main','svc/s'||s_suppkey||'.java',1,30,70,CASE WHEN s_suppkey%2=0 THEN NULL WHEN s_suppkey%3=0 THEN 'POST' ELSE 'GET' END,CASE WHEN s_suppkey%2=0 THEN NULL ELSE '/api/'||s_nationkey||'/{id}' END FROM supplier""",
     # edges of the code mesh; about half of the IMPORTS targets do not exist
     "v_edges": """
@@ -62,7 +62,7 @@ UNION ALL SELECT DISTINCT 'o'||l_orderkey,'s'||l_suppkey,CASE WHEN l_suppkey%2=0
 UNION ALL SELECT DISTINCT 'p'||p,'s'||s,CASE WHEN s%2=0 THEN 'SUBSCRIBES_TO' ELSE 'USES' END,false FROM (SELECT MAX(l_partkey) AS p,l_suppkey AS s FROM lineitem GROUP BY l_suppkey,l_returnflag) x
 UNION ALL SELECT 'k'||p_partkey,'k'||CAST(FLOOR(p_partkey/2) AS BIGINT),'INHERITS',false FROM part WHERE p_partkey>0
 UNION ALL SELECT 'c'||o_custkey,'o'||o_orderkey,'CONTAINS',false FROM orders
-UNION ALL SELECT 'k'||p_partkey,'p'||p_partkey,'CONTAINS',false FROM part
+UNION ALL SELECT 'k'||p_partkey,'p'||p_partkey,'CONTAINS',false FROM part WHERE p_size>25
 UNION ALL SELECT 'c'||c_custkey,'c'||(c_custkey*2+1),'IMPORTS',false FROM customer
 UNION ALL SELECT DISTINCT 'm'||a.s_nationkey,'m'||b.c_nationkey,CASE WHEN b.c_nationkey%2=0 THEN 'READS_FROM' ELSE 'WRITES_TO' END,false FROM supplier a JOIN customer b ON a.s_suppkey=b.c_custkey""",
     # semantic memory
