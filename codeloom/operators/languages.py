@@ -161,4 +161,4 @@ def schemas_for_frameworks(schemas: DataFrame, frameworks: DataFrame) -> DataFra
     ``schemas``: schema, framework, language. ``frameworks``: project_id, name.
     """
     named = schemas.select("schema", F.explode(F.array("framework", "language")).alias("name")).filter("name IS NOT NULL")
-    return frameworks.select("project_id", "name").distinct().join(F.broadcast(named), "name").select("project_id", "schema").distinct()
+    return frameworks.select("project_id", "name").distinct().join(named, "name").select("project_id", "schema").distinct()
