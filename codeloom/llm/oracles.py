@@ -28,5 +28,28 @@ parts AS (SELECT page_id, ROW_NUMBER() OVER () AS rid,
 fits AS (SELECT rid, rule, verdict, ROW_NUMBER() OVER (PARTITION BY rid ORDER BY length(rule) DESC, length(h) DESC, rule DESC) AS k
   FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT page_id, host, path, rule, COALESCE(verdict, 'allow') AS verdict FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) f USING (rid)
+""",
+    "op8_quality_rules": r"""
+WITH t AS (SELECT ROW_NUMBER() OVER () AS rid, doc_id, COALESCE(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, string_split(text, chr(10)) AS ls FROM t),
+grams AS (SELECT rid, UNNEST(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3),
+keyed AS (SELECT rid, i, COUNT(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS c FROM grams),
+covered AS (SELECT rid, COUNT(DISTINCT p) AS n FROM (SELECT rid, UNNEST([i, i + 1, i + 2]) AS p FROM keyed WHERE c >= 2) GROUP BY rid),
+lines AS (SELECT rid, UNNEST(ls) AS l, generate_subscripts(ls, 1) AS k FROM w),
+judged AS (SELECT rid, l, k, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM lines),
+stay AS (SELECT rid, SUM(length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g'))) AS kept_chars FROM judged WHERE n > 0
+  AND regexp_matches(l, '[.!?:;\x{2026}\x{3002}\x{FF01}\x{FF1F}]["'')\]\x{201D}\x{2019}\x{BB}]*[\x20\x09-\x0D]*$')
+  AND len(regexp_extract_all(l, '[!?]{2,}')) * 100 <= n * 25
+  AND len(regexp_extract_all(l, '[|>\x{BB}\x{203A}\x{2022}\x{B7}]+')) * 100 <= n * 20
+  AND len(regexp_extract_all(l, '[#*$%&|<>]')) * 100 <= n * 50
+  AND NOT (n <= 30 AND (contains(lower(l), 'licensed under') OR contains(lower(l), 'licenced under') OR contains(lower(l), 'all rights reserved') OR contains(lower(l), 'copyright') OR contains(lower(l), '©') OR contains(lower(l), 'use cookies') OR contains(lower(l), 'accept cookies') OR contains(lower(l), 'cookie policy') OR contains(lower(l), 'privacy policy') OR contains(lower(l), 'terms of use') OR contains(lower(l), 'terms of service') OR contains(lower(l), 'lorem ipsum') OR contains(lower(l), 'enable javascript') OR contains(lower(l), 'subscribe to') OR contains(lower(l), 'sign up for') OR contains(lower(l), 'click here') OR contains(lower(l), 'share on facebook') OR contains(lower(l), 'share on twitter') OR contains(lower(l), 'powered by')))
+  GROUP BY rid),
+dups AS (SELECT rid, COUNT(*) - COUNT(DISTINCT l) AS n FROM judged WHERE n > 0 GROUP BY rid),
+counts AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(COALESCE(dups.n, 0) AS BIGINT) AS n_dup_lines,
+  CAST(COALESCE(covered.n, 0) AS BIGINT) AS n_repeat_words, CAST(COALESCE(kept_chars, 0) AS BIGINT) AS kept_chars
+  FROM w LEFT JOIN covered USING (rid) LEFT JOIN dups USING (rid) LEFT JOIN stay USING (rid))
+SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed,
+  NOT (n_words < 50 OR n_repeat_words * 100 > n_words * 50) AND kept_chars * 100 >= word_chars * 50 AS kept FROM counts
 """,
 }

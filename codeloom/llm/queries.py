@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import mixing, url_filters
+from codeloom.llm import mixing, quality_rules, secret_scans, url_filters
 from codeloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +22,21 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), url_filters.rule_table(spark))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scans.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the quality rules on every document."""
+    return quality_rules.clean_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op4_url_filters": op4_url_filters,
+    "op5_secret_scans": op5_secret_scans,
+    "op8_quality_rules": op8_quality_rules,
 }
