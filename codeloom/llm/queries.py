@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import mixing, quality_rules, secret_scans, url_filters
+from codeloom.llm import (
+    decontamination,
+    html_extraction,
+    language_id,
+    mixing,
+    near_dedup,
+    quality_rules,
+    secret_scans,
+    token_counts,
+    toxicity,
+    url_filters,
+)
 from codeloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +28,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the url of every page."""
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), url_filters.rule_table(spark))
@@ -27,6 +50,16 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extraction.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules on every document."""
     return quality_rules.clean_lines(table(spark, sf_dir, "documents")).select(
@@ -34,9 +67,25 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of every document."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op2_decontamination": op2_decontamination,
+    "op3_token_counts": op3_token_counts,
     "op4_url_filters": op4_url_filters,
     "op5_secret_scans": op5_secret_scans,
+    "op6_toxicity": op6_toxicity,
+    "op7_html_extraction": op7_html_extraction,
     "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
+    "op10_near_dedup": op10_near_dedup,
 }

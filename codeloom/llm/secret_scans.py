@@ -184,11 +184,15 @@ def _limits(scanned: DataFrame, rate: float) -> DataFrame:
 
 def _reported(scanned: DataFrame, rate: float) -> DataFrame:
     """Replace ``_tested`` by ``_random``, the candidates within the limits."""
-    limits = _limits(scanned, rate).agg(F.map_from_entries(F.collect_list(F.struct("band", "least"))).alias("_limits"))
-    within = lambda c: _step(c["t"]["p"]) >= F.try_element_at(F.col("_limits"), _band(c["t"]["n"]))
-    keep = F.filter("_tested", lambda c: F.coalesce(within(c), F.lit(False)))
-    # One row: a map from at most 64 bands to their limits.
-    return scanned.join(F.broadcast(limits), F.lit(True)).withColumn("_random", keep).drop("_tested", "_limits")
+    # At most a row for each band, and there are fewer than 64.
+    limits = {r.band: r.least for r in _limits(scanned, rate).collect()}
+    def within(c: Column) -> Column:
+        reached = F.lit(False)
+        for band, step in sorted(limits.items()):
+            reached = F.when(_band(c["t"]["n"]) == band, _step(c["t"]["p"]) >= step).otherwise(reached)
+        return reached
+
+    return scanned.withColumn("_random", F.filter("_tested", within)).drop("_tested")
 
 
 def _all_spans(kinds: tuple[str, ...]) -> Column:
