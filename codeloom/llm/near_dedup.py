@@ -197,7 +197,7 @@ def _apart_pairs(lists: DataFrame, sizes: DataFrame, vertices: DataFrame, labels
     long = lists.join(sizes.filter(F.col("size") > SHORT_LIST), "key")
     labelled = long.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = labelled.groupBy("key", "component").count()
-    largest = parts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("count").alias("size"))
+    largest = parts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("parts"))
     mixed_lists = stored(largest.filter(F.col("parts") > 1), "mixed")
     members = stored(labelled.join(mixed_lists, "key").join(vertices.select("id", "sketch"), "id"), "members")
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))

@@ -1,4 +1,4 @@
-"""The training corpus in stages, each on what the one before kept."""
+"""The training corpus in five stages, each on what the one before kept."""
 
 from __future__ import annotations
 
@@ -6,19 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import mixing
+from codeloom.llm import decontamination, language_id, mixing, near_dedup, secret_scans
 from codeloom.llm.tables import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the corpus's own labels teach; the others go."""
+    return language_id.keep_identified(docs)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest id."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark``."""
+    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark."""
+    return secret_scans.redact_secrets(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's rate tells."""
     return mixing.mix(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("mix_sources", mix_sources),
+    ("language_id", identified),
+    ("near_dedup", deduplicated),
+    ("decontamination", decontaminated),
+    ("secret_scans", redacted),
+    ("mixing", mixed),
 ]
 
 #: The first stage learns a model, which SQL cannot express.
