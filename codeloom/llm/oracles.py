@@ -32,9 +32,10 @@ SELECT page_id, host, path, rule, COALESCE(verdict, 'allow') AS verdict FROM par
     "op8_quality_rules": r"""
 WITH t AS (SELECT ROW_NUMBER() OVER () AS rid, doc_id, COALESCE(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, string_split(text, chr(10)) AS ls FROM t),
-grams AS (SELECT rid, UNNEST(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3),
-keyed AS (SELECT rid, i, COUNT(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS c FROM grams),
-covered AS (SELECT rid, COUNT(DISTINCT p) AS n FROM (SELECT rid, UNNEST([i, i + 1, i + 2]) AS p FROM keyed WHERE c >= 2) GROUP BY rid),
+single AS (SELECT rid, UNNEST(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+grams AS (SELECT rid, i, a, LEAD(a) OVER p AS b, LEAD(a, 2) OVER p AS c FROM single WINDOW p AS (PARTITION BY rid ORDER BY i)),
+keyed AS (SELECT rid, i, COUNT(*) OVER (PARTITION BY rid, a, b, c) AS times FROM grams WHERE c IS NOT NULL),
+covered AS (SELECT rid, COUNT(DISTINCT p) AS n FROM (SELECT rid, UNNEST([i, i + 1, i + 2]) AS p FROM keyed WHERE times >= 2) GROUP BY rid),
 lines AS (SELECT rid, UNNEST(ls) AS l, generate_subscripts(ls, 1) AS k FROM w),
 judged AS (SELECT rid, l, k, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n FROM lines),
 stay AS (SELECT rid, SUM(length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g'))) AS kept_chars FROM judged WHERE n > 0
