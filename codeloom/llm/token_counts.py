@@ -7,6 +7,7 @@ others are encoded once per worker and kept there. No pre-token is shuffled.
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,7 +22,9 @@ SAMPLE_TEXTS = 2_000
 SAMPLE_CHARS = 20_000
 FREQUENT = 32_768
 #: Lengths a worker keeps; beyond, it starts again from the table. Longer pre-tokens are not kept.
-KEPT = 400_000
+KEPT = 150_000
+#: Pre-tokens in one call of the library, whose results are far larger than their lengths.
+AT_ONCE = 2_000
 KEPT_LENGTH = 64
 LIMIT = 512
 
@@ -40,6 +43,7 @@ class _Lengths(dict):
     """Tokens in a pre-token; what is missing is encoded."""
 
     def __init__(self, vocabulary: str, frequent: dict[str, int]):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel part
         from tokenizers import Tokenizer
 
         super().__init__(frequent)
@@ -54,8 +58,10 @@ class _Lengths(dict):
             self.clear()
             self.update(self.frequent)
         missing = list(pieces)
-        for piece, encoded in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self[piece] = len(encoded)
+        for at in range(0, len(missing), AT_ONCE):
+            some = missing[at : at + AT_ONCE]
+            for piece, encoded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self[piece] = len(encoded)
 
     def counts(self, texts: list[str | None]) -> list[int]:
         """Tokens of texts; an added token inside a text is one token and parts it.
@@ -83,7 +89,7 @@ class _Lengths(dict):
         return len(self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0])
 
 
-def _groups(texts: list[str | None], chars: int = 300_000) -> Iterator[list[str | None]]:
+def _groups(texts: list[str | None], chars: int = 100_000) -> Iterator[list[str | None]]:
     """Runs of texts of about so many characters together."""
     group: list[str | None] = []
     size = 0
