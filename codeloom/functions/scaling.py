@@ -7,24 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it was counted and holds at most this many rows.
-BROADCAST_ROWS = 200_000
-
 #: Span levels cover files of up to 2**22 lines.
 _TOP_LEVEL = 22
 
 
-def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if ``df`` provably holds at most ``limit`` rows.
-
-    The check reads at most ``limit + 1`` rows. A larger side keeps no hint, so
-    the join falls back to a shuffle join with adaptive skew handling.
-    """
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
-
-
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """First ``k`` rows per key.
 

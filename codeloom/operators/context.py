@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.scaling import each_item, first_per_key, top_k
+from codeloom.session import cut_lineage
 
 # Framework -> (import prefixes, language), in order.
 FRAMEWORKS = {
@@ -50,13 +51,14 @@ IMPORT_FORMS = {
 }
 
 
-def _framework_of(module: Column) -> Column:
+def _framework_of(module: Column, language: Column) -> Column:
+    """First framework whose prefix the module has; only TypeScript and JavaScript files look at other languages' frameworks."""
     hint = F.lit(None).cast("string")
-    for name, (prefixes, _) in reversed(FRAMEWORKS.items()):
+    for name, (prefixes, of) in reversed(FRAMEWORKS.items()):
         starts = F.lit(False)
         for prefix in prefixes:
             starts = starts | module.startswith(prefix)
-        hint = F.when(starts, name).otherwise(hint)
+        hint = F.when(starts & language.isin(of, "typescript", "javascript"), name).otherwise(hint)
     return hint
 
 
@@ -102,7 +104,7 @@ def parse_imports(files: DataFrame) -> DataFrame:
     found = tagged.select("project_id", "path", "language", "line", "form", module.alias("module"), symbols.alias("symbols"))
     return found.select(
         "*", (F.col("module").startswith(".") | F.col("module").startswith("/")).alias("is_relative"),
-        _framework_of(F.col("module")).alias("framework"))
+        _framework_of(F.col("module"), F.col("language")).alias("framework"))
 
 
 def parse_manifests(manifests: DataFrame) -> DataFrame:
@@ -164,8 +166,8 @@ def _normal(path: Column) -> Column:
     return F.array_join(done, "/")
 
 
-def related_files(imports: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None, max_files: int = 10) -> DataFrame:
-    """Files that relative imports point to, at most ten per file.
+def related_files(imports: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None, max_files: int | None = None) -> DataFrame:
+    """Files that relative imports point to; ``max_files`` shortens the list of a file.
 
     For an import without an ending every known ending is tried, the file
     before its index file. ``imports``: project_id, path, module, line.
@@ -189,7 +191,7 @@ def related_files(imports: DataFrame, files: DataFrame, aliases: dict[str, str]
     best = first_per_key(hits.select("project_id", "path", "module", "line", "place", "resolved"),
                          ["project_id", "path", "module", "line"], [F.col("place")])
     once = first_per_key(best.select("project_id", "path", "resolved", "line", "module"), ["project_id", "path", "resolved"], [F.col("line"), F.col("module")])
-    return top_k(once, ["project_id", "path"], [F.col("line"), F.col("module")], max_files)
+    return once if max_files is None else top_k(once, ["project_id", "path"], [F.col("line"), F.col("module")], max_files)
 
 
 # ------------------------------------------------------------------ exports
@@ -307,36 +309,44 @@ def extract_exports(files: DataFrame) -> DataFrame:
 
 
 def parse_env_files(files: DataFrame) -> DataFrame:
-    """Variables of ``.env`` files (project_id, content); the last line wins."""
+    """Variables of ``.env`` files (project_id, path, content); the last line of the last file by path wins."""
     lines = F.filter(F.transform(F.split("content", "\n"), lambda l, i: F.struct(i.alias("at"), _strip(l).alias("text"))),
                      lambda x: (x["text"] != "") & ~x["text"].startswith("#") & x["text"].contains("="))
-    rows = each_item(files, ["project_id"], lines, "x")
+    rows = each_item(files, ["project_id", "path"], lines, "x")
     raw = _strip(F.regexp_extract("x.text", r"^[^=]*=(.*)$", 1))
     quoted = raw.rlike("^\".*\"$") | raw.rlike("^'.*'$")
     value = F.when(quoted & (F.length(raw) > 1), F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    found = rows.select("project_id", _strip(F.regexp_extract("x.text", "^([^=]*)=", 1)).alias("name"), value.alias("value"), F.col("x.at").alias("_at"))
+    found = rows.select("project_id", _strip(F.regexp_extract("x.text", "^([^=]*)=", 1)).alias("name"), value.alias("value"),
+                        F.struct("path", F.col("x.at").alias("at")).alias("_at"))
     return found.groupBy("project_id", "name").agg(F.max_by("value", "_at").alias("value")).withColumn("method", F.lit("env"))
 
 
-def flatten_config(configs: DataFrame, depth: int = 6) -> DataFrame:
+def flatten_config(configs: DataFrame) -> DataFrame:
     """Leaves of nested JSON configurations under dotted and bare names.
 
-    ``configs``: project_id, content. Levels are opened one after another, up
-    to ``depth``; lists and nulls are no leaves, and the later leaf wins.
+    ``configs``: project_id, content. Levels are opened one after another until
+    none is left; each is written down, so a deep document costs a small job for
+    each level. Lists and nulls are no leaves. Keys count in the order of the
+    text, and the later leaf wins, also under a repeated key.
     """
-    spark = configs.sparkSession
-    level = configs.select("project_id", F.try_parse_json("content").alias("v"), F.lit("").alias("name"), F.lit("").alias("order"))
+    level = configs.select("project_id", F.col("content").alias("v"), F.lit("").alias("name"), F.lit("").alias("order"))
     leaves = None
-    for _ in range(depth):
-        opened = level.filter(F.schema_of_variant("v").startswith("OBJECT")).lateralJoin(
-            spark.tvf.variant_explode(F.col("v").outer()))
-        typed = opened.select(
-            "project_id", F.when(F.col("name") != "", F.concat_ws(".", "name", "key")).otherwise(F.col("key")).alias("name"),
-            F.col("key").alias("leaf"), F.concat("order", F.lpad(F.col("pos").cast("string"), 6, "0")).alias("order"),
-            F.col("value").alias("v"), F.schema_of_variant("value").alias("_t"))
+    while True:
+        # Read twice: as text, which keeps inner objects as written, and as variants, which tell a text from an object.
+        parsed = level.select(
+            "project_id", "name", "order",
+            F.map_entries(F.from_json("v", "map<string,string>")).alias("raw"), F.map_entries(F.from_json("v", "map<string,variant>")).alias("typed"))
+        opened = parsed.select("project_id", "name", "order", F.posexplode(F.arrays_zip("raw", "typed")).alias("pos", "e"))
+        typed = cut_lineage(opened.select(
+            "project_id", F.when(F.col("name") != "", F.concat_ws(".", "name", "e.raw.key")).otherwise(F.col("e.raw.key")).alias("name"),
+            F.col("e.raw.key").alias("leaf"), F.concat("order", F.lpad(F.col("pos").cast("string"), 9, "0")).alias("order"),
+            F.col("e.raw.value").alias("v"), F.schema_of_variant("e.typed.value").alias("_t"),
+            F.try_variant_get("e.typed.value", "$", "string").alias("value")))
         simple = ~F.col("_t").startswith("OBJECT") & ~F.col("_t").startswith("ARRAY") & (F.col("_t") != "VOID")
-        mine = typed.filter(simple).select("project_id", "name", "leaf", F.col("v").cast("string").alias("value"), "order")
+        mine = typed.filter(simple).select("project_id", "name", "leaf", "value", "order")
         leaves = mine if leaves is None else leaves.unionByName(mine)
         level = typed.filter(F.col("_t").startswith("OBJECT")).select("project_id", "v", "name", "order")
+        if level.isEmpty():
+            break
     both = leaves.select("project_id", "name", "value", "order").unionByName(leaves.select("project_id", F.col("leaf").alias("name"), "value", "order"))
     return both.groupBy("project_id", "name").agg(F.max_by("value", "order").alias("value")).withColumn("method", F.lit("config"))

@@ -511,8 +511,8 @@ def parse_verifications(responses: DataFrame) -> DataFrame:
     return responses.withColumn("status", status).select(
         "node_id", "status", F.coalesce(tag("confidence", r"[\d.]+").try_cast("double"), F.lit(0.5)).alias("confidence"),
         F.coalesce(_trim(tag("reasoning", "[^<]+")), F.lit("No reasoning provided")).alias("reasoning"),
-        F.when(corrected, tag("corrected_line_start", r"\d+").cast("int")).alias("line_start"),
-        F.when(corrected, tag("corrected_line_end", r"\d+").cast("int")).alias("line_end"),
+        F.when(corrected, tag("corrected_line_start", r"\d+").try_cast("int")).alias("line_start"),
+        F.when(corrected, tag("corrected_line_end", r"\d+").try_cast("int")).alias("line_end"),
     )
 
 

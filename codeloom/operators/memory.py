@@ -105,7 +105,8 @@ def keyword_search(memory: DataFrame, queries: Sequence[str], limit: int = 10,
     )
     best = top_k(flat, ["query"], [F.col("score").desc(), F.col("kind"), F.col("id")], limit)
     # Long texts stay out of the ranking shuffle and join in afterwards.
-    return best.join(memory.select("id", "content"), "id")
+    # At most ``limit`` rows a query, so the texts are not shuffled.
+    return memory.select("kind", "id", "content").join(F.broadcast(best), ["kind", "id"])
 
 
 def query_beliefs(memory: DataFrame, queries: Sequence[str], limit: int = 10,
@@ -147,8 +148,9 @@ def vector_search(vectors: DataFrame, queries: Sequence[Sequence[float]], k: int
     """Exact cosine top-k per query vector.
 
     Query vectors are arguments and become literals; each stored vector is read
-    once, normalised once and scored against all of them. ``vectors``: id,
-    embedding, label.
+    once, normalised once and scored against all of them. A vector or query of
+    length zero has no direction and matches nothing. ``vectors``: id, embedding,
+    label.
     """
     kept = vectors if label is None else vectors.filter(F.col("label") == label)
 
@@ -160,9 +162,13 @@ def vector_search(vectors: DataFrame, queries: Sequence[Sequence[float]], k: int
     scored = []
     for i, query in enumerate(queries):
         size = sum(q * q for q in query) ** 0.5
+        if not size:
+            continue
         unit = F.array(*[F.lit(float(q) / size) for q in query])
-        scored.append(F.struct(F.lit(i).alias("query"), (dot(F.col("_v"), unit) / F.col("_n")).alias("score")))
-    flat = normed.select("id", F.inline(F.array(*scored))).withColumn("score", F.round("score", 6))
+        scored.append(F.struct(F.lit(i).alias("query"), F.try_divide(dot(F.col("_v"), unit), F.col("_n")).alias("score")))
+    if not scored:
+        scored.append(F.struct(F.lit(-1).alias("query"), F.lit(None).cast("double").alias("score")))
+    flat = normed.select("id", F.inline(F.array(*scored))).withColumn("score", F.round("score", 6)).filter("score IS NOT NULL")
     if min_score is not None:
         flat = flat.filter(F.col("score") >= min_score)
     return top_k(flat, ["query"], [F.col("score").desc(), F.col("id")], k)

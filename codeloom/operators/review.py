@@ -128,11 +128,11 @@ def diff_hunks(files: DataFrame) -> DataFrame:
     pattern = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)"
     each = files.select("diff_id", "file_no", "path", F.posexplode("hunks").alias("hunk_no", "content"))
     part = lambda i: F.regexp_extract("content", pattern, i)
-    count = lambda i: F.coalesce(F.nullif(part(i), F.lit("")), F.lit("1")).cast("int")
+    count = lambda i: F.coalesce(F.nullif(part(i), F.lit("")), F.lit("1")).try_cast("int")
     return each.select(
         "diff_id", "file_no", "path", "hunk_no",
-        part(1).cast("int").alias("old_start"), count(2).alias("old_count"),
-        part(3).cast("int").alias("new_start"), count(4).alias("new_count"),
+        part(1).try_cast("int").alias("old_start"), count(2).alias("old_count"),
+        part(3).try_cast("int").alias("new_start"), count(4).alias("new_count"),
         F.trim(part(5)).alias("header"), "content",
     )
 
@@ -286,7 +286,7 @@ def parse_review_responses(responses: DataFrame) -> DataFrame:
     return each.select(
         "response_id", "file", "issue_no", F.col("i.severity").alias("severity"),
         F.coalesce(tag("message"), F.lit("Issue found")).alias("message"),
-        tag("line", r"(\d+)").cast("int").alias("line"), tag("suggestion").alias("suggestion"),
+        tag("line", r"(\d+)").try_cast("int").alias("line"), tag("suggestion").alias("suggestion"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.scaling import first_per_key, hash_rate, small_or_shuffled, top_k
+from codeloom.functions.scaling import first_per_key, hash_rate, top_k
 
 # Required properties per node type.
 REQUIRED_PROPERTIES = {
@@ -72,7 +72,7 @@ def schema_trust(scores: DataFrame, versions: DataFrame) -> DataFrame:
 
 def patterns_needing_evolution(scores: DataFrame, versions: DataFrame, min_samples: int = 20,
                                max_corrections: float = 0.10, max_rejections: float = 0.05,
-                               limit: int | None = 10) -> DataFrame:
+                               limit: int | None = None) -> DataFrame:
     active = versions.filter("is_active").select("schema_id", F.col("name").alias("pattern_name"))
     poor = scores.join(active, ["schema_id", "pattern_name"], "left_semi").filter(
         (F.col("total") >= min_samples)
@@ -84,7 +84,7 @@ def patterns_needing_evolution(scores: DataFrame, versions: DataFrame, min_sampl
 def evolution_evidence(candidates: DataFrame, corrections: DataFrame) -> DataFrame:
     """All corrections of the candidate patterns, one row each; no lists."""
     keyed = candidates.select(F.concat_ws("/", "schema_id", "pattern_name").alias("pattern_id"), "accuracy")
-    return corrections.join(small_or_shuffled(keyed), "pattern_id")
+    return corrections.join(keyed, "pattern_id")
 
 
 def latest_corrections(corrections: DataFrame, n: int = 5) -> DataFrame:
@@ -164,7 +164,7 @@ def verification_sample(extracted: DataFrame, scores: DataFrame) -> DataFrame:
     ``extracted``: id, schema_id, pattern_name.
     """
     rates = scores.select("schema_id", "pattern_name", "sample_rate")
-    joined = extracted.join(small_or_shuffled(rates), ["schema_id", "pattern_name"], "left")
+    joined = extracted.join(rates, ["schema_id", "pattern_name"], "left")
     return joined.filter(
         F.col("sample_rate").isNull() | hash_rate(F.col("id"), F.col("sample_rate"))
     ).select(*extracted.columns)

@@ -52,7 +52,7 @@ _TREE = """SELECT DISTINCT 'proj' AS project_id,'src/p'||(l_suppkey%50)||CASE l_
 WITH im AS (SELECT DISTINCT project_id,path,module,line FROM ({_REL}) WHERE NOT starts_with(module,'@')), fl AS ({_TREE}), tg AS (SELECT *,CASE WHEN starts_with(module,'./') THEN regexp_extract(path,'^(.*)/[^/]*$',1)||substr(module,2) WHEN starts_with(module,'../') THEN 'src'||substr(module,3) ELSE 'src'||substr(module,2) END AS t FROM im),
 ca AS (SELECT *,t AS r,99 AS pl FROM tg UNION ALL SELECT tg.*,t||e,p FROM tg,(VALUES ('.ts',0),('/index.ts',1),('.tsx',2),('/index.tsx',3),('.js',4),('/index.js',5)) v(e,p) WHERE NOT contains(regexp_extract(t,'[^/]*$'),'.')),
 be AS (SELECT path,module,line,arg_min(r,pl) AS resolved FROM ca JOIN fl ON fl.path=ca.r GROUP BY 1,2,3), un AS (SELECT path,resolved,arg_min(module,(line,module)) AS module,min(line) AS line FROM be GROUP BY 1,2)
-SELECT path,resolved,module FROM (SELECT *,row_number() OVER (PARTITION BY path ORDER BY line,module) AS rn FROM un) WHERE rn<=10""".replace("JOIN fl ON fl.path=ca.r", "JOIN (SELECT path AS fp FROM fl) f ON f.fp=ca.r"))
+SELECT path,resolved,module FROM un""".replace("JOIN fl ON fl.path=ca.r", "JOIN (SELECT path AS fp FROM fl) f ON f.fp=ca.r"))
 def _(spark, d):
     imports = fx.sql(spark, d, _REL).distinct()
     return context.related_files(imports, fx.sql(spark, d, _TREE), {"@": "src"}).select("path", "resolved", "module")
@@ -68,18 +68,18 @@ def _(spark, d):
     return context.extract_exports(_files(spark, d)).select("path", "name", "kind", "signature")
 
 
-_ENV = """SELECT 'proj'||o_custkey AS project_id,'# c'||chr(10)||'A_'||o_orderkey||' = "v'||o_orderkey||'"'||chr(10)||'B='||o_orderpriority||'=x'||chr(10)||'bad'||chr(10) AS content FROM orders"""
+_ENV = """SELECT 'proj'||o_custkey AS project_id,'# c'||chr(10)||'A_'||o_orderkey||' = "v'||o_orderkey||'"'||chr(10)||'B='||o_orderpriority||'=x'||chr(10)||'bad'||chr(10) AS content,'conf/'||lpad(CAST(o_orderkey AS VARCHAR(20)),12,'0')||'.env' AS path FROM orders"""
 
 
-@query("parse_env_files", f"WITH e AS ({_ENV}) SELECT project_id,regexp_extract(content,'(A_\\d+)',1) AS name,'v'||regexp_extract(content,'A_(\\d+)',1) AS value FROM e")
+@query("parse_env_files", f"WITH e AS ({_ENV}) SELECT project_id,regexp_extract(content,'(A_\\d+)',1) AS name,'v'||regexp_extract(content,'A_(\\d+)',1) AS value FROM e UNION ALL SELECT project_id,'B',arg_max(regexp_extract(content,'\\nB=([^\\n]*)',1),path) FROM e GROUP BY 1")
 def _(spark, d):
-    return context.parse_env_files(fx.sql(spark, d, _ENV)).filter("name <> 'B'").drop("method")
+    return context.parse_env_files(fx.sql(spark, d, _ENV)).drop("method")
 
 
-_CFG = """SELECT 'proj'||p_partkey AS project_id,'{"db":{"host":"h'||p_partkey||'","port":'||p_size||',"opt":{"on":true,"tags":["a"]}},"host":"top","none":null}' AS content FROM part"""
+_CFG = """SELECT 'proj'||p_partkey AS project_id,'{"db":{"host":"h'||p_partkey||'","port":'||p_size||',"opt":{"on":true,"tags":["a"]}},"z":{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"deep":"first"}}}}}}}},"host":"top","none":null,"b":{"deep":"last'||p_size||'"}}' AS content FROM part"""
 
 
 @query("flatten_config", f"""WITH c AS ({_CFG}), b AS (SELECT project_id,regexp_extract(content,'"host":"(h\\d+)"',1) AS h,regexp_extract(content,'"port":(\\d+)',1) AS p FROM c)
-SELECT project_id,unnest(['db.host','db.port','port','db.opt.on','on','host']) AS name,unnest([h,p,p,'true','true','top']) AS value FROM b""")
+SELECT project_id,unnest(['db.host','db.port','port','db.opt.on','on','host','z.a.b.c.d.e.f.g.deep','b.deep','deep']) AS name,unnest([h,p,p,'true','true','top','first','last'||p,'last'||p]) AS value FROM b""")
 def _(spark, d):
     return context.flatten_config(fx.sql(spark, d, _CFG)).drop("method")

@@ -276,7 +276,7 @@ def _(spark, d):
         "schema_id", F.round("accuracy", 6).alias("accuracy"), "total", "trust_level")
 
 
-_POOR = _TS + ", po AS (SELECT * FROM ts WHERE total>=20 AND (correction_rate>0.1 OR rejection_rate>0.05) AND EXISTS (SELECT 1 FROM v_pattern_versions v WHERE v.is_active AND v.schema_id=ts.schema_id AND v.name=ts.pattern_name) ORDER BY accuracy,schema_id,pattern_name LIMIT 10)"
+_POOR = _TS + ", po AS (SELECT * FROM ts WHERE total>=20 AND (correction_rate>0.1 OR rejection_rate>0.05) AND EXISTS (SELECT 1 FROM v_pattern_versions v WHERE v.is_active AND v.schema_id=ts.schema_id AND v.name=ts.pattern_name) )"
 
 
 @query("patterns_needing_evolution", f"WITH {_POOR} SELECT schema_id,pattern_name,total,round(accuracy,6) AS accuracy FROM po", VV)
