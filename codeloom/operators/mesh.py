@@ -372,48 +372,29 @@ def suggest_reviewers(nodes: DataFrame, edges: DataFrame, changed_files: DataFra
     return best.withColumn("priority", F.when(F.col("refs") > 3, "high").otherwise("medium"))
 
 
-def impact_analysis(nodes: DataFrame, edges: DataFrame, changed_files: DataFrame,
-                    max_functions: int = 10, max_callers: int = 20) -> DataFrame:
+def impact_analysis(nodes: DataFrame, edges: DataFrame, changed_files: DataFrame) -> DataFrame:
     """Effect of each changed file taken as a change set of its own.
 
-    At most ``max_functions`` functions per file and ``max_callers`` callers and
-    callees per function name are followed; these limits are part of the report.
-    Names are ranked once for all files, so a hot name is trimmed map-side.
+    Callers and callees are found by function name and all of them count. Calls
+    are counted per name first; only the calling files, which must be told apart,
+    meet the changed files one by one.
     """
     changed = nodes.join(changed_files.select("file").distinct(), "file", "left_semi")
-    functions = top_k(
-        changed.filter(F.col("type").isin(*CALLABLE_TYPES)).select("file", "name", "line_start", "id"),
-        ["file"], [F.col("line_start"), F.col("id")], max_functions,
-    ).select("file", "name")
-    caller = nodes.select(
-        F.col("id").alias("from_id"), F.col("name").alias("from_name"),
-        F.col("file").alias("from_file"), F.col("line_start").alias("from_line"),
-    )
+    functions = changed.filter(F.col("type").isin(*CALLABLE_TYPES)).groupBy("file", "name").agg(F.count("*").alias("same"))
+    caller = nodes.select(F.col("id").alias("from_id"), F.col("name").alias("from_name"), F.col("file").alias("from_file"))
     callee = nodes.select(F.col("id").alias("to_id"), F.col("name").alias("to_name"))
     calls = (
         edges.filter(F.col("type") == "CALLS").select("from_id", "to_id")
         .join(caller, "from_id").join(callee, "to_id")
+        .groupBy("from_name", "to_name", "from_file").agg(F.count("*").alias("n"))
     )
-    by_callee = top_k(
-        calls.select(F.col("to_name").alias("name"), "from_file", "from_line", "from_id", "to_id"), ["name"],
-        [F.col(c) for c in ("from_file", "from_line", "from_id", "to_id")], max_callers,
-    )
-    by_caller = top_k(
-        calls.select(F.col("from_name").alias("name"), "to_name", "from_id", "to_id"), ["name"],
-        [F.col(c) for c in ("to_name", "from_id", "to_id")], max_callers,
-    )
+    calling = calls.groupBy(F.col("to_name").alias("name"), "from_file").agg(F.sum("n").alias("n"))
+    called = calls.groupBy(F.col("from_name").alias("name")).agg(F.sum("n").alias("d"))
     affected = (
-        functions.join(by_callee, "name")
-        .select("file", F.col("from_file").alias("other_file"), F.lit(1).alias("c"), F.lit(0).alias("d"))
-        .unionByName(
-            functions.join(by_caller, "name")
-            .select("file", F.lit(None).cast("string").alias("other_file"), F.lit(0).alias("c"), F.lit(1).alias("d"))
-        )
-        .groupBy("file")
-        .agg(
-            F.countDistinct(F.when(F.col("other_file") != F.col("file"), F.col("other_file"))).alias("affected_files"),
-            F.sum("c").alias("callers"), F.sum("d").alias("callees"),
-        )
+        functions.join(calling, "name")
+        .groupBy("file", "from_file").agg(F.sum(F.col("n") * F.col("same")).alias("c"))
+        .groupBy("file").agg(F.count_if(F.col("from_file") != F.col("file")).alias("affected_files"), F.sum("c").alias("callers"))
+        .join(functions.join(called, "name").groupBy("file").agg(F.sum(F.col("d") * F.col("same")).alias("callees")), "file", "full_outer")
     )
     endpoints = changed.filter(F.col("type").isin(*ENDPOINT_TYPES)).groupBy("file").agg(F.count("*").alias("endpoints"))
     of_file = changed.select("id", "file")

@@ -188,10 +188,10 @@ def _(spark, d):
 
 
 _IMPACT = """
-WITH fn AS (SELECT file,name FROM (SELECT file,name,row_number() OVER (PARTITION BY file ORDER BY line_start,id) AS rn FROM v_nodes WHERE type IN ('Function','Method')) WHERE rn<=10),
-ca AS (SELECT e.from_id,e.to_id,a.name AS from_name,a.file AS from_file,a.line_start AS from_line,b.name AS to_name FROM v_edges e JOIN v_nodes a ON a.id=e.from_id JOIN v_nodes b ON b.id=e.to_id WHERE e.type='CALLS'),
-up AS (SELECT to_name AS name,from_file FROM (SELECT *,row_number() OVER (PARTITION BY to_name ORDER BY from_file,from_line,from_id,to_id) AS rn FROM ca) WHERE rn<=20),
-dn AS (SELECT from_name AS name FROM (SELECT *,row_number() OVER (PARTITION BY from_name ORDER BY to_name,from_id,to_id) AS rn FROM ca) WHERE rn<=20),
+WITH fn AS (SELECT file,name FROM v_nodes WHERE type IN ('Function','Method')),
+ca AS (SELECT a.name AS from_name,a.file AS from_file,b.name AS to_name FROM v_edges e JOIN v_nodes a ON a.id=e.from_id JOIN v_nodes b ON b.id=e.to_id WHERE e.type='CALLS'),
+up AS (SELECT to_name AS name,from_file FROM ca),
+dn AS (SELECT from_name AS name FROM ca),
 u AS (SELECT fn.file,count(*) AS callers,count(DISTINCT from_file) FILTER (from_file<>fn.file) AS affected_files FROM fn JOIN up USING (name) GROUP BY 1),
 w AS (SELECT fn.file,count(*) AS callees FROM fn JOIN dn USING (name) GROUP BY 1),
 ep AS (SELECT file,count(*) AS endpoints FROM v_nodes WHERE type IN ('ApiEndpoint','Endpoint') GROUP BY 1),
