@@ -1,11 +1,10 @@
 """Order-dependent state as a composition of clamp maps.
 
 One feedback event maps a conviction x to min(h, max(l, x + a)). Two such maps
-compose to a third, so a long run of events is folded bottom-up over a ladder
-of time buckets: within a second, within an hour, within a month, overall. No
-group ever holds more than one bucket's children, however hot its key is, and
-every step is a plain aggregate. Should some second of one belief hold too many
-events, a finer ladder is used that also splits equal timestamps by event id.
+compose to a third. The events are sorted by belief and time over ranges and
+numbered within each range, and a long run is folded bottom-up over blocks of
+numbers, then blocks of blocks. No block ever holds more than `BLOCK` children,
+however hot its belief and however crowded an instant is.
 """
 
 from __future__ import annotations
@@ -14,12 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.scaling import first_per_key
+from codeloom.session import cut_lineage
 from codeloom.operators.memory import ADJUST_DELTAS, FEEDBACK_DELTAS, REVIEW_BELOW
 
-COARSE = ("second", "hour", "month")
-FINE = ("tick", "instant", "millisecond", "second", "hour", "month")
-#: Most events one bucket of the coarse ladder may hold, and ids per tick.
-BUCKET_LIMIT = 4096
+#: Children of a block, a power of two.
+BLOCK = 1024
+#: Levels of blocks. Numbers have a range in their upper bits and a place in the lower 33.
+RUNGS = ("block1", "block2", "block3", "block4", "block5")
 _TOP = 1_000_000
 
 
@@ -45,35 +45,30 @@ def _apply(state: Column, mapping: Column) -> Column:
     return _clamp(state + mapping["a"], mapping["l"], mapping["h"])
 
 
-def _rung(name: str) -> Column:
-    """Bucket of an event; ticks cut events of one instant by their id."""
-    if name == "tick":
-        return F.struct("ts", F.floor(F.col("event_id") / BUCKET_LIMIT).alias("part"))
-    return F.col("ts") if name == "instant" else F.date_trunc(name, F.col("ts"))
+def _events(events: DataFrame, deltas: dict[str, int], kind: str) -> DataFrame:
+    """Events as maps on hundredths, with their block on every rung.
 
-
-def ladder_for(events: DataFrame) -> tuple[str, ...]:
-    """The coarse ladder if no second of a belief holds too many events."""
-    fullest = events.groupBy("belief_id", F.date_trunc("second", "ts")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    return COARSE if (fullest or 0) <= BUCKET_LIMIT else FINE
-
-
-def _events(events: DataFrame, deltas: dict[str, int], kind: str, ladder: tuple[str, ...]) -> DataFrame:
-    """Events as maps on hundredths, with their bucket on every rung."""
+    The order is written down, since a range depends on the sample it was cut by.
+    """
     delta = F.lit(0)
     for name, value in deltas.items():
         delta = F.when(F.col(kind) == name, value).otherwise(delta)
     one = F.struct(delta.alias("a"), F.lit(0).alias("l"), F.lit(100).alias("h"))
-    return events.select("*", one.alias("map"), *[_rung(r).alias(f"_{r}") for r in ladder])
+    order = ["belief_id", "ts", "event_id"]
+    ordered = cut_lineage(
+        events.select(*order, kind).repartitionByRange(*order).sortWithinPartitions(*order)
+        .select(*order, F.col(kind).alias("what"), one.alias("map"), F.monotonically_increasing_id().alias("place")))
+    bits = BLOCK.bit_length() - 1
+    return ordered.select("*", *[F.shiftright("place", bits * (k + 1)).alias(f"_{r}") for k, r in enumerate(RUNGS)])
 
 
-def _runs(mapped: DataFrame, key: str, ladder: tuple[str, ...]) -> list[DataFrame]:
-    """Per rung: key, bucket, its ordered children; then the map of each key."""
+def _runs(mapped: DataFrame, key: str) -> list[DataFrame]:
+    """Per rung: key, block, its ordered children; then the map of each key."""
     levels = []
     child, current = None, mapped
-    for i, rung in enumerate([*ladder, None]):
-        bucket = [f"_{r}" for r in ladder[i:]]
-        members = F.struct("ts", "event_id", "map") if child is None else F.struct(child, "map")
+    for i, rung in enumerate([*RUNGS, None]):
+        bucket = [f"_{r}" for r in RUNGS[i:]]
+        members = F.struct("place", "event_id", "what", "map") if child is None else F.struct(child, "map")
         level = current.groupBy(key, *bucket).agg(F.array_sort(F.collect_list(members)).alias("children"))
         levels.append(level)
         current = level.select(key, *bucket, _fold(F.col("children")).alias("map"))
@@ -84,8 +79,7 @@ def _runs(mapped: DataFrame, key: str, ladder: tuple[str, ...]) -> list[DataFram
 
 def composed(events: DataFrame, deltas: dict[str, int], kind: str) -> DataFrame:
     """All events of each belief as one map."""
-    ladder = ladder_for(events)
-    return _runs(_events(events, deltas, kind, ladder), "belief_id", ladder)[-1]
+    return _runs(_events(events, deltas, kind), "belief_id")[-1]
 
 
 def feedback_fold(beliefs: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -121,16 +115,15 @@ def apply_log(beliefs: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def feedback_states(beliefs: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Conviction before and after every single event.
+    """Conviction before and after every single event, and its outcome.
 
     Goes down the ladder again: the state entering a bucket is handed to its
     children, one rung at a time.
     """
-    ladder = ladder_for(outcomes)
-    levels = _runs(_events(outcomes, FEEDBACK_DELTAS, "outcome", ladder), "belief_id", ladder)[:-1]
+    levels = _runs(_events(outcomes, FEEDBACK_DELTAS, "outcome"), "belief_id")[:-1]
     entering = beliefs.select(F.col("id").alias("belief_id"), F.col("conv_pct").alias("state"))
     for i in range(len(levels) - 1, -1, -1):
-        bucket = [f"_{r}" for r in ladder[i:]]
+        bucket = [f"_{r}" for r in RUNGS[i:]]
         joined = levels[i].join(entering, ["belief_id", *bucket])
         start = F.struct(F.col("state").alias("state"), F.array().cast("array<int>").alias("seen"))
         seen = F.aggregate("children", start, lambda acc, m: F.struct(
@@ -142,19 +135,17 @@ def feedback_states(beliefs: DataFrame, outcomes: DataFrame) -> DataFrame:
             return stepped.select(
                 "belief_id", F.col("_s.child.event_id").alias("event_id"),
                 F.col("_s.before").cast("int").alias("before_pct"),
-                _apply(F.col("_s.before"), F.col("_s.child.map")).cast("int").alias("after_pct"),
+                _apply(F.col("_s.before"), F.col("_s.child.map")).cast("int").alias("after_pct"), F.col("_s.child.what").alias("outcome"),
             )
-        child = f"_{ladder[i - 1]}"
+        child = f"_{RUNGS[i - 1]}"
         entering = stepped.select("belief_id", *bucket, F.col(f"_s.child.{child}").alias(child), F.col("_s.before").alias("state"))
     raise AssertionError("the ladder has at least one rung")
 
 
 def flag_reviews(beliefs: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Events after which a belief needs review."""
-    states = feedback_states(beliefs, outcomes)
-    joined = states.join(outcomes.select("event_id", "outcome"), "event_id")
     misleading = F.col("outcome") == "misleading"
-    return joined.filter(misleading | (F.col("after_pct") < REVIEW_BELOW)).select(
+    return feedback_states(beliefs, outcomes).filter(misleading | (F.col("after_pct") < REVIEW_BELOW)).select(
         "event_id", "belief_id", "after_pct", F.when(misleading, "misleading").otherwise("low_conviction").alias("review_type")
     )
 

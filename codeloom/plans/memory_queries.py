@@ -215,7 +215,7 @@ def _(spark, d):
 
 @query("feedback_states", _FOLD + "SELECT belief_id,event_id,CAST(before_pct AS INT) AS before_pct,after_pct FROM f", FB)
 def _(spark, d):
-    return folds.feedback_states(fx.beliefs(spark, d), fx.view(spark, d, "v_outcomes"))
+    return folds.feedback_states(fx.beliefs(spark, d), fx.view(spark, d, "v_outcomes")).drop("outcome")
 
 
 @query("flag_reviews", _FOLD + "SELECT event_id,belief_id,after_pct,CASE WHEN outcome='misleading' THEN 'misleading' ELSE 'low_conviction' END AS review_type FROM f WHERE outcome='misleading' OR after_pct<30", FB)

@@ -38,13 +38,15 @@ def test_fold_equals_event_loop_with_hot_belief(spark):
     assert all(0 <= v <= 100 for v in state.values())
 
 
-def test_fine_ladder_for_a_crowded_instant(spark, monkeypatch):
-    monkeypatch.setattr(folds, "BUCKET_LIMIT", 16)
+def test_no_block_is_longer_than_its_bound(spark, monkeypatch):
+    """One hot belief, few instants, ids in no order."""
+    monkeypatch.setattr(folds, "BLOCK", 16)
     start = {f"b{i}": 50 for i in range(5)}
-    rows = events(300, 2, 0.6)
+    rows = [(r[0] * 7919 % 100_003, *r[1:]) for r in events(300, 2, 0.6)]
     beliefs = spark.createDataFrame([(k, v, 0) for k, v in start.items()], "id string, conv_pct int, usage_count int")
     log = spark.createDataFrame(rows, EVENTS)
-    assert folds.ladder_for(log) == folds.FINE
+    for level in folds._runs(folds._events(log, FEEDBACK_DELTAS, "outcome"), "belief_id")[:-2]:
+        assert max(len(r.children) for r in level.collect()) <= 16
     state, seen = brute(start, rows)
     assert {r.id: r.conv_pct for r in folds.feedback_fold(beliefs, log).collect()} == state
     assert {r.event_id: (r.before_pct, r.after_pct) for r in folds.feedback_states(beliefs, log).collect()} == seen
