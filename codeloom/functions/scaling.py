@@ -95,8 +95,13 @@ def overlap_join(
 
 
 def hash_rate(column: Column, rate: float | Column) -> Column:
-    """Keep about ``rate`` of the rows, the same ones on every run and retry."""
-    share = F.pmod(F.xxhash64(column), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    """Keep about ``rate`` of the rows, the same ones on every run and retry.
+
+    The first eight digits of the MD5 sum of the text decide, which other engines
+    have as well.
+    """
+    digits = F.substring(F.md5(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), 1, 8)
+    share = F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
     return share < (rate if isinstance(rate, Column) else F.lit(rate))
 
 

@@ -98,8 +98,10 @@ def find_matches(files: DataFrame, patterns: Sequence[tuple] = PATTERNS) -> Data
     """Adds ``lines``, ``matches`` and ``heads`` to files.
 
     ``files``: project_id, path, language, content, schemas. Rows appended to
-    ``patterns`` (with their schema in ``schemas``) are user patterns.
+    ``patterns`` (with their schema in ``schemas``) are user patterns. Line ends
+    of all kinds count as one, so that ``$`` stands before each.
     """
+    files = files.withColumn("content", F.regexp_replace("content", "\r\n?", "\n"))
     rules = compiled(patterns)
     heads = {k: re.compile(v, re.M | re.ASCII) for k, v in HEADS.items()}
     wanted = F.flatten(F.transform("schemas", lambda s: F.coalesce(_rules_of(s["schema"], patterns), F.array().cast("array<string>"))))

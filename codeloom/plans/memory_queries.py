@@ -335,7 +335,7 @@ def _(spark, d):
     return trust.enhancement_candidates(fx.nodes(spark, d)).select("id", "reason")
 
 
-@query("verification_sample")
+@query("verification_sample", f"WITH {_TS} SELECT v.event_id AS id,v.schema_id,v.pattern_name FROM v_verifications v JOIN ts USING (schema_id,pattern_name) WHERE CAST(('0x'||substr(md5(CAST(v.event_id AS VARCHAR)),1,8)) AS BIGINT)/4294967296.0::DOUBLE<{_RATE}", V)
 def _(spark, d):
     log = fx.view(spark, d, "v_verifications")
     return trust.verification_sample(log.select(F.col("event_id").alias("id"), "schema_id", "pattern_name"), trust.trust_scores(log))
