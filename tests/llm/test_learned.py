@@ -54,12 +54,15 @@ def test_long_text_scores_piece_by_piece(monkeypatch):
 
 
 def test_toxicity_held_out(spark):
-    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    """Some labelled texts were overwritten with junk and have nothing left that tells."""
+    large = SF.replace("sf0.01", "sf0.1")
+    docs, labels = spark.read.parquet(f"{large}/documents.parquet"), spark.read.parquet(f"{large}/labels.parquet")
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     found = toxicity.score_toxicity(docs, labels).collect()
     tested = [(r.score, truth[r.doc_id]) for r in found if r.held_out and r.doc_id in truth]
     good, bad = [x for x, y in tested if y], [x for x, y in tested if not y]
-    assert sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad)) > 0.9
+    assert sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad)) > 0.93
+    assert sum(x >= 0.5 for x in bad) <= 0.01 * len(bad)
     assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in found)
 
 
