@@ -75,13 +75,8 @@ def cost_cents(prompt: Column, completion: Column, priced: Column) -> Column:
 
 
 def price_usage(usage: DataFrame) -> DataFrame:
-    """Usage rows with their price.
-
-    Model names are few: each distinct one is matched once and the prices come
-    back by an equi join on the name.
-    """
-    models = usage.select("model_id").distinct().select("model_id", price(F.col("model_id")).alias("_p"))
-    return usage.join(models, "model_id").select(
+    """Usage rows with their price, a column of the model's name."""
+    return usage.withColumn("_p", price(F.col("model_id"))).select(
         *usage.columns, F.col("_p.input_cents").alias("input_cents"), F.col("_p.output_cents").alias("output_cents"),
         F.round(cost_cents(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("_p")), 6).alias("cost_cents"),
     )
@@ -107,16 +102,17 @@ def session_usage(usage: DataFrame, session: str) -> DataFrame:
 
 
 def pair_events(events: DataFrame) -> DataFrame:
-    """Start and end of each request: duration, outcome, merged payload.
+    """First start of each request and its earliest end from then on: duration, outcome, merged payload.
 
-    One aggregation keyed by request finds both ends, so there is no self join.
-    ``events``: request_id, event_type, ts, data (JSON object).
+    A window and an aggregation keyed by request share one shuffle, and there is
+    no self join. ``events``: request_id, event_type, ts, data (JSON object).
     """
     is_start, is_end = F.col("event_type") == START, F.col("event_type").isin(*ENDS)
     kept = events.filter(is_start | is_end)
     row = F.struct("ts", "event_type", "data")
-    ends = kept.groupBy("request_id").agg(
-        F.min(F.when(is_start, row)).alias("s"), F.min(F.when(is_end, row)).alias("e")
+    began = F.min(F.when(is_start, F.col("ts"))).over(Window.partitionBy("request_id"))
+    ends = kept.withColumn("_began", began).groupBy("request_id").agg(
+        F.min(F.when(is_start, row)).alias("s"), F.min(F.when(is_end & (F.col("ts") >= F.col("_began")), row)).alias("e")
     ).filter("s IS NOT NULL AND e IS NOT NULL")
     bag = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
     start_bag, end_bag = bag(F.col("s.data")), bag(F.col("e.data"))
