@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.shingles import mixed, shingle_set
@@ -38,9 +38,13 @@ FULL = 181
 #: over four standard deviations below the threshold.
 SKETCH = 96
 ESTIMATE = 0.68
-#: Lists up to this length form all their pairs; longer ones meet their first member, then what is still apart is compared in blocks.
+#: Lists up to this length form all their pairs; in longer ones all meet one member, then what is still apart is compared in blocks.
 SHORT_LIST = 24
+#: Documents and hashes in a block.
 BLOCK = 128
+BLOCK_HASHES = 500_000
+#: Columns of one product of a block with another.
+COLUMNS = 1 << 14
 
 
 def _level(n: int) -> tuple[int, int]:
@@ -121,33 +125,66 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": pdf.doc_id, "s": sets})[right]
 
 
-def _between_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of two blocks of one list that are in different components and whose estimate passes."""
-    for pdf in batches:
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set on the left with every one on the right."""
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in left + right])
+    _, column, held = np.unique(np.concatenate(left + right), return_inverse=True, return_counts=True)
+    several = held > 1
+    place = np.cumsum(several) - 1
+    keep = several[column]
+    owner, column = owner[keep], place[column[keep]]
+    both = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for low in range(0, int(several.sum()), COLUMNS):
+        at = slice(*np.searchsorted(column, (low, low + COLUMNS)))
+        held_by = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        held_by[owner[at], column[at] - low] = 1
+        both += held_by[: len(left)] @ held_by[len(left) :].T
+    return both
+
+
+def _between_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between two blocks of one list whose ends are in different components; those that join nothing new are left out."""
+    for batch in batches:
         out = []
-        for left, right in zip(pdf.left, pdf.right, strict=True):
-            bs = [np.unique(np.frombuffer(y["sketch"], "<u4")) for y in right]
-            for x in left:
-                a = np.unique(np.frombuffer(x["sketch"], "<u4"))
-                for y, b in zip(right, bs, strict=True):
-                    small, large = sorted((x["n"], y["n"]))
-                    if x["component"] != y["component"] and 100 * small >= SIMILAR * large and _estimate(a, b) >= ESTIMATE:
-                        out.append((min(x["id"], y["id"]), max(x["id"], y["id"])))
-        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
-def _links(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, estimate: bool = True) -> DataFrame:
-    """The pairs that are similar enough, each once. The whole sets are made again from the texts, for candidates only."""
-    pairs = stored(pairs.distinct(), "pairs")
+        for row in batch.to_pylist():
+            left, right = row["left"], row["right"]
+            sets = [[np.frombuffer(x["s"], "<u8") for x in side] for side in (left, right)]
+            both = _overlaps(*sets)
+            sizes = [np.array([len(s) for s in side], np.float32) for side in sets]
+            union = sizes[0][:, None] + sizes[1][None, :] - both
+            root: dict[int, int] = {}
+
+            def find(x: int, root: dict[int, int] = root) -> int:
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            for i, j in np.argwhere(100 * both >= SIMILAR * union).tolist():
+                x, y = find(left[i]["component"]), find(right[j]["component"])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((left[i]["id"], right[j]["id"]))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _whole_sets(docs: DataFrame, vertices: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, s): whole sets of the wanted vertices, made again from their texts."""
+    wanted = stored(ids.join(vertices.select("id", "whole"), "id").withColumnRenamed("id", "doc_id"), "wanted")
+    return stored(docs.join(wanted, "doc_id").mapInPandas(_sets, "id long, s binary"), "sets")
+
+
+def _links(docs: DataFrame, vertices: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar enough: by estimate, then by their whole sets."""
     side = lambda name, value, df: df.select(F.col("id").alias(name), F.col(value).alias("s" + name))
-    if estimate:
-        joined = pairs.join(side("a", "sketch", vertices), "a").join(side("b", "sketch", vertices), "b")
-        pairs = stored(joined.mapInPandas(_estimated, "a long, b long"), "estimated")
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = stored(ends.join(vertices.select(F.col("id").alias("doc_id"), "whole"), "doc_id"), "wanted")
-    sets = stored(docs.select("doc_id", "text").join(wanted, "doc_id").mapInPandas(_sets, "id long, s binary"), "sets")
-    joined = pairs.join(side("a", "s", sets), "a").join(side("b", "s", sets), "b")
-    return stored(joined.mapInPandas(_confirmed, "a long, b long").distinct(), "links")
+    joined = pairs.join(side("a", "sketch", vertices), "a").join(side("b", "sketch", vertices), "b")
+    near = stored(joined.mapInPandas(_estimated, "a long, b long"), "estimated")
+    ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = _whole_sets(docs, vertices, ends)
+    joined = near.join(side("a", "s", sets), "a").join(side("b", "s", sets), "b")
+    return stored(joined.mapInPandas(_confirmed, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -173,38 +210,54 @@ def components(links: DataFrame) -> DataFrame:
         labels = stored(lower.join(over, "component").select("id", F.col("next").alias("component")), "labels")
 
 
-def _first_pairs(lists: DataFrame, sizes: DataFrame) -> DataFrame:
-    """All pairs of short lists; of longer ones each member with one of them, another in every list."""
-    short = lists.join(sizes.filter(F.col("size") <= SHORT_LIST), "key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("m"))
+def _meetings(n: Column) -> Column:
+    """In how many short lists a pair must meet, by the size of the smaller set.
+
+    A pair similar enough shares 12 lists in the mean where there are 32, and fewer
+    than three once in 20,000 pairs at the very threshold.
+    """
+    return F.when(n > 90, 3).when(n > 22, 2).otherwise(1)
+
+
+def _first_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs that meet in short lists often enough; of longer lists each member with one of them, another in every list.
+
+    A pair that shares a long list besides is found there.
+    """
+    short = lists.filter(F.col("size") <= SHORT_LIST).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("m"))
     pair = lambda x, y: F.struct(x["id"].alias("a"), y["id"].alias("b"), F.least(x["n"], y["n"]).alias("low"), F.greatest(x["n"], y["n"]).alias("high"))
     after = F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: pair(x, y)))
-    all_pairs = short.select(F.explode(F.flatten(after)).alias("p")).select("p.*")
-    long = lists.join(sizes.filter(F.col("size") > SHORT_LIST), "key")
-    heads = long.groupBy("key").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id", "key")).alias("head"))
-    met = long.join(heads, "key").filter(F.col("id") != F.col("head.id")).select(
-        F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"),
-        F.least("n", "head.n").alias("low"), F.greatest("n", "head.n").alias("high"),
-    )
-    return all_pairs.union(met).filter((F.col("a") != F.col("b")) & (F.col("low") * 100 >= F.col("high") * SIMILAR)).select("a", "b")
+    close = F.filter(F.flatten(after), lambda p: (p["low"] * 100 >= p["high"] * SIMILAR) & (p["a"] != p["b"]))
+    often = short.select(F.explode(close).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("times"), F.min("p.low").alias("low"))
+    long = lists.filter(F.col("size") > SHORT_LIST)
+    heads = stored(long.groupBy("key").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id", "key")).alias("head")), "heads")
+    met = long.join(heads, "key").filter((F.col("id") != F.col("head.id")) & (F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * SIMILAR))
+    star = met.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"))
+    return stored(often.filter(F.col("times") >= _meetings(F.col("low"))).select("a", "b").union(star).distinct(), "pairs")
 
 
-def _apart_pairs(lists: DataFrame, sizes: DataFrame, vertices: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs within long lists that the first links left in different components, by estimate.
+def _apart_links(docs: DataFrame, lists: DataFrame, vertices: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links within long lists between members that the first links left in different components.
 
     Members of a list's largest component are not compared with one another; the
-    others meet all members, block by block, inside the tasks.
+    others meet all members, block by block, and the tasks give back links alone.
+    Blocks are bounded in documents and in hashes.
     """
-    long = lists.join(sizes.filter(F.col("size") > SHORT_LIST), "key")
-    labelled = long.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = labelled.groupBy("key", "component").count()
-    largest = parts.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("parts"))
-    mixed_lists = stored(largest.filter(F.col("parts") > 1), "mixed")
-    members = stored(labelled.join(mixed_lists, "key").join(vertices.select("id", "sketch"), "id"), "members")
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
-    row = F.struct("id", "n", "component", "sketch")
-    blocks = lambda df, name: df.groupBy("key", block.alias(name + "_block")).agg(F.collect_list(row).alias(name))
-    pairs = blocks(members.filter(F.col("component") != F.col("largest")), "left").join(blocks(members, "right"), "key")
-    return pairs.select("left", "right").mapInPandas(_between_blocks, "a long, b long")
+    long = lists.filter(F.col("size") > SHORT_LIST)
+    labelled = stored(long.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("members"), F.sum("n").alias("hashes"))
+    split = parts.groupBy("key").agg(
+        F.max_by("component", F.struct("members", "component")).alias("largest"), F.count("*").alias("parts"),
+        F.greatest(F.ceil(F.sum("members") / BLOCK), F.ceil(F.sum("hashes") / BLOCK_HASHES)).alias("blocks"))
+    mixed_lists = stored(split.filter(F.col("parts") > 1), "mixed")
+    members = stored(labelled.join(mixed_lists, "key"), "members")
+    sets = _whole_sets(docs, vertices, members.select("id").distinct())
+    held = members.join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    row = F.struct("id", "component", "s")
+    blocks = lambda df, name: df.groupBy("key", F.col("block").alias(name + "_block")).agg(F.collect_list(row).alias(name))
+    pairs = blocks(held.filter(F.col("component") != F.col("largest")), "left").join(blocks(held, "right"), "key")
+    # A row is two blocks, so few at a time.
+    return stored(pairs.select("left", "right").mapInArrow(_between_blocks, "a long, b long"), "apart")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -223,12 +276,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     lists = vertices.select(F.explode("keys").alias("key"), "id", "n")
     sizes = stored(lists.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1), "sizes")
-    lists = stored(lists.join(sizes.select("key"), "key", "left_semi"), "lists")
-    links = _links(read, vertices, _first_pairs(lists, sizes))
+    lists = stored(lists.join(sizes, "key"), "lists")
+    links = _links(read, vertices, _first_pairs(lists))
     labels = components(links)
-    apart = stored(_apart_pairs(lists, sizes, vertices, labels), "apart")
-    if apart.limit(1).count():
-        labels = components(links.union(_links(read, vertices, apart, estimate=False)))
+    apart = _apart_links(read, lists, vertices, labels)
+    if not apart.isEmpty():
+        labels = components(links.union(apart))
     classes = vertices.select("whole", "id").join(labels, "id", "left").select("whole", F.coalesce("component", "id").alias("component"))
     found = rows.select("doc_id", "n", "whole").join(classes, "whole", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
