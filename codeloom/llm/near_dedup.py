@@ -40,6 +40,8 @@ SKETCH = 96
 ESTIMATE = 0.68
 #: Lists up to this length form all their pairs; in longer ones all meet one member, then what is still apart is compared in blocks.
 SHORT_LIST = 24
+#: One of so many long lists has a member that all others meet.
+HEADED = 4
 #: Documents and hashes in a block.
 BLOCK = 128
 BLOCK_HASHES = 500_000
@@ -171,20 +173,19 @@ def _between_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _whole_sets(docs: DataFrame, vertices: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, s): whole sets of the wanted vertices, made again from their texts."""
+    """(id, s): whole sets of the wanted vertices, made again from their texts.
+
+    The texts are shuffled once, at every size alike; the ids have no bound that
+    a broadcast could rest on.
+    """
     wanted = stored(ids.join(vertices.select("id", "whole"), "id").withColumnRenamed("id", "doc_id"), "wanted")
-    return stored(docs.join(wanted, "doc_id").mapInPandas(_sets, "id long, s binary"), "sets")
+    return stored(docs.join(wanted.hint("merge"), "doc_id").mapInPandas(_sets, "id long, s binary"), "sets")
 
 
-def _links(docs: DataFrame, vertices: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar enough: by estimate, then by their whole sets."""
-    side = lambda name, value, df: df.select(F.col("id").alias(name), F.col(value).alias("s" + name))
-    joined = pairs.join(side("a", "sketch", vertices), "a").join(side("b", "sketch", vertices), "b")
-    near = stored(joined.mapInPandas(_estimated, "a long, b long"), "estimated")
-    ends = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _whole_sets(docs, vertices, ends)
-    joined = near.join(side("a", "s", sets), "a").join(side("b", "s", sets), "b")
-    return stored(joined.mapInPandas(_confirmed, "a long, b long"), "links")
+def _sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """Pairs (a, b) with the value of both ends as sa and sb."""
+    side = lambda name: table.select(F.col("id").alias(name), F.col(value).alias("s" + name))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -230,13 +231,15 @@ def _first_pairs(lists: DataFrame) -> DataFrame:
     close = F.filter(F.flatten(after), lambda p: (p["low"] * 100 >= p["high"] * SIMILAR) & (p["a"] != p["b"]))
     often = short.select(F.explode(close).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("times"), F.min("p.low").alias("low"))
     long = lists.filter(F.col("size") > SHORT_LIST)
+    # A quarter of the lists by their keys: enough to join most of a family, and what stays apart is compared over all lists.
+    long = long.filter(F.pmod("key", F.lit(HEADED)) == 0)
     heads = stored(long.groupBy("key").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id", "key")).alias("head")), "heads")
     met = long.join(heads, "key").filter((F.col("id") != F.col("head.id")) & (F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * SIMILAR))
     star = met.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"))
     return stored(often.filter(F.col("times") >= _meetings(F.col("low"))).select("a", "b").union(star).distinct(), "pairs")
 
 
-def _apart_links(docs: DataFrame, lists: DataFrame, vertices: DataFrame, labels: DataFrame) -> DataFrame:
+def _apart_links(lists: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Links within long lists between members that the first links left in different components.
 
     Members of a list's largest component are not compared with one another; the
@@ -251,7 +254,6 @@ def _apart_links(docs: DataFrame, lists: DataFrame, vertices: DataFrame, labels:
         F.greatest(F.ceil(F.sum("members") / BLOCK), F.ceil(F.sum("hashes") / BLOCK_HASHES)).alias("blocks"))
     mixed_lists = stored(split.filter(F.col("parts") > 1), "mixed")
     members = stored(labelled.join(mixed_lists, "key"), "members")
-    sets = _whole_sets(docs, vertices, members.select("id").distinct())
     held = members.join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     row = F.struct("id", "component", "s")
     blocks = lambda df, name: df.groupBy("key", F.col("block").alias(name + "_block")).agg(F.collect_list(row).alias(name))
@@ -277,9 +279,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = vertices.select(F.explode("keys").alias("key"), "id", "n")
     sizes = stored(lists.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1), "sizes")
     lists = stored(lists.join(sizes, "key"), "lists")
-    links = _links(read, vertices, _first_pairs(lists))
+    near = stored(_sides(_first_pairs(lists), vertices, "sketch").mapInPandas(_estimated, "a long, b long"), "estimated")
+    ends = near.select(F.explode(F.array("a", "b")).alias("id")).union(lists.filter(F.col("size") > SHORT_LIST).select("id"))
+    sets = _whole_sets(read, vertices, ends.distinct())
+    links = stored(_sides(near, sets, "s").mapInPandas(_confirmed, "a long, b long"), "links")
     labels = components(links)
-    apart = _apart_links(read, lists, vertices, labels)
+    apart = _apart_links(lists, sets, labels)
     if not apart.isEmpty():
         labels = components(links.union(apart))
     classes = vertices.select("whole", "id").join(labels, "id", "left").select("whole", F.coalesce("component", "id").alias("component"))
