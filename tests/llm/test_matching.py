@@ -143,7 +143,8 @@ def test_benchmark_in_blocks(spark, monkeypatch):
 def test_odd_documents_have_leaks(spark):
     docs = fixtures.odd_docs(spark)
     benchmark = spark.createDataFrame([(1, fixtures.prose(2, 300)), (None, "a b c d e f g h i"), (2, None), (3, "one two")], "item_id long, text string")
-    assert {r.doc_id for r in decontamination.find_leaks(docs, benchmark).collect()} == {-1, 1, 2, 3, 8, 9}
+    # "one two" is numbers alone, which tells nothing.
+    assert {r.doc_id for r in decontamination.find_leaks(docs, benchmark).collect()} == {-1, 1, 2, 3}
     assert decontamination.drop_leaks(docs, benchmark).columns == docs.columns
     assert decontamination.find_leaks(docs, benchmark.limit(0)).collect() == [] == decontamination.find_leaks(fixtures.no_docs(spark), benchmark).collect()
 
