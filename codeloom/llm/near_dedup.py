@@ -304,6 +304,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     wrapped = docs.select(F.col("doc_id").alias("_id"), F.struct("*").alias("doc"))
     match = lambda ids: wrapped["_id"] == ids["doc_id"]
     kept = wrapped.join(gone, match(gone), "left_anti")
+    if repeated.isEmpty():
+        return kept.select("doc.*")
     once = kept.join(repeated, kept["_id"] == repeated["doc_id"], "left_anti")
     several = kept.join(repeated, kept["_id"] == repeated["doc_id"], "left_semi").groupBy("_id").agg(F.first("doc").alias("doc"))
     return once.select("doc.*").union(several.select("doc.*"))
