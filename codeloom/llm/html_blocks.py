@@ -4,14 +4,23 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
-#: Markup: comments, elements whose content is no text, tags, declarations. A ``<`` that opens none of these is text.
+#: Elements whose content is no text; those of them that run to the end of the page where nothing closes them.
+_SKIPPED = "script style noscript template svg iframe object canvas math".split()
+_RUNS_ON = frozenset(("script", "style"))
+#: Markup: comments, tags, declarations. A ``<`` that opens none of these is text.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(_SKIPPED)})(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
+_ENDS = {tag: re.compile(rf"</{tag}(?:\s[^>]*|/)?>", re.I) for tag in _SKIPPED}
+#: A slash at the end of a bare value belongs to the value and closes nothing.
+_BARE = re.compile(r"=\s*[^\s\"'>]+/\Z")
+#: So many of the elements around a block are told with it.
+_TOLD = 2000
 #: Tags that part blocks.
 BLOCKS = frozenset("""
 html head body title main article section nav header footer aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody
@@ -40,13 +49,17 @@ def leaf_blocks(page: str | None) -> list[Block]:
     """Blocks with text, in page order. Character references are decoded, white space is one space.
 
     Unclosed elements end with what encloses them; a closing tag without an
-    opening one is passed over. ``data-label="main"`` marks the text of labelled
+    opening one is passed over. Elements without text are left out up to their
+    closing tag; one that closes itself, or that nothing closes, is empty, and
+    only scripts and styles run on to the end. ``data-label="main"`` marks the text of labelled
     pages and is no part of the roles.
     """
     blocks: list[Block] = []
     stack: list[tuple[str, str, bool]] = []
     parts: list[str] = []
     links, linked, at = 0, 0, 0
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()
     if not page:
         return blocks
 
@@ -54,30 +67,47 @@ def leaf_blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            blocks.append(Block(text, tuple(t for t, _, _ in stack), " ".join(r for _, r, _ in stack if r), linked, any(m for _, _, m in stack)))
+            told = stack[:_TOLD]
+            blocks.append(Block(text, tuple(t for t, _, _ in told), " ".join(r for _, r, _ in told if r), linked, bool(stack) and stack[-1][2]))
         parts.clear()
         linked = 0
 
     def close(tags: tuple[str, ...], walls: frozenset[str]) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in tags:
+                opened.subtract(t for t, _, _ in stack[k:])
                 del stack[k:]
                 return
             if stack[k][0] in walls:
                 return
 
-    for m in _MARKUP.finditer(page):
+    def skipped(tag: str, attributes: str, start: int) -> int:
+        """Where the page goes on after the opening tag of an element without text."""
+        if tag not in _RUNS_ON and (tag in unclosed or attributes.endswith("/") and not _BARE.search(attributes)):
+            return start
+        end = _ENDS[tag].search(page, start)
+        if end:
+            return end.end()
+        unclosed.add(tag)
+        return len(page) if tag in _RUNS_ON else start
+
+    while m := _MARKUP.search(page, at):
         if m.start() > at:
             parts.append(page[at : m.start()])
             if links:
                 linked += m.start() - at
         at = m.end()
-        tag = m[3] or m[6]
+        if m[1]:
+            at = skipped(m[1].lower(), m[2], at)
+            continue
+        tag = m[4] or m[7]
         if tag is None:
             continue
         tag = tag.lower()
         if tag == "a":
-            links = 0 if (m[2] or m[5]) else 1
+            links = 0 if (m[3] or m[6]) else 1
         if tag == "br":
             parts.append(" ")
         if tag not in BLOCKS:
@@ -85,7 +115,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         end_block()
         if tag == "hr":
             continue
-        if m[2] or m[5]:
+        if m[3] or m[6]:
             close((tag,), frozenset())
             continue
         if tag in _ENDS_P:
@@ -93,14 +123,14 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag in _CLOSES:
             close(_CLOSES[tag], _WALLS - frozenset(_CLOSES[tag]) if tag != "li" else frozenset(("ul", "ol", "menu")))
         roles, main = [], False
-        for name, value in _ROLE.findall(m[4] or m[7] or ""):
+        for name, value in _ROLE.findall(m[5] or m[8] or ""):
             value = value.strip("\"'").lower()
             if name.lower() == "data-label":
                 main = value == "main"
             else:
                 roles.append(value)
-        if len(stack) < 2000:
-            stack.append((tag, " ".join(roles), main))
+        stack.append((tag, " ".join(roles), main or bool(stack) and stack[-1][2]))
+        opened[tag] += 1
     parts.append(page[at:])
     end_block()
     return blocks

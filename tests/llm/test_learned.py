@@ -142,6 +142,26 @@ def test_markup():
     assert html_blocks.leaf_blocks(None) == [] == html_blocks.leaf_blocks("")
 
 
+@pytest.mark.parametrize("icon", [
+    '<svg class="i"/>', "<svg/>", "<svg hidden/>", "<iframe src=x />", '<object data="x"/>', "<svg-icon name='i'></svg-icon>", "<template-x>", "<object-view/>",
+    "<canvas>", "<iframe src=x>", "<svg>drawn</svg>", "<svg width=1/>drawn</svg>", "<noscript>none</noscript >", "<math/><svg/>", '<svg title="a>b"/>',
+])
+def test_elements_without_text_end_where_they_close(icon):
+    page = f"<p>before</p>{icon}<article>main text</article><p>after</p>"
+    assert [b.text for b in html_blocks.leaf_blocks(page)] == ["before", "main text", "after"]
+
+
+def test_icons_apart_and_scripts_to_the_end():
+    page = "<p>one</p><svg/><p>two</p><svg><title>t</title></svg><p>three</p><script src=x /><p>code</p>"
+    assert [b.text for b in html_blocks.leaf_blocks(page)] == ["one", "two", "three"]
+
+
+def test_deep_elements_stay_paired():
+    page = "<section>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>last</p></section>"
+    deep, last = html_blocks.leaf_blocks(page)
+    assert len(deep.tags) == 2000 and last.tags == ("section", "p")
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", "<article><p>" + "word " * 300_000), (2, None, None), (None, "u", ""), (3, "u", "<" * 5000), (3, "u", "<p>" * 3000 + "x"), (4, "u", "no markup at all.")]
     pages = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
