@@ -1,16 +1,18 @@
 """Benchmark decontamination by templates.
 
 Numbers, names and units become typed placeholders in benchmark items and
-documents alike. Windows of template words meet by hash; where windows of an item
-are found, the values behind the placeholders must map one to one from item to
-document, so that a question with other numbers or names is caught, and a chance
-likeness of templates is not.
+documents alike. Windows of template words meet by hash. A window with the item's
+own values counts always; where values are changed, names must map one to one
+from item to document, and a window with a name that does not is left out, so that
+a question with other numbers or names is caught, and a chance likeness of
+templates is not. Numbers and units may change each by itself: equal ones need not
+stay equal, nor different ones different.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -130,22 +132,26 @@ class ItemIndex:
         if not text or not self.items:
             return []
         t = template(text)
-        met: dict[tuple[int, int], dict[int, int]] = defaultdict(dict)
+        met: dict[tuple[int, int], set[int]] = defaultdict(set)
         for width, found in self.at.items():
             h = t.windows(width)
             table = self.maybe[width]
             for i in np.nonzero(table[(h & np.uint64(len(table) - 1)).astype(np.int64)])[0].tolist():
                 for k, place in found.get(int(h[i]), ()):
-                    met[k, i - place].setdefault(place, i)
+                    met[k, i - place].add(place)
         out: dict[int, tuple[set, int, int]] = {}
-        for (k, _), places in met.items():
+        for (k, shift), places in met.items():
             item, width = self.items[k][1], min(WINDOW, len(self.items[k][1].words))
-            slots = {(place + j, i + j) for place, i in places.items() for j in range(width) if item.kind[place + j] != LITERAL}
-            pairs = {(item.words[a].strip(_EDGES).lower(), t.words[b].strip(_EDGES).lower()) for a, b in slots}
-            if len({a for a, _ in pairs}) != len(pairs) or len({b for _, b in pairs}) != len(pairs):
-                continue  # one value stands for two
+            at = {place + j for place in places for j in range(width) if item.kind[place + j] != LITERAL}
+            pairs = {a: (item.words[a].strip(_EDGES).lower(), t.words[a + shift].strip(_EDGES).lower()) for a in at}
+            names = {p for a, p in pairs.items() if item.kind[a] == NAME and p[0] != p[1]}
+            old, new = Counter(x for x, _ in names), Counter(y for _, y in names)
+            clash = {a for a, p in pairs.items() if p in names and (old[p[0]] > 1 or new[p[1]] > 1)}
+            if clash:
+                places = [place for place in places if clash.isdisjoint(range(place, place + width))]
+                at = {a for place in places for a in range(place, place + width) if a in pairs}
             seen, all_slots, changed = out.get(k, (set(), 0, 0))
-            out[k] = (seen | set(places), all_slots + len(slots), changed + sum(a != b for a, b in pairs))
+            out[k] = (seen | set(places), all_slots + len(at), changed + len({pairs[a] for a in at if pairs[a][0] != pairs[a][1]}))
         return [
             (self.items[k][0], len(seen), len(seen) / self.count[k], slots, changed)
             for k, (seen, slots, changed) in sorted(out.items())

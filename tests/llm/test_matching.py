@@ -123,6 +123,26 @@ def test_templates(spark):
     assert found[0, 0].changed == 0 and found[1, 0].changed >= 4
 
 
+def test_changed_values_cost_only_their_windows():
+    words = [w for w in fixtures.prose(9, 90).lower().replace(".", "").split() if w not in decontamination.UNITS | decontamination.NUMBERS][:60]
+    words[5] = words[30] = words[50] = "Paris"
+    item = " ".join(words)
+    index = decontamination.ItemIndex([(1, item)])
+    windows = index.count[0]
+    one_other = " ".join([*words[:50], "Lyon", *words[51:]])
+    assert index.matches(one_other) == [(1, windows, 1.0, 3, 1)]
+    clashing = " ".join([*words[:5], "Rome", *words[6:50], "Lyon", *words[51:]])
+    (_, found, _, slots, changed), = index.matches(clashing)
+    assert found == windows - 6 - 8 and (slots, changed) == (1, 0)
+
+
+@pytest.mark.parametrize(("old", "new"), [(("5", "5"), ("7", "9")), (("3", "4"), ("6", "6"))])
+def test_numbers_change_each_by_itself(old, new):
+    question = "Tom buys {} ripe apples at the market and later sells {} of the pears to a friend who lives near the river."
+    index = decontamination.ItemIndex([(1, question.format(*old))])
+    assert [m[0] for m in index.matches(question.format(*new))] == [1]
+
+
 def test_leaks_equal_plain_search(spark):
     docs, benchmark = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [(r.item_id, " ".join(r.text.split())) for r in benchmark.collect()]
