@@ -8,15 +8,19 @@ union of a pair, from the bottom-k hashes of both, estimates its similarity and
 filters; the whole sets confirm. Documents with identical sets are one vertex
 throughout, so copies form no pairs.
 
-A pair similar enough disagrees in at most 3 of 17 hashes of the smaller set. Up
-to `FULL` hashes the whole class is retained and there are more than twice as many classes as
-disagreements (up to 32), so classes must agree. Beyond, the `RETAINED` smallest of 32
-classes miss a pair at the very threshold once in four million.
+Where one hash at most can disagree, the lists are those of the set and of the set
+without each hash, so no pair is missed. Up to ``CLASSES`` - 1 disagreements whole
+classes are retained and there are more than twice as many classes as disagreements
+(up to 32), so classes must agree. Beyond, the smallest hashes of 32 classes miss a
+pair at the very threshold less than once in a million. Pairs that meet seldom are
+looked at last, and only where their ends are still apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,16 +32,17 @@ from pyspark.sql import functions as F
 from codeloom.llm.shingles import mixed, shingle_set
 from codeloom.llm.tables import stored
 
-#: 100 * intersection must reach this many times the union.
+#: 100 * intersection must reach this many times the union, unless another threshold is given (80 at least).
 SIMILAR = 85
 CLASSES = 32
-RETAINED = 6
-#: Sets up to this size keep whole classes.
-FULL = 181
-#: Hashes of the sketch that estimates a pair, and the estimate from which the whole sets are compared:
-#: over four standard deviations below the threshold.
+#: Hashes retained of a class of large sets, as many as agree in this share of the classes of a pair at the threshold.
+AGREEING = 0.37
+#: Small sets get more classes while all that a pair shares may fall into the classes that disagree with this chance.
+ALL_IN = 1e-6
+#: Hashes of the sketch that estimates a pair, and the chance that a pair at the threshold falls below the estimate
+#: from which the whole sets are compared.
 SKETCH = 96
-ESTIMATE = 0.68
+BELOW = 1e-9
 #: Lists up to this length form all their pairs; in longer ones all meet one member, then what is still apart is compared in blocks.
 SHORT_LIST = 24
 #: One of so many long lists has a member that all others meet.
@@ -49,23 +54,43 @@ BLOCK_HASHES = 500_000
 COLUMNS = 1 << 14
 
 
-def _level(n: int) -> tuple[int, int]:
-    """(classes, hashes retained in each, 0 for all) of a set of ``n``; no classes if only an identical set can be similar enough."""
-    apart = 3 * n // 17
-    if apart == 0:
-        return 0, 0
-    if n > FULL:
-        return CLASSES, RETAINED
-    return min(CLASSES, 1 << (2 * apart + 1).bit_length()), 0
-
-
-def list_keys(values: np.ndarray) -> np.ndarray:
+@lru_cache(1 << 12)
+def _level(n: int, similar: int = SIMILAR) -> tuple[int, int]:
+    """(classes, hashes retained in each, 0 for all) of a set of ``n``; no classes if only an identical set can be similar enough, one if a single hash may be left out."""
+    apart = (100 - similar) * n // similar
+    if apart < 2:
+        return apart, 0
+    if apart >= CLASSES:
+        return CLASSES, int(math.log(AGREEING) / math.log(similar / 100))
+    classes = 1 << (2 * apart + 1).bit_length()
+    while (apart / classes) ** (apart * similar / (100 - similar)) > ALL_IN:
+        classes *= 2
+    return min(CLASSES, classes), 0
+
+
+@lru_cache
+def _least_estimate(similar: int) -> float:
+    """The estimate that a pair at the threshold falls below with the chance ``BELOW`` at most."""
+    p, below = similar / 100, 0.0
+    for k in range(SKETCH):
+        below += math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        if below > BELOW:
+            return k / SKETCH
+    return 1.0
+
+
+def list_keys(values: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
     """Keys of the inverted lists of a set: its own level, and the next one where a larger set similar enough has that."""
     n = len(values)
     keys = []
-    for classes, kept in dict.fromkeys((_level(n), _level(n * 20 // 17))):
+    for classes, kept in dict.fromkeys((_level(n, similar), _level(n * 100 // similar, similar))):
         if not classes:
             continue
+        if classes == 1:
+            chosen = mixed(values ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+            whole = np.bitwise_xor.reduce(chosen)
+            keys.append(mixed(np.r_[whole, whole ^ chosen] ^ mixed(np.full(1, 1 << 16, np.uint64))))
+            continue
         residue = (values & np.uint64(classes - 1)).astype(np.int64)
         order = np.argsort(residue, kind="stable")
         sizes = np.bincount(residue, minlength=classes)
@@ -79,7 +104,7 @@ def list_keys(values: np.ndarray) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, wholes, sketches, keys = [], [], [], []
         for text in batch.column("text"):
@@ -87,7 +112,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(values))
             wholes.append(xxhash.xxh3_128_hexdigest(values.tobytes()) if len(values) else None)
             sketches.append((values[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
-            keys.append(list_keys(values).view(np.int64))
+            keys.append(list_keys(values, similar).view(np.int64))
         ends = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
@@ -103,19 +128,20 @@ def _estimate(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / max(1, len(union))
 
 
-def _estimated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _estimated(batches: Iterator[pd.DataFrame], similar: int) -> Iterator[pd.DataFrame]:
+    least = _least_estimate(similar)
     for pdf in batches:
-        near = [_estimate(np.unique(np.frombuffer(x, "<u4")), np.unique(np.frombuffer(y, "<u4"))) >= ESTIMATE for x, y in zip(pdf.sa, pdf.sb, strict=True)]
+        near = [_estimate(np.unique(np.frombuffer(x, "<u4")), np.unique(np.frombuffer(y, "<u4"))) >= least for x, y in zip(pdf.sa, pdf.sb, strict=True)]
         yield pdf.loc[near, ["a", "b"]]
 
 
-def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _confirmed(batches: Iterator[pd.DataFrame], similar: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         good = []
         for x, y in zip(pdf.sa, pdf.sb, strict=True):
             a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
             both = len(np.intersect1d(a, b, assume_unique=True))
-            good.append(100 * both >= SIMILAR * (len(a) + len(b) - both))
+            good.append(100 * both >= similar * (len(a) + len(b) - both))
         yield pdf.loc[good, ["a", "b"]]
 
 
@@ -146,7 +172,7 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return both
 
 
-def _between_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _between_blocks(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.RecordBatch]:
     """Links between two blocks of one list whose ends are in different components; those that join nothing new are left out."""
     for batch in batches:
         out = []
@@ -163,7 +189,7 @@ def _between_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     x = root[x]
                 return x
 
-            for i, j in np.argwhere(100 * both >= SIMILAR * union).tolist():
+            for i, j in np.argwhere(100 * both >= similar * union).tolist():
                 x, y = find(left[i]["component"]), find(right[j]["component"])
                 if x != y:
                     root[max(x, y)] = min(x, y)
@@ -212,42 +238,53 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _meetings(n: Column) -> Column:
-    """In how many short lists a pair must meet, by the size of the smaller set.
+    """In how many short lists a pair must meet to be among the first, by the size of the smaller set.
 
-    A pair similar enough shares 12 lists in the mean where there are 32, and fewer
-    than three once in 20,000 pairs at the very threshold.
+    A pair similar enough shares 12 lists in the mean where there are 32.
     """
     return F.when(n > 90, 3).when(n > 22, 2).otherwise(1)
 
 
-def _first_pairs(lists: DataFrame) -> DataFrame:
+def _short_pairs(lists: DataFrame, similar: int, apart: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(a, b, low), a row for every meeting in a short list; with ``apart``, of members for which it holds."""
+    member = F.struct("id", "n", *[c for c in lists.columns if c not in ("id", "n", "key", "size")])
+    short = lists.filter(F.col("size") <= SHORT_LIST).groupBy("key").agg(F.sort_array(F.collect_list(member)).alias("m"))
+    close = lambda x, y: (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * similar) & (x["id"] != y["id"])
+    good = lambda x, y: close(x, y) & apart(x, y) if apart else close(x, y)
+    pair = lambda x, y: F.struct(x["id"].alias("a"), y["id"].alias("b"), F.least(x["n"], y["n"]).alias("low"))
+    after = F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.size("m")), lambda y: good(x, y)), lambda y: pair(x, y)))
+    return short.select(F.explode(F.flatten(after)).alias("p")).select("p.*")
+
+
+def _first_pairs(lists: DataFrame, similar: int) -> DataFrame:
     """Pairs that meet in short lists often enough; of longer lists each member with one of them, another in every list.
 
-    A pair that shares a long list besides is found there.
+    Pairs that meet more seldom are left to :func:`near_duplicates`, pairs that share a long list besides are found there.
     """
-    short = lists.filter(F.col("size") <= SHORT_LIST).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("m"))
-    pair = lambda x, y: F.struct(x["id"].alias("a"), y["id"].alias("b"), F.least(x["n"], y["n"]).alias("low"), F.greatest(x["n"], y["n"]).alias("high"))
-    after = F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: pair(x, y)))
-    close = F.filter(F.flatten(after), lambda p: (p["low"] * 100 >= p["high"] * SIMILAR) & (p["a"] != p["b"]))
-    often = short.select(F.explode(close).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("times"), F.min("p.low").alias("low"))
+    often = _short_pairs(lists, similar).groupBy("a", "b").agg(F.count("*").alias("times"), F.min("low").alias("low"))
     long = lists.filter(F.col("size") > SHORT_LIST)
     # A quarter of the lists by their keys: enough to join most of a family, and what stays apart is compared over all lists.
     long = long.filter(F.pmod("key", F.lit(HEADED)) == 0)
     heads = stored(long.groupBy("key").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id", "key")).alias("head")), "heads")
-    met = long.join(heads, "key").filter((F.col("id") != F.col("head.id")) & (F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * SIMILAR))
+    met = long.join(heads, "key").filter((F.col("id") != F.col("head.id")) & (F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * similar))
     star = met.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"))
     return stored(often.filter(F.col("times") >= _meetings(F.col("low"))).select("a", "b").union(star).distinct(), "pairs")
 
 
-def _apart_links(lists: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(lists: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """``lists`` with the components of their members in the column ``name``."""
+    of = labels.select("id", F.col("component").alias(name))
+    return stored(lists.join(of, "id", "left").withColumn(name, F.coalesce(name, "id")), "labelled")
+
+
+def _apart_links(lists: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """Links within long lists between members that the first links left in different components.
 
     Members of a list's largest component are not compared with one another; the
     others meet all members, block by block, and the tasks give back links alone.
     Blocks are bounded in documents and in hashes.
     """
-    long = lists.filter(F.col("size") > SHORT_LIST)
-    labelled = stored(long.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    labelled = lists.filter(F.col("size") > SHORT_LIST)
     parts = labelled.groupBy("key", "component").agg(F.count("*").alias("members"), F.sum("n").alias("hashes"))
     split = parts.groupBy("key").agg(
         F.max_by("component", F.struct("members", "component")).alias("largest"), F.count("*").alias("parts"),
@@ -259,18 +296,30 @@ def _apart_links(lists: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFr
     blocks = lambda df, name: df.groupBy("key", F.col("block").alias(name + "_block")).agg(F.collect_list(row).alias(name))
     pairs = blocks(held.filter(F.col("component") != F.col("largest")), "left").join(blocks(held, "right"), "key")
     # A row is two blocks, so few at a time.
-    return stored(pairs.select("left", "right").mapInArrow(_between_blocks, "a long, b long"), "apart")
+    return stored(pairs.select("left", "right").mapInArrow(_at(_between_blocks, similar), "a long, b long"), "apart")
+
 
+def _at(work: Callable, similar: int) -> Callable:
+    def run(batches: Iterator) -> Iterator:
+        return work(batches, similar)
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+    return run
+
+
+def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
 
+    Every pair that meets in a list is compared unless its ends are connected
+    already. Pairs that meet often are drawn first; of the others those that the
+    first estimates leave apart come next, so that all wanted texts are read at
+    once, and after the links those that the estimates alone had connected.
+
     Null and empty texts have no shingles and link with nothing; rows without an
     id are kept and link with nothing. Rows are told apart by their texts: two
     with equal ids and different texts need not be in one component.
     """
     read = docs.select("doc_id", "text")
-    rows = stored(read.mapInArrow(_sketched, "doc_id long, n long, whole string, sketch binary, keys array<long>"), "sketched")
+    rows = stored(read.mapInArrow(_at(_sketched, similar), "doc_id long, n long, whole string, sketch binary, keys array<long>"), "sketched")
     vertices = stored(
         rows.filter(F.col("whole").isNotNull() & F.col("doc_id").isNotNull()).groupBy("whole")
         .agg(F.min(F.struct("doc_id", "n", "sketch", "keys")).alias("v")).select("whole", F.col("v.doc_id").alias("id"), "v.n", "v.sketch", "v.keys"),
@@ -279,14 +328,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = vertices.select(F.explode("keys").alias("key"), "id", "n")
     sizes = stored(lists.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1), "sizes")
     lists = stored(lists.join(sizes, "key"), "lists")
-    near = stored(_sides(_first_pairs(lists), vertices, "sketch").mapInPandas(_estimated, "a long, b long"), "estimated")
+    estimated = lambda pairs: stored(_sides(pairs, vertices, "sketch").mapInPandas(_at(_estimated, similar), "a long, b long"), "estimated")
+    near = estimated(_first_pairs(lists, similar))
+    lists = _labelled(lists, components(near), "drawn")
+    seldom = _short_pairs(lists, similar, lambda x, y: x["drawn"] != y["drawn"])
+    near = near.union(estimated(stored(seldom.select("a", "b").distinct(), "pairs")))
     ends = near.select(F.explode(F.array("a", "b")).alias("id")).union(lists.filter(F.col("size") > SHORT_LIST).select("id"))
     sets = _whole_sets(read, vertices, ends.distinct())
-    links = stored(_sides(near, sets, "s").mapInPandas(_confirmed, "a long, b long"), "links")
+    confirmed = lambda pairs: stored(_sides(pairs, sets, "s").mapInPandas(_at(_confirmed, similar), "a long, b long"), "links")
+    links = confirmed(near)
     labels = components(links)
-    apart = _apart_links(lists, sets, labels)
-    if not apart.isEmpty():
-        labels = components(links.union(apart))
+    lists = _labelled(lists, labels, "component")
+    parted = _short_pairs(lists, similar, lambda x, y: (x["drawn"] == y["drawn"]) & (x["component"] != y["component"]))
+    more = confirmed(estimated(stored(parted.select("a", "b").distinct().join(near, ["a", "b"], "left_anti"), "pairs")))
+    more = more.union(_apart_links(lists.drop("drawn"), sets, similar))
+    if not more.isEmpty():
+        labels = components(links.union(more))
     classes = vertices.select("whole", "id").join(labels, "id", "left").select("whole", F.coalesce("component", "id").alias("component"))
     found = rows.select("doc_id", "n", "whole").join(classes, "whole", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -1,5 +1,6 @@
 """Near duplicates, decontamination, token counts and the pipeline against plain versions."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -94,6 +95,38 @@ def test_levels_lose_no_pair_of_small_sets():
             assert 100 * len(b) < 85 * n or set(near_dedup.list_keys(a).tolist()) & set(near_dedup.list_keys(b).tolist())
 
 
+@pytest.mark.parametrize("similar", [80, 85])
+def test_lists_lose_no_pair_of_the_smallest_sets(similar):
+    rng = np.random.default_rng(2)
+    for n in range(5, {80: 8, 85: 12}[similar]):
+        apart = (100 - similar) * n // 100
+        for _ in range(300 if apart else 0):
+            # Hashes of one residue, as small sets may have.
+            a = np.unique(rng.integers(0, 2**55, n).astype(np.uint64) << np.uint64(2))
+            b = np.sort(a[rng.permutation(len(a))[apart:]])
+            assert 100 * len(b) < similar * len(a) or set(near_dedup.list_keys(a, similar).tolist()) & set(near_dedup.list_keys(b, similar).tolist())
+
+
+def test_pairs_that_meet_in_one_list_are_found(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = []
+    for k in range(12):
+        words = fixtures.prose(400 + k, 230).split(" ")
+        texts += [" ".join(words), " ".join([*words[: 204 + k % 3], *(f"w{rng.randrange(1000)}" for _ in range(20))])]
+    # No pair meets often enough to be among the first.
+    monkeypatch.setattr(near_dedup, "_meetings", lambda n: near_dedup.F.lit(1000))
+    check_components(fixtures.docs_of(spark, texts))
+    texts = [t for k, base in enumerate(texts[:4]) for t in family(rng, base, 12, 6)]
+    check_components(fixtures.docs_of(spark, texts))
+
+
+@pytest.mark.parametrize("similar", [80, 85])
+def test_estimates_lose_no_pair_at_the_threshold(similar):
+    least = round(near_dedup._least_estimate(similar) * near_dedup.SKETCH)
+    p, n = similar / 100, near_dedup.SKETCH
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least)) <= 1e-9
+
+
 def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 200)] + [(500, 501), (501, 500)], "a long, b long")
     found = {r.id: r.component for r in near_dedup.components(links).collect()}
