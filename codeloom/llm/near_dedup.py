@@ -350,12 +350,12 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """One document of each component, the one with the smallest id, with its own columns and no others.
 
     Of rows repeated under one id, one stays.
     """
-    judged = stored(near_duplicates(docs).filter(F.col("doc_id").isNotNull()), "judged")
+    judged = stored(near_duplicates(docs, similar).filter(F.col("doc_id").isNotNull()), "judged")
     gone = judged.filter(~F.col("kept")).select("doc_id").distinct()
     repeated = stored(judged.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     wrapped = docs.select(F.col("doc_id").alias("_id"), F.struct("*").alias("doc"))

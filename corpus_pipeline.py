@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from codeloom.llm import decontamination, language_id, mixing, near_dedup, secret_scans
 from codeloom.llm.tables import stored, table
 
+#: 100 * similarity from which documents are near duplicates in the pipeline, as the rule for such stages has it.
+SIMILAR = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -19,7 +22,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id."""
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, SIMILAR)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,6 +127,15 @@ def test_estimates_lose_no_pair_at_the_threshold(similar):
     assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(least)) <= 1e-9
 
 
+def test_stage_drops_near_copies_from_its_own_threshold(spark):
+    words = [f"w{k}" for k in range(100)]
+    twice = " ".join("other" if k in (30, 60) else w for k, w in enumerate(words))
+    thrice = " ".join("other" if k in (20, 50, 80) else w for k, w in enumerate(words))
+    docs = fixtures.docs_of(spark, [" ".join(words), twice, thrice])  # similar in 86 of 106 and 81 of 111 shingles
+    assert [r.doc_id for r in near_dedup.drop_near_duplicates(docs).orderBy("doc_id").collect()] == [0, 1, 2]
+    assert [r.doc_id for r in corpus_pipeline.deduplicated(spark, docs, SF).orderBy("doc_id").collect()] == [0, 2]
+
+
 def test_long_chain_of_links(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 200)] + [(500, 501), (501, 500)], "a long, b long")
     found = {r.id: r.component for r in near_dedup.components(links).collect()}
