@@ -52,5 +52,28 @@ counts AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(arra
   FROM w LEFT JOIN covered USING (rid) LEFT JOIN dups USING (rid) LEFT JOIN stay USING (rid))
 SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed,
   NOT (n_words < 50 OR n_repeat_words * 100 > n_words * 50) AND kept_chars * 100 >= word_chars * 50 AS kept FROM counts
+""",
+    "op12_exact_search": r"""
+WITH fit AS (SELECT vec_id, ROW_NUMBER() OVER () AS rid, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+entries AS (SELECT vec_id, rid, UNNEST(v) AS x, generate_subscripts(v, 1) AS d FROM fit),
+scored AS (SELECT q.vec_id AS query_id, q.rid AS qid, c.vec_id, SUM(q.x * c.x) AS score FROM entries q JOIN entries c ON q.d = c.d AND q.rid <> c.rid
+  WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, q.rid, c.vec_id, c.rid),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 5
+""",
+    "op13_lexical_search": r"""
+WITH d AS (SELECT ROW_NUMBER() OVER () AS rid, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+words AS (SELECT rid, doc_id, regexp_extract_all(text, '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+') AS ws FROM d WHERE text IS NOT NULL),
+held AS (SELECT rid, w, COUNT(*) AS tf FROM (SELECT rid, UNNEST(ws) AS w FROM words) GROUP BY rid, w),
+totals AS (SELECT COUNT(*) AS n_docs, SUM(len(ws)) AS n_terms FROM words WHERE len(ws) > 0),
+items AS (SELECT ROW_NUMBER() OVER () AS iid, item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM benchmark),
+asked AS (SELECT DISTINCT iid, item_id, UNNEST(regexp_extract_all(text, '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS w FROM items),
+weighed AS (SELECT w, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT w, COUNT(*) AS df FROM held GROUP BY w), totals),
+sized AS (SELECT rid, doc_id, 100 - 50 + CAST((50 * len(ws) * n_docs) // n_terms AS BIGINT) AS m FROM words, totals WHERE len(ws) > 0),
+scored AS (SELECT iid, item_id, rid, doc_id, SUM(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS score
+  FROM asked JOIN held USING (w) JOIN weighed USING (w) JOIN sized USING (rid) GROUP BY iid, item_id, rid, doc_id),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 50
 """,
 }

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codeloom.llm import (
     decontamination,
+    exact_search,
     html_extraction,
     language_id,
+    lexical_search,
     mixing,
     near_dedup,
     quality_rules,
@@ -17,6 +20,7 @@ from codeloom.llm import (
     token_counts,
     toxicity,
     url_filters,
+    whitening,
 )
 from codeloom.llm.tables import table
 
@@ -77,6 +81,21 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened embeddings, 16 components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth embedding."""
+    return exact_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, 256)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -88,4 +107,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_exact_search": op12_exact_search,
+    "op13_lexical_search": op13_lexical_search,
 }
