@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.tables import stored
+from codeloom.llm.tables import stored, temporary
 
 #: Characters of queries that are searched in one pass; more queries take more passes.
 BLOCK_CHARS = 2_000_000
@@ -240,9 +240,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
     spark = docs.sparkSession
     out = None
     for block in _query_blocks(queries):
-        found = _block_search(spark, docs, block, k)
+        with temporary(spark):
+            found = _block_search(spark, docs, block, k)
+            found = found if found is None else stored(found, "ranked", result=True)
         if found is not None:
-            found = stored(found, "ranked")
             out = found if out is None else out.union(found)
     return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long") if out is None else out
 

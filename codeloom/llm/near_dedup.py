@@ -28,9 +28,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from codeloom.llm.shingles import mixed, shingle_set
-from codeloom.llm.tables import stored
+from codeloom.llm.tables import stored, temporary
 
 #: 100 * intersection must reach this many times the union, unless another threshold is given (80 at least).
 SIMILAR = 85
@@ -52,6 +53,8 @@ BLOCK = 128
 BLOCK_HASHES = 500_000
 #: Columns of one product of a block with another.
 COLUMNS = 1 << 14
+#: Bits of the filter that tells most unwanted texts without a shuffle. Past some millions of ids it lets more through.
+MARKS = 1 << 25
 
 
 @lru_cache(1 << 12)
@@ -110,7 +113,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator[pa.Re
         for text in batch.column("text"):
             values = shingle_set(text.as_py())
             sizes.append(len(values))
-            wholes.append(xxhash.xxh3_128_hexdigest(values.tobytes()) if len(values) else None)
+            wholes.append(_digest(values))
             sketches.append((values[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
             keys.append(list_keys(values, similar).view(np.int64))
         ends = np.cumsum([0] + [len(k) for k in keys]).astype(np.int32)
@@ -145,12 +148,47 @@ def _confirmed(batches: Iterator[pd.DataFrame], similar: int) -> Iterator[pd.Dat
         yield pdf.loc[good, ["a", "b"]]
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole sets of the wanted texts; rows that share an id but not the text fall out."""
-    for pdf in batches:
-        sets = [shingle_set(t).astype("<u8").tobytes() for t in pdf.text]
-        right = [xxhash.xxh3_128_hexdigest(s) == w for s, w in zip(sets, pdf.whole, strict=True)]
-        yield pd.DataFrame({"id": pdf.doc_id, "s": sets})[right]
+def _digest(values: np.ndarray) -> str | None:
+    return xxhash.xxh3_128_hexdigest(values.tobytes()) if len(values) else None
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests and whole sets of texts."""
+    for batch in batches:
+        sets = [shingle_set(t.as_py()) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(map(_digest, sets), pa.string()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["whole", "s"]
+        )
+
+
+@F.pandas_udf(StringType())
+def _whole(texts: pd.Series) -> pd.Series:
+    return pd.Series([_digest(shingle_set(t)) for t in texts], dtype=object)
+
+
+def _mark(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(MARKS))
+
+
+def _marked(ids: DataFrame) -> Callable[[str], Column]:
+    """A condition that holds for every id of ``ids`` and for few others.
+
+    ``MARKS`` bits, whatever the number of ids, go to the driver and to the tasks;
+    who uses the condition joins by the id afterwards.
+    """
+    place = _mark(ids.columns[0])
+    words = ids.select(place.alias("at")).groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits"))
+    found = words.toArrow()
+    bits = np.zeros(MARKS >> 6, np.int64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def marked(at: pd.Series) -> pd.Series:
+        places = at.to_numpy()
+        return pd.Series((shared.value[places >> 6] >> (places & 63)) & 1 == 1)
+
+    return lambda column: marked(_mark(column))
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -201,11 +239,13 @@ def _between_blocks(batches: Iterator[pa.RecordBatch], similar: int) -> Iterator
 def _whole_sets(docs: DataFrame, vertices: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, s): whole sets of the wanted vertices, made again from their texts.
 
-    The texts are shuffled once, at every size alike; the ids have no bound that
-    a broadcast could rest on.
+    Only texts whose id is marked are read into sets, so that no other text
+    leaves the scan; the digest of the set tells which are wanted.
     """
-    wanted = stored(ids.join(vertices.select("id", "whole"), "id").withColumnRenamed("id", "doc_id"), "wanted")
-    return stored(docs.join(wanted.hint("merge"), "doc_id").mapInPandas(_sets, "id long, s binary"), "sets")
+    wanted = stored(ids.join(vertices.select("id", "whole", "doc_id"), "id"), "wanted")
+    marked = _marked(wanted.select("doc_id"))
+    sets = docs.filter(marked("doc_id")).select("text").mapInArrow(_sets, "whole string, s binary")
+    return stored(sets.join(wanted.select("id", "whole"), "whole").select("id", "s"), "sets")
 
 
 def _sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
@@ -306,23 +346,13 @@ def _at(work: Callable, similar: int) -> Callable:
     return run
 
 
-def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
-
-    Every pair that meets in a list is compared unless its ends are connected
-    already. Pairs that meet often are drawn first; of the others those that the
-    first estimates leave apart come next, so that all wanted texts are read at
-    once, and after the links those that the estimates alone had connected.
-
-    Null and empty texts have no shingles and link with nothing; rows without an
-    id are kept and link with nothing. Rows are told apart by their texts: two
-    with equal ids and different texts need not be in one component.
-    """
-    read = docs.select("doc_id", "text")
+def _classes(docs: DataFrame, similar: int) -> DataFrame:
+    """(doc_id, n, whole, component) of every row: its set's size and digest, and the smallest id of its component."""
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(read.mapInArrow(_at(_sketched, similar), "doc_id long, n long, whole string, sketch binary, keys array<long>"), "sketched")
     vertices = stored(
         rows.filter(F.col("whole").isNotNull() & F.col("doc_id").isNotNull()).groupBy("whole")
-        .agg(F.min(F.struct("doc_id", "n", "sketch", "keys")).alias("v")).select("whole", F.col("v.doc_id").alias("id"), "v.n", "v.sketch", "v.keys"),
+        .agg(F.min(F.struct("doc_id", "n", "sketch", "keys")).alias("v")).select("whole", F.monotonically_increasing_id().alias("id"), "v.*"),
         "vertices",
     )
     lists = vertices.select(F.explode("keys").alias("key"), "id", "n")
@@ -344,25 +374,57 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     more = more.union(_apart_links(lists.drop("drawn"), sets, similar))
     if not more.isEmpty():
         labels = components(links.union(more))
-    classes = vertices.select("whole", "id").join(labels, "id", "left").select("whole", F.coalesce("component", "id").alias("component"))
+    labelled = stored(vertices.select("whole", "id", "doc_id").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")), "labelled")
+    firsts = labelled.groupBy("label").agg(F.min("doc_id").alias("component"))
+    classes = labelled.select("whole", "label").join(firsts, "label").select("whole", "component")
     found = rows.select("doc_id", "n", "whole").join(classes, "whole", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return found.select("doc_id", "n", "whole", component.alias("component"))
+
+
+def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
+
+    Every pair that meets in a list is compared unless its ends are connected
+    already. Pairs that meet often are drawn first; of the others those that the
+    first estimates leave apart come next, so that all wanted texts are read at
+    once, and after the links those that the estimates alone had connected.
+
+    Null and empty texts have no shingles and link with nothing; rows without an
+    id are kept and link with nothing. Rows are told apart by their sets: two
+    with equal ids and different texts need not be in one component. Texts are
+    read whole, however long; columns but doc_id and text are not read. Only the
+    result stays in the shared folder.
+    """
+    with temporary(docs.sparkSession):
+        found = stored(_classes(docs, similar), "components", result=True)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """One document of each component, the one with the smallest id, with its own columns and no others.
 
-    Of rows repeated under one id, one stays.
+    Rows go by id and set, so of two texts under one id each is judged on its
+    own. Of rows that repeat both, the one whose text sorts first stays. Rows
+    without an id or without words all stay. Documents whose id is neither dropped
+    nor repeated are not shuffled.
     """
-    judged = stored(near_duplicates(docs, similar).filter(F.col("doc_id").isNotNull()), "judged")
-    gone = judged.filter(~F.col("kept")).select("doc_id").distinct()
-    repeated = stored(judged.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    wrapped = docs.select(F.col("doc_id").alias("_id"), F.struct("*").alias("doc"))
-    match = lambda ids: wrapped["_id"] == ids["doc_id"]
-    kept = wrapped.join(gone, match(gone), "left_anti")
-    if repeated.isEmpty():
-        return kept.select("doc.*")
-    once = kept.join(repeated, kept["_id"] == repeated["doc_id"], "left_anti")
-    several = kept.join(repeated, kept["_id"] == repeated["doc_id"], "left_semi").groupBy("_id").agg(F.first("doc").alias("doc"))
-    return once.select("doc.*").union(several.select("doc.*"))
+    spark = docs.sparkSession
+    with temporary(spark):
+        judged = stored(_classes(docs, similar), "classes").filter(F.col("doc_id").isNotNull() & F.col("whole").isNotNull())
+        kept = F.col("doc_id") == F.col("component")
+        gone = judged.filter(~kept).select("doc_id", "whole", F.lit(False).alias("repeated")).distinct()
+        repeated = judged.filter(kept).groupBy("doc_id", "whole").count().filter("count > 1").select("doc_id", "whole", F.lit(True).alias("repeated"))
+        special = stored(gone.union(repeated), "special", result=True)
+    marked = _marked(special.select("doc_id"))
+    wrapped = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct("*").alias("doc"))
+    plain = wrapped.filter(~marked("_id")).select("doc.*")
+    judged = wrapped.filter(marked("_id")).withColumn("_whole", _whole("doc.text"))
+    match = lambda found: (judged["_id"] == found["doc_id"]) & (judged["_whole"] == found["whole"])
+    once = judged.join(special, match(special), "left_anti").select("doc.*")
+    twice = special.filter("repeated")
+    if twice.isEmpty():
+        return plain.union(once)
+    order = F.struct("doc.text", F.to_json("doc"))
+    one = judged.join(twice, match(twice), "left_semi").groupBy("_id", "_whole").agg(F.min_by("doc", order).alias("doc"))
+    return plain.union(once).union(one.select("doc.*"))

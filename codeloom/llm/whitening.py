@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.exact_search import whole
 from codeloom.llm.qd_svd import EPS, right_vectors
-from codeloom.llm.tables import stored
+from codeloom.llm.tables import stored, temporary
 
 SCALE = 64
 OFFSET = 1_000_000
@@ -141,6 +141,13 @@ def _covered(n: int, sums: list[int], directions: np.ndarray) -> Callable:
     return work
 
 
+def _identity_error(distinct: DataFrame, n: int, sums: list[int], directions: np.ndarray) -> float:
+    """Largest entry of the whitened fit list's covariance less the identity."""
+    covered = distinct.mapInArrow(_covered(n, sums, directions), "i int, j int, v double").groupBy("i", "j").agg((F.sum("v") / n).alias("v"))
+    off = F.col("v") - F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)
+    return float(covered.agg(F.max(F.abs(off)).alias("e")).first().e)
+
+
 def _whitened(n: int, sums: list[int], directions: np.ndarray, explained: list[float], error: float) -> Callable:
     k = directions.shape[1]
 
@@ -181,12 +188,12 @@ def whiten(vectors: DataFrame, k: int = 16) -> DataFrame:
     """
     spark = vectors.sparkSession
     rows = integers(vectors)
-    distinct = stored(rows.select("x").distinct(), "distinct")
-    n, sums, values, directions = fit(distinct, k)
     types = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
-    if not directions.size:
-        return spark.createDataFrame([], types)
-    covered = distinct.mapInArrow(_covered(n, sums, directions), "i int, j int, v double").groupBy("i", "j").agg((F.sum("v") / n).alias("v"))
-    error = covered.agg(F.max(F.abs(F.col("v") - F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0))).alias("e")).first().e
+    with temporary(spark):
+        distinct = stored(rows.select("x").distinct(), "distinct")
+        n, sums, values, directions = fit(distinct, k)
+        if not directions.size:
+            return spark.createDataFrame([], types)
+        error = _identity_error(distinct, n, sums, directions)
     explained = (values[: directions.shape[1]] / values.sum()).tolist()
-    return rows.withColumn("vec_id", F.col("vec_id").cast("long")).mapInArrow(_whitened(n, sums, directions, explained, float(error)), types)
+    return rows.withColumn("vec_id", F.col("vec_id").cast("long")).mapInArrow(_whitened(n, sums, directions, explained, error), types)

@@ -8,14 +8,15 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from codeloom.llm import decontamination, language_id, near_dedup, token_counts
+from codeloom.llm import decontamination, language_id, mixing, near_dedup, secret_scans, tables, token_counts
 from codeloom.llm.shingles import shingle_set
+from codeloom.llm.tables import stored
 from tests.llm import fixtures
 
 SF = "/root/testdata/sf0.001"
 
 
-def plain_components(rows):
+def plain_components(rows, similar=85):
     sets, parent = {}, {}
     for d, text in rows:
         w = (text or "").encode().lower().split()
@@ -33,15 +34,15 @@ def plain_components(rows):
             holders[t].append(d)
     for d, s in sets.items():
         for e, k in Counter(e for t in s for e in holders[t] if e < d).items():
-            if 100 * k >= 85 * (len(s) + len(sets[e]) - k):
+            if 100 * k >= similar * (len(s) + len(sets[e]) - k):
                 x, y = find(d), find(e)
                 parent[max(x, y)] = min(x, y)
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-def check_components(docs):
-    want = plain_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
-    got = near_dedup.near_duplicates(docs).collect()
+def check_components(docs, similar=85):
+    want = plain_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], similar)
+    got = near_dedup.near_duplicates(docs, similar).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
@@ -142,6 +143,36 @@ def test_long_chain_of_links(spark):
     assert all(found[k] == 1 for k in range(1, 201)) and found[500] == found[501] == 500
 
 
+@pytest.mark.parametrize("similar", [80, 85])
+def test_given_documents_at_both_thresholds(spark, similar):
+    check_components(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), similar)
+
+
+def test_texts_under_one_id_are_judged_each_on_its_own(spark):
+    x, y, z = (fixtures.prose(700 + k, 90) for k in range(3))
+    near = y.split(" ")
+    near[50] = "changed"
+    rows = [(3, x), (5, x), (5, y), (7, " ".join(near)), (7, z), (7, z), (7, z.upper()), (None, x), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], fixtures.DOCS)
+    kept = Counter((r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(docs).collect())
+    assert kept == Counter([(3, x), (5, y), (7, z.upper()), (None, x), (8, ""), (8, "")])
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs).collect()} == {(3, 3), (5, 3), (5, 5), (7, 5), (7, 7), (None, None), (8, 8)}
+
+
+def test_intermediate_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "shared_dir", lambda _: str(tmp_path))
+    texts = [t for k in range(3) for t in family(random.Random(k), fixtures.prose(800 + k, 60), 5, 2)]
+    near_dedup.near_duplicates(fixtures.docs_of(spark, texts)).collect()
+    assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_marks_hold_for_all_ids(spark):
+    ids = spark.createDataFrame([(k * 7,) for k in range(500)] + [(None,), (-5,)], "doc_id long")
+    marked = near_dedup._marked(ids)
+    assert ids.filter(marked("doc_id")).count() == 502
+    assert spark.range(10_000, 30_000).filter(marked("id")).count() < 20
+
+
 def test_shingles():
     assert len(shingle_set("a b c d e f")) == 2 and len(shingle_set("a\u00a0b")) == 1
     assert (shingle_set("A b\tc D\r\ne") == shingle_set("a B C d e")).all() and len(shingle_set(" \n")) == 0
@@ -247,17 +278,32 @@ def test_pipeline_equals_its_stages_in_plain_python(spark):
     rows = {r.doc_id: r for r in docs.collect()}
     model = language_id.learn(docs)
     kept = {d: r for d, r in rows.items() if model.score(r.text)[0] != "und" and model.score(r.text)[1] >= 0.5}
-    parts = plain_components([(d, r.text) for d, r in kept.items()])
+    parts = plain_components([(d, r.text) for d, r in kept.items()], corpus_pipeline.SIMILAR)
     kept = {d: r for d, r in kept.items() if parts[d][1] == d}
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     index = decontamination.ItemIndex([(r.item_id, r.text) for r in benchmark.collect()])
     kept = {d: r for d, r in kept.items() if not index.matches(r.text)}
+    stages, after = docs, None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stages = stored(stage(spark, stages, SF), name)
+        if name == "decontamination":
+            assert {r.doc_id: r for r in stages.collect()} == kept
+            after = stages
+    spans = {r.doc_id: r.spans for r in secret_scans.find_secrets(after).collect()}
+    redacted = {}
+    for d, r in kept.items():
+        text, done = "", 0
+        for start, end in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in spans[d].split(",") if x):
+            text += r.text[done:start] + "[secret]" if start >= done else ""
+            done = max(done, end)
+        redacted[d] = text + (r.text or "")[done:]
+    assert {r.doc_id: r.text for r in stages.collect()} == redacted
+    copies = {r.doc_id: r.copies for r in mixing.mixed_sizes(stages).collect()}
     mixed = corpus_pipeline.run(spark, SF)
     assert mixed.columns == docs.columns
-    times = Counter(r.doc_id for r in mixed.collect())
-    assert set(times) <= set(kept) and max(times.values()) <= 2
-    assert sum(times.values()) > len(kept)
-    assert times == Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).collect())
+    got = mixed.collect()
+    assert Counter(r.doc_id for r in got) == Counter({d: n for d, n in copies.items() if n})
+    assert all(r.text == redacted[r.doc_id] for r in got)
 
 
 def test_pipeline_takes_odd_rows(spark):
