@@ -257,24 +257,29 @@ def _sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every end of a link (a, b): the smallest id that links lead to.
 
-    Every round a vertex and the label it has take the smallest label of its
-    neighbours, then labels are replaced by their own labels, so the rounds grow
-    with the logarithm of the longest chain. Each round is written down.
+    Every round a vertex goes up to the smallest of itself and its neighbours, and
+    on from there as long as it gets higher, in steps that double; then the links
+    are drawn between where their ends went, and those within one vertex and
+    repeated ones go. At least half of the linked vertices go in a round. Each
+    step is written down.
     """
-    both = stored(links.select("a", "b").union(links.select("b", "a")), "both")
-    labels = stored(both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")), "labels")
-    while True:
-        of = lambda name, new: labels.select(F.col("id").alias(name), F.col("component").alias(new))
-        seen = both.join(of("b", "offer"), "b").join(of("a", "old"), "a").filter(F.col("offer") < F.col("old"))
-        offers = seen.select(F.explode(F.array("a", "old")).alias("id"), "offer").groupBy("id").agg(F.min("offer").alias("offer"))
-        lower = stored(
-            labels.join(offers, "id", "left").select("id", F.least("component", "offer").alias("component"), F.col("component").alias("before")),
-            "lower",
-        )
-        if lower.filter(F.col("component") < F.col("before")).limit(1).count() == 0:
-            return labels
-        over = lower.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        labels = stored(lower.join(over, "component").select("id", F.col("next").alias("component")), "labels")
+    ends = links.select("a", "b").filter("a <> b")
+    edges = stored(ends.union(ends.select("b", "a")).distinct(), "edges")
+    labels = stored(links.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")), "labels")
+    while not edges.isEmpty():
+        up = stored(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("up")), "up")
+        while True:
+            over = up.select(F.col("a").alias("up"), F.col("up").alias("top"))
+            higher = stored(up.join(over, "up"), "higher")
+            up = higher.select("a", F.col("top").alias("up"))
+            if higher.filter("top < up").isEmpty():
+                break
+        to = lambda name, new, up=up: up.select(F.col("a").alias(name), F.col("up").alias(new))
+        moved = labels.join(to("component", "up"), "component", "left")
+        labels = stored(moved.select("id", F.coalesce("up", "component").alias("component")), "labels")
+        drawn = edges.join(to("a", "x"), "a").join(to("b", "y"), "b").filter("x <> y")
+        edges = stored(drawn.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+    return labels
 
 
 def _meetings(n: Column) -> Column:
