@@ -4,7 +4,8 @@ References: type, identifier, direction, node_id, project_id.
 
 All matching happens between distinct (project, identifier) pairs with counts,
 never between single references: an identifier used by a third of all
-references is one row per project and direction.
+references is one row per project and direction. Counts of links come from hubs,
+one per shared name; pairs of projects are rows only where they are asked for.
 """
 
 from __future__ import annotations
@@ -106,8 +107,18 @@ def resolve_identifiers(refs: DataFrame, config: DataFrame) -> DataFrame:
         F.col("resolved") != F.col("identifier"))
 
 
-def _keys(grouped: DataFrame) -> DataFrame:
-    """One row per preference rank under which an identifier can be matched."""
+def _identifiers(refs: DataFrame, config: DataFrame) -> DataFrame:
+    """Distinct identifiers per project and direction, how often each is referenced, and what it resolves to."""
+    resolved = resolve_identifiers(refs, config).select("project_id", "identifier", F.col("resolved").alias("_r"))
+    return (
+        refs.groupBy("type", "project_id", "identifier", "direction").agg(F.count("*").alias("n"))
+        .join(resolved, ["project_id", "identifier"], "left")
+        .withColumn("resolved", F.coalesce("_r", "identifier")).drop("_r")
+    )
+
+
+def _rank_keys() -> dict[int, Column]:
+    """Per preference rank the key that two identifiers of a match share."""
     ident, resolved = F.col("identifier"), F.col("resolved")
     kind = F.col("type")
     pattern = (
@@ -115,47 +126,107 @@ def _keys(grouped: DataFrame) -> DataFrame:
         .when(kind == "api", scalars.api_path(ident))
         .when(kind == "database", scalars.table_name(ident))
     )
-    ranked = [(1, ident), (2, F.lower(ident)), (3, resolved), (4, F.lower(resolved)), (5, pattern),
-              (6, F.when(kind == "api", scalars.without_verb(scalars.api_path(ident))))]
-    keys = F.array(*[F.struct(F.lit(r).alias("rank"), k.alias("key")) for r, k in ranked])
+    return {1: ident, 2: F.lower(ident), 3: resolved, 4: F.lower(resolved), 5: pattern,
+            6: F.when(kind == "api", scalars.without_verb(scalars.api_path(ident)))}
+
+
+def _keys(grouped: DataFrame) -> DataFrame:
+    """One row per preference rank under which an identifier can be matched."""
+    keys = F.array(*[F.struct(F.lit(r).alias("rank"), k.alias("key")) for r, k in _rank_keys().items()])
     return grouped.select("*", F.inline(F.filter(keys, lambda k: k["key"].isNotNull())))
 
 
-def match_references(refs: DataFrame, config: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def _by_rank(rank: Column, place: int, kind: str) -> Column:
+    out = F.lit(None).cast(kind)
+    for r, values in RANKS.items():
+        out = F.when(rank == r, values[place]).otherwise(out)
+    return out
+
+
+def match_references(refs: DataFrame, config: DataFrame, min_confidence: float = MIN_CONFIDENCE, project_id: str | None = None) -> DataFrame:
     """Producer and consumer identifiers that mean the same thing.
 
     One row per (type, producing project, identifier and direction, consuming
     project and identifier) with the best rank, and how many references stand
-    on each side; ``n_pairs`` reference pairs are linked by it.
+    on each side; ``n_pairs`` reference pairs are linked by it. The rows are the
+    square of the projects that share an identifier; with ``project_id`` only
+    those with that project at one end are made, which is linear in the others.
+    Counts over all projects come from :func:`link_counts` without any pair.
     """
-    resolved = resolve_identifiers(refs, config).select("project_id", "identifier", F.col("resolved").alias("_r"))
-    grouped = (
-        refs.groupBy("type", "project_id", "identifier", "direction").agg(F.count("*").alias("n"))
-        .join(resolved, ["project_id", "identifier"], "left")
-        .withColumn("resolved", F.coalesce("_r", "identifier")).drop("_r")
-    )
-    keyed = _keys(grouped)
+    keyed = _keys(_identifiers(refs, config))
     producers = keyed.filter(F.col("direction").isin("produce", "both")).select(
         "type", "rank", "key", F.col("project_id").alias("from_project"), F.col("identifier").alias("from_identifier"),
         F.col("direction").alias("from_direction"), F.col("n").alias("n_from"))
     consumers = keyed.filter(F.col("direction").isin("consume", "both")).select(
         "type", "rank", "key", F.col("project_id").alias("to_project"), F.col("identifier").alias("to_identifier"),
         F.col("direction").alias("to_direction"), F.col("n").alias("n_to"))
-    pairs = producers.join(consumers, ["type", "rank", "key"]).filter(F.col("from_project") != F.col("to_project"))
+    meet = lambda p, c: p.join(c, ["type", "rank", "key"]).filter(F.col("from_project") != F.col("to_project"))
+    if project_id is None:
+        pairs = meet(producers, consumers)
+    else:
+        makes, takes = F.col("from_project") == project_id, F.col("to_project") == project_id
+        pairs = meet(producers.filter(makes), consumers).unionByName(meet(producers.filter(~makes), consumers.filter(takes)))
     best = pairs.groupBy("type", "from_project", "from_identifier", "from_direction", "to_project", "to_identifier",
                          "to_direction").agg(F.min("rank").alias("rank"), F.first("n_from").alias("n_from"), F.first("n_to").alias("n_to"))
     summed = best.groupBy("type", "from_project", "from_identifier", "from_direction", "to_project", "to_identifier", "rank").agg(
         F.first("n_from").alias("n_from"), F.sum("n_to").alias("n_to"))
-    confidence, method = F.lit(None).cast("double"), F.lit(None).cast("string")
-    for rank, (value, name) in RANKS.items():
-        confidence = F.when(F.col("rank") == rank, value).otherwise(confidence)
-        method = F.when(F.col("rank") == rank, name).otherwise(method)
     return (
-        summed.withColumn("confidence", confidence).withColumn("method", method)
+        summed.withColumn("confidence", _by_rank(F.col("rank"), 0, "double")).withColumn("method", _by_rank(F.col("rank"), 1, "string"))
         .withColumn("n_pairs", F.col("n_from") * F.col("n_to")).filter(F.col("confidence") >= min_confidence)
     )
 
 
+def _counted_sets() -> dict[tuple[int, ...], dict[int, int]]:
+    """For every set of ranks whose keys are grouped together: in which best rank its pairs count, and with which sign.
+
+    Equal identifiers are equal in lower case too, so rank 1 lies within rank 2
+    and rank 3 within rank 4. What a rank adds to those before it follows by
+    inclusion and exclusion over the ranks that lie within no other.
+    """
+    counted: dict[tuple[int, ...], dict[int, int]] = {}
+    before = {1: [], 2: [], 3: [2], 4: [2], 5: [2, 4], 6: [2, 4, 5]}
+    inner = {2: 1, 4: 3}
+    for rank, others in before.items():
+        for chosen in range(1 << len(others)):
+            also = [o for k, o in enumerate(others) if chosen >> k & 1]
+            sign = (-1) ** len(also)
+            for own, turn in ((rank, 1), (inner.get(rank), -1)):
+                if own is not None:
+                    at = counted.setdefault(tuple(sorted({own, *also})), {})
+                    at[rank] = at.get(rank, 0) + sign * turn
+    return {ranks: {r: n for r, n in of.items() if n} for ranks, of in counted.items()}
+
+
+def link_hubs(refs: DataFrame, config: DataFrame, sets: tuple[tuple[int, ...], ...] = ((1,), (2,), (3,), (4,), (5,), (6,))) -> DataFrame:
+    """Per type, set of ranks and key: the projects and references on either side, and the reference pairs between projects.
+
+    A hub stands for all links through one name. Pairs within a project are no
+    links; they are taken off by project. Nothing grows beyond the identifiers.
+    """
+    keys = _rank_keys()
+    each = F.array(*[F.struct(F.lit(k).alias("set"), F.array(*[keys[r] for r in ranks]).alias("key")) for k, ranks in enumerate(sets)])
+    whole = F.filter(each, lambda s: F.forall(s["key"], lambda k: k.isNotNull()))
+    rows = _identifiers(refs, config).select("type", "project_id", "direction", "n", F.inline(whole))
+    side = lambda role: F.sum(F.when(F.col("direction").isin(role, "both"), F.col("n")).otherwise(0))
+    per = rows.groupBy("type", "set", "key", "project_id").agg(side("produce").alias("_p"), side("consume").alias("_c"))
+    return per.groupBy("type", "set", "key").agg(
+        F.count_if(F.col("_p") > 0).alias("from_projects"), F.count_if(F.col("_c") > 0).alias("to_projects"),
+        F.sum("_p").alias("n_from"), F.sum("_c").alias("n_to"), (F.sum("_p") * F.sum("_c") - F.sum(F.col("_p") * F.col("_c"))).alias("n_pairs"))
+
+
+def link_counts(refs: DataFrame, config: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Reference pairs per type and best rank, the same as by :func:`match_references`, from the sizes of hubs alone."""
+    sets = _counted_sets()
+    signs = F.array(*[F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(n).alias("sign")) for r, n in of.items()]) for of in sets.values()])
+    totals = link_hubs(refs, config, tuple(sets)).groupBy("type", "set").agg(F.sum("n_pairs").alias("n_pairs"))
+    signed = totals.select("type", "n_pairs", F.inline(F.get(signs, F.col("set"))))
+    return (
+        signed.groupBy("type", "rank").agg(F.sum(F.col("sign") * F.col("n_pairs")).alias("n_pairs"))
+        .withColumn("confidence", _by_rank(F.col("rank"), 0, "double")).withColumn("method", _by_rank(F.col("rank"), 1, "string"))
+        .filter((F.col("n_pairs") > 0) & (F.col("confidence") >= min_confidence))
+    )
+
+
 def link_type(kind: Column) -> Column:
     return F.when(kind.isin("queue", "topic"), "queue").when(kind == "database", "database").otherwise("api")
 
@@ -198,8 +269,8 @@ def link_members(matches: DataFrame, refs: DataFrame) -> DataFrame:
         "type", "project_id", "identifier", "role", "node_id")
 
 
-def link_stats(matches: DataFrame, bidirectional: bool = True) -> DataFrame:
-    """Matched reference pairs, links and edges per producer type."""
+def link_stats(counts: DataFrame, bidirectional: bool = True) -> DataFrame:
+    """Matched reference pairs, links and edges per producer type, from :func:`link_counts`."""
     per = F.lit(2 if bidirectional else 1)
-    return matches.groupBy("type").agg(
+    return counts.groupBy("type").agg(
         F.sum("n_pairs").alias("matches"), F.sum("n_pairs").alias("links"), (F.sum("n_pairs") * per).alias("edges"))

@@ -124,6 +124,15 @@ def pair_events(events: DataFrame) -> DataFrame:
     )
 
 
+def unsettled(events: DataFrame) -> DataFrame:
+    """Starts and ends that :func:`pair_events` may still need: all of a request without a pair, and ends before its first start."""
+    is_start, is_end = F.col("event_type") == START, F.col("event_type").isin(*ENDS)
+    request = Window.partitionBy("request_id")
+    began = events.filter(is_start | is_end).withColumn("_began", F.min(F.when(is_start, F.col("ts"))).over(request))
+    ended = F.max(is_end & F.coalesce(F.col("ts") >= F.col("_began"), F.lit(False))).over(request)
+    return began.withColumn("_ended", ended).filter(~F.col("_ended") | (is_end & (F.col("ts") < F.col("_began")))).drop("_began", "_ended")
+
+
 # ------------------------------------------------------------------- runs
 
 

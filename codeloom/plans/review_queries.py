@@ -245,7 +245,27 @@ def _(spark, d):
 
 @query("link_stats", f"WITH {_PAIRS} SELECT type,CAST(sum(n_from*n_to) AS BIGINT) AS matches,CAST(sum(n_from*n_to) AS BIGINT) AS links,CAST(2*sum(n_from*n_to) AS BIGINT) AS edges FROM mt GROUP BY 1", RC)
 def _(spark, d):
-    return linking.link_stats(_matches(spark, d))
+    return linking.link_stats(linking.link_counts(fx.view(spark, d, "v_refs"), fx.view(spark, d, "v_config")))
+
+
+@query("link_counts", f"WITH {_PAIRS} SELECT type,CAST(rk AS INT) AS rank,confidence,method,CAST(sum(n_from*n_to) AS BIGINT) AS n_pairs FROM mt GROUP BY 1,2,3,4", RC)
+def _(spark, d):
+    return linking.link_counts(fx.view(spark, d, "v_refs"), fx.view(spark, d, "v_config"))
+
+
+@query("link_hubs", r"""WITH pr AS (SELECT type,lower(identifier) AS key,project_id,count(*) FILTER (direction IN ('produce','both')) AS p,count(*) FILTER (direction IN ('consume','both')) AS c FROM v_refs GROUP BY 1,2,3)
+SELECT type,key,count(*) FILTER (p>0) AS from_projects,count(*) FILTER (c>0) AS to_projects,CAST(sum(p) AS BIGINT) AS n_from,CAST(sum(c) AS BIGINT) AS n_to,CAST(sum(p)*sum(c)-sum(p*c) AS BIGINT) AS n_pairs FROM pr GROUP BY 1,2""", RC)
+def _(spark, d):
+    hubs = linking.link_hubs(fx.view(spark, d, "v_refs"), fx.view(spark, d, "v_config"), ((2,),))
+    return hubs.withColumn("key", F.get("key", F.lit(0))).drop("set")
+
+
+@query("project_links", f"""WITH {_PAIRS}, mine AS (SELECT * FROM mt WHERE from_project='proj3' OR to_project='proj3')
+SELECT CASE WHEN type='queue' THEN 'queue' ELSE 'api' END AS link_type,confidence,from_project AS source_project,from_identifier AS source_identifier,to_project AS target_project,to_identifier AS target_identifier,false AS is_reverse,n_from*n_to AS n_pairs FROM mine
+UNION ALL SELECT CASE WHEN type='queue' THEN 'queue' ELSE 'api' END,confidence,to_project,to_identifier,from_project,from_identifier,true,n_from*n_to FROM mine""", RC)
+def _(spark, d):
+    found = linking.match_references(fx.view(spark, d, "v_refs"), fx.view(spark, d, "v_config"), project_id="proj3")
+    return linking.create_links(found).drop("reference_type", "from_direction", "edge_type", "resolution_method")
 
 
 @query("collect_references", """SELECT CASE type WHEN 'Queue' THEN 'queue' WHEN 'ApiEndpoint' THEN 'api' ELSE 'database' END AS type,CASE type WHEN 'ApiEndpoint' THEN method||' '||path ELSE name END AS identifier,CASE type WHEN 'ApiEndpoint' THEN 'consume' ELSE 'both' END AS direction,id AS node_id,project_id FROM v_nodes WHERE type IN ('Queue','ApiEndpoint','Model')""", ["v_nodes"])
