@@ -90,7 +90,7 @@ SELECT event_id AS id,'schema'||(user_id%4)||'/pattern'||(user_id%20) AS pattern
 SELECT event_id,ts,CASE event_type WHEN 'view' THEN 'memory.search' WHEN 'click' THEN 'mcp.tool.called' WHEN 'purchase' THEN 'mcp.tool.result' WHEN 'error' THEN 'system.error' ELSE 'agent.action' END AS event_type,CASE WHEN value>50 THEN 'mcp' ELSE 'api' END AS source,'u'||user_id AS user_id,props FROM events""",
     "v_calls": """
 SELECT 'req-'||o_orderkey AS request_id,'mcp.tool.called' AS event_type,o_orderdate AS ts,'{"tool":"t'||(o_custkey%7)||'"}' AS data FROM orders
-UNION ALL SELECT 'req-'||o_orderkey,CASE o_orderstatus WHEN 'F' THEN 'mcp.tool.error' WHEN 'O' THEN 'mcp.tool.result' ELSE 'mcp.tool.late' END,o_orderdate+INTERVAL 1 MINUTE,CASE o_orderstatus WHEN 'F' THEN '{"error":"e'||(o_orderkey%9)||'"}' ELSE '{"count":'||(o_orderkey%9)||'}' END FROM orders""",
+UNION ALL SELECT 'req-'||o_orderkey,CASE o_orderstatus WHEN 'F' THEN 'mcp.tool.error' WHEN 'O' THEN 'mcp.tool.result' ELSE 'mcp.tool.late' END,o_orderdate+INTERVAL 1 MINUTE*CASE WHEN o_orderkey%5=0 THEN 45 ELSE 1 END,CASE o_orderstatus WHEN 'F' THEN '{"error":"e'||(o_orderkey%9)||'"}' ELSE '{"count":'||(o_orderkey%9)||'}' END FROM orders""",
     "v_usage": """
 SELECT conv_id,turn,CASE conv_id%5 WHEN 0 THEN 'gpt-4o-mini' WHEN 1 THEN 'O1' WHEN 2 THEN 'gpt-4o-2024-08-06' WHEN 3 THEN 'gemma2-9b-it' ELSE 'unknown-model' END AS model_id,CASE WHEN conv_id%2=0 THEN 'openai' ELSE 'other' END AS provider,CASE WHEN role='assistant' THEN 0 ELSE CAST(FLOOR(length(text)/4) AS BIGINT) END AS prompt_tokens,CASE WHEN role='assistant' THEN CAST(FLOOR(length(text)/4) AS BIGINT) ELSE 0 END AS completion_tokens FROM conversations""",
     # change review

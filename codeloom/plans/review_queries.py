@@ -153,7 +153,7 @@ def _(spark, d):
     return telemetry.event_counts(fx.view(spark, d, "v_events"))
 
 
-@query("pair_events", """SELECT s.request_id,60000.0::DOUBLE AS duration_ms,e.event_type='mcp.tool.error' AS is_error,json_extract_string(s.data,'$.tool') AS tool,json_extract_string(e.data,'$.error') AS error,json_extract_string(e.data,'$.count') AS n FROM v_calls s JOIN v_calls e ON e.request_id=s.request_id AND e.event_type IN ('mcp.tool.result','mcp.tool.error') WHERE s.event_type='mcp.tool.called'""", ["v_calls"])
+@query("pair_events", """SELECT s.request_id,(epoch_us(CAST(e.ts AS TIMESTAMP))-epoch_us(CAST(s.ts AS TIMESTAMP)))/1000.0::DOUBLE AS duration_ms,e.event_type='mcp.tool.error' AS is_error,json_extract_string(s.data,'$.tool') AS tool,json_extract_string(e.data,'$.error') AS error,json_extract_string(e.data,'$.count') AS n FROM v_calls s JOIN v_calls e ON e.request_id=s.request_id AND e.event_type IN ('mcp.tool.result','mcp.tool.error') WHERE s.event_type='mcp.tool.called'""", ["v_calls"])
 def _(spark, d):
     paired = telemetry.pair_events(fx.view(spark, d, "v_calls"))
     p = F.col("payload")

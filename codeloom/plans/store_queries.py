@@ -151,11 +151,11 @@ def _(spark, d):
     return _finished(streams.event_log_stream(events, path, checkpoint, prefix="mcp", source="mcp"), spark, path).select("event_id", "event_type")
 
 
-@query("paired_stream", "SELECT s.request_id,60000.0::DOUBLE AS duration_ms,e.event_type='mcp.tool.error' AS is_error FROM v_calls s JOIN v_calls e ON e.request_id=s.request_id AND e.event_type IN ('mcp.tool.result','mcp.tool.error') WHERE s.event_type='mcp.tool.called'", ["v_calls"])
+@query("paired_stream", "SELECT s.request_id,(epoch_us(CAST(e.ts AS TIMESTAMP))-epoch_us(CAST(s.ts AS TIMESTAMP)))/1000.0::DOUBLE AS duration_ms,e.event_type='mcp.tool.error' AS is_error FROM v_calls s JOIN v_calls e ON e.request_id=s.request_id AND e.event_type IN ('mcp.tool.result','mcp.tool.error') WHERE s.event_type='mcp.tool.called'", ["v_calls"])
 def _(spark, d):
     path, checkpoint = _folders(spark)
-    paired = streams.paired_stream(_stream(spark, d, "orders", fx.VIEWS["v_calls"]))
-    return _finished(streams.append_stream(paired, path, checkpoint), spark, path).select("request_id", "duration_ms", "is_error")
+    streams.paired_stream(_stream(spark, d, "orders", fx.VIEWS["v_calls"]), path, checkpoint).awaitTermination()
+    return streams.paired_totals(spark, path).select("request_id", "duration_ms", "is_error")
 
 
 @query("usage_stream", f"WITH {_PRICED} SELECT conv_id,model_id,count(*) AS calls,CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,round(sum(prompt_tokens*pi+completion_tokens*po)/1000000,6) AS cost_cents FROM pr GROUP BY 1,2", ["v_usage"])
@@ -175,8 +175,39 @@ def _(spark, d):
 @query("feedback_stream", _FOLD + "SELECT b.id,COALESCE(l.after_pct,b.conv_pct) AS conv_pct,CAST(b.usage_count+COALESCE(l.rn,0) AS BIGINT) AS usage_count FROM v_beliefs b LEFT JOIN (SELECT belief_id,max(rn) AS rn,arg_max(after_pct,rn) AS after_pct FROM f GROUP BY 1) l ON l.belief_id=b.id", ["v_beliefs", "v_outcomes"])
 def _(spark, d):
     path, checkpoint = _folders(spark)
-    log = _finished(streams.feedback_stream(_stream(spark, d, "events", fx.VIEWS["v_outcomes"]), path, checkpoint), spark, path)
-    return streams.current_convictions(fx.beliefs(spark, d), log)
+    maps = _finished(streams.feedback_stream(_stream(spark, d, "events", fx.VIEWS["v_outcomes"]), path, checkpoint), spark, f"{path}/maps")
+    return streams.current_convictions(fx.beliefs(spark, d), maps)
+
+
+#: A mesh before and after a change of some files of each customer: deleted, modified, renamed.
+_SYNC = """mv AS (SELECT 'src/'||c_mktsegment||'/c'||c_custkey||'.py' AS file,c_custkey%10 AS k,c_custkey AS ck FROM customer WHERE c_custkey%10 IN (1,2,3)),
+n0 AS (SELECT n.id,n.type,n.name,n.project_id,n.branch,n.file,n.line_start,mv.k,mv.ck FROM v_nodes n LEFT JOIN mv ON mv.file=n.file),
+n2 AS (SELECT id AS old_id,CASE WHEN k=2 AND type<>'File' THEN id||'-2' WHEN k=3 THEN id||'-m' ELSE id END AS id,type,CASE WHEN k=2 AND type<>'File' AND line_start%4=1 THEN 'new_'||name ELSE name END AS name,project_id,branch,CASE WHEN k=3 THEN 'src/moved/c'||ck||'.py' ELSE file END AS file,line_start FROM n0 WHERE k IS NULL OR k<>1),
+e0 AS (SELECT e.from_id,e.to_id,e.type,f.project_id,f.branch,f.file,COALESCE(t.name,e.to_id) AS target_name,COALESCE(t.file=f.file AND t.project_id=f.project_id AND t.branch=f.branch,false) AS in_file FROM v_edges e JOIN n0 f ON f.id=e.from_id LEFT JOIN n0 t ON t.id=e.to_id),
+e2 AS (SELECT f.id AS from_id,CASE WHEN e.in_file THEN t.id ELSE e.to_id END AS to_id,e.type,f.project_id,f.branch,f.file,e.target_name,e.in_file FROM e0 e JOIN n2 f ON f.old_id=e.from_id LEFT JOIN n2 t ON t.old_id=e.to_id)"""
+_LINES = """SELECT 'proj'||c_nationkey AS project_id,CASE WHEN c_custkey%3=0 THEN 'dev' ELSE 'main' END AS branch,CASE c_custkey%10 WHEN 1 THEN 'D' WHEN 2 THEN 'M' ELSE 'R090' END||chr(9)||'src/'||c_mktsegment||'/c'||c_custkey||'.py'||CASE WHEN c_custkey%10=3 THEN chr(9)||'src/moved/c'||c_custkey||'.py' ELSE '' END AS line FROM customer WHERE c_custkey%10 IN (1,2,3)"""
+
+
+@query("incremental_sync", f"""WITH {_SYNC}, ft AS (SELECT project_id,branch,name,id,row_number() OVER (PARTITION BY project_id,branch,name ORDER BY file,line_start,id) AS rn FROM n2)
+SELECT 'node' AS kind,id AS source,name AS target,type,file,project_id,branch FROM n2
+UNION ALL SELECT 'edge',e.from_id,CASE WHEN e.in_file THEN e.to_id ELSE COALESCE(ft.id,e.target_name) END,e.type,e.file,e.project_id,e.branch FROM e2 e LEFT JOIN ft ON ft.rn=1 AND ft.project_id=e.project_id AND ft.branch=e.branch AND ft.name=e.target_name""", ["v_nodes", "v_edges"])
+def _(spark, d):
+    path, checkpoint = _folders(spark)
+    part = lambda name, columns: fx.sql(spark, d, f"{fx.ctes('v_nodes', 'v_edges')}, {_SYNC} SELECT {columns} FROM {name}")
+    nodes, edges = "id,type,name,project_id,branch,file,line_start", "from_id,to_id,type,target_name,in_file,project_id,branch,file"
+    old = part("n0", nodes)
+    store.write_branches(old, f"{path}/nodes")
+    store.write_branches(store.bind_targets(part("e0", edges), old), f"{path}/edges")
+    after = [part("n2", nodes), part("e2", edges)]
+
+    def extract(wanted):
+        files_of = wanted.withColumnRenamed("path", "file")
+        return [rows.join(files_of, ["project_id", "branch", "file"], "left_semi") for rows in after]
+
+    streams.incremental_sync(_stream(spark, d, "customer", _LINES), extract, f"{path}/nodes", f"{path}/edges", checkpoint).awaitTermination()
+    common = ["type", "file", "project_id", "branch"]
+    return spark.read.parquet(f"{path}/nodes").select(F.lit("node").alias("kind"), F.col("id").alias("source"), F.col("name").alias("target"), *common).unionByName(
+        spark.read.parquet(f"{path}/edges").select(F.lit("edge").alias("kind"), F.col("from_id").alias("source"), F.col("to_id").alias("target"), *common))
 
 
 # ----------------------------------------------------------------- questions

@@ -1,8 +1,10 @@
 import json
+import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import extraction, languages, trust
+from codeloom.operators import folds, telemetry, trust
 from codeloom.plans.ask import ask
 from codeloom.sources import files, store
 from codeloom.streaming import streams
@@ -48,22 +50,78 @@ def test_replace_and_merge_touch_only_their_partitions(spark, tmp_path):
     assert store.clear_stored_project(spark, "p", path) == 2
 
 
-def test_incremental_sync_re_extracts_changed_files(spark, tmp_path):
-    path = str(tmp_path / "nodes")
-    sources = spark.createDataFrame([("p", "a.py", "def one():\n    pass\n"), ("p", "c.py", "def three():\n    pass\n")], "project_id string, path string, content string")
+FILE = "project_id string, branch string, file string, line_start int, name string, calls array<string>"
+
+
+def mesh_of(sources):
+    """Nodes and edges of files given as functions and the names they call."""
+    nodes = sources.select(F.concat_ws(":", "branch", "file", "name", "line_start").alias("id"), F.lit("Function").alias("type"), "name", "project_id", "branch", "file", "line_start")
+    here = sources.groupBy("project_id", "branch", "file").agg(F.map_from_entries(F.collect_set(F.struct("name", F.concat_ws(":", "branch", "file", "name", "line_start")))).alias("own"))
+    calls = sources.select("project_id", "branch", "file", F.concat_ws(":", "branch", "file", "name", "line_start").alias("from_id"), F.explode("calls").alias("target_name"))
+    known = F.try_element_at("own", F.col("target_name"))
+    edges = calls.join(here, ["project_id", "branch", "file"]).select(
+        "from_id", F.coalesce(known, "target_name").alias("to_id"), F.lit("CALLS").alias("type"), "target_name", known.isNotNull().alias("in_file"), "project_id", "branch", "file")
+    return nodes, edges
+
+
+def test_incremental_sync_equals_a_full_extraction(spark, tmp_path):
+    nodes_path, edges_path, feed = (str(tmp_path / n) for n in ("nodes", "edges", "feed"))
+    old = [("p", "main", "a.py", 1, "one", ["two", "three"]), ("p", "main", "b.py", 1, "two", ["two", "one", "nowhere"]), ("p", "main", "c.py", 1, "three", ["one"]),
+           ("p", "main", "c.py", 9, "four", ["three"]), ("p", "main", "d.py", 1, "five", ["four", "later"]), ("p", "dev", "a.py", 1, "one", ["three"]), ("q", "main", "x.py", 1, "one", ["two"])]
+    # b.py goes, c.py moves its functions down, d.py is renamed, e.py is new, x.py empties its project.
+    new = [("p", "main", "a.py", 1, "one", ["two", "three"]), ("p", "main", "c.py", 5, "three", ["one", "two"]), ("p", "main", "c.py", 15, "four", ["three"]),
+           ("p", "main", "moved.py", 1, "five", ["four", "later"]), ("p", "main", "e.py", 3, "later", ["one"]), ("p", "dev", "a.py", 1, "one", ["three"])]
+    sources = spark.createDataFrame(old, FILE)
+    nodes, edges = mesh_of(sources)
+    store.write_branches(nodes, nodes_path)
+    store.write_branches(store.bind_targets(edges, nodes), edges_path)
+    want_nodes, want_edges = mesh_of(spark.createDataFrame(new, FILE))
+    want = [{tuple(r) for r in df.select(sorted(df.columns)).collect()} for df in (want_nodes, store.bind_targets(want_edges, want_nodes))]
 
     def extract(wanted):
-        ready = languages.match_schemas(languages.detect_language(files.scan_changed_files(sources, wanted)))
-        nodes = extraction.extract_nodes(extraction.with_nodes(extraction.find_matches(ready)))
-        return nodes.filter("type = 'Function'").select("id", "type", "name", "project_id", F.lit("main").alias("branch"), "file", "line_start")
-
-    old = [("1", "Function", "old", "p", "main", "a.py", 1), ("2", "Function", "kept", "p", "main", "b.py", 1), ("3", "Function", "gone", "p", "main", "d.py", 1)]
-    store.write_branches(spark.createDataFrame(old, NODE), path)
-    feed = tmp_path / "feed"
-    spark.createDataFrame([("p", "M\ta.py"), ("p", "R090\td.py\tc.py"), ("p", "C100\tb.py\tz.py")], "project_id string, line string").write.parquet(str(feed))
-    stream = spark.readStream.schema("project_id string, line string").parquet(str(feed))
-    streams.incremental_sync(stream, extract, path, str(tmp_path / "ck")).awaitTermination()
-    assert {(r.name, r.file) for r in spark.read.parquet(path).collect()} == {("one", "a.py"), ("kept", "b.py"), ("three", "c.py")}
+        kept = spark.createDataFrame(new, FILE).join(wanted.withColumnRenamed("path", "file"), ["project_id", "branch", "file"], "left_semi")
+        return mesh_of(kept)
+
+    lines = [[("p", "main", "D\tb.py"), ("p", "main", "M\tc.py")], [("p", "main", "R090\td.py\tmoved.py"), ("p", "main", "A\te.py"), ("q", "main", "D\tx.py")]]
+    for k, batch in enumerate([*lines, lines[0]]):  # a batch that comes twice changes nothing
+        spark.createDataFrame(batch, "project_id string, branch string, line string").coalesce(1).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema("project_id string, branch string, line string").parquet(feed)
+        streams.incremental_sync(stream, extract, nodes_path, edges_path, str(tmp_path / "ck")).awaitTermination()
+        if k:
+            got = [spark.read.parquet(path) for path in (nodes_path, edges_path)]
+            assert [{tuple(r) for r in df.select(sorted(df.columns)).collect()} for df in got] == want
+
+
+def in_batches(spark, tmp_path, name, rows, schema, start):
+    feed = str(tmp_path / f"{name}-feed")
+    for batch in rows:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(feed)
+        start(spark.readStream.schema(schema).parquet(feed), str(tmp_path / name), str(tmp_path / f"{name}-ck")).awaitTermination()
+    return spark.read.schema(schema).parquet(feed)
+
+
+def test_requests_are_paired_however_late_their_end(spark, tmp_path):
+    at = lambda minutes: datetime(2024, 1, 1) + timedelta(minutes=minutes)
+    call, end, error = "mcp.tool.called", "mcp.tool.result", "mcp.tool.error"
+    rows = [[("slow", call, at(0), "{}"), ("fast", call, at(1), "{}"), ("fast", end, at(2), "{}"), ("early", end, at(5), '{"n":"1"}'), ("never", call, at(0), "{}"), ("x", "other", at(0), "{}")],
+            [("slow", error, at(900), '{"e":"1"}'), ("early", call, at(4), "{}"), ("again", call, at(10), "{}"), ("again", end, at(20), "{}"), ("again", end, at(3), "{}")],
+            [("again", call, at(1), "{}"), ("lost", end, at(1), "{}"), ("fast", end, at(9), "{}")]]
+    events = in_batches(spark, tmp_path, "pairs", rows, "request_id string, event_type string, ts timestamp, data string", streams.paired_stream)
+    got = {tuple(map(str, r)) for r in streams.paired_totals(spark, str(tmp_path / "pairs")).collect()}
+    assert got == {tuple(map(str, r)) for r in telemetry.pair_events(events).collect()} and len(got) == 4
+    assert len(list((tmp_path / "pairs" / "open").iterdir())) == 2
+
+
+def test_feedback_in_any_order_of_arrival(spark, tmp_path):
+    rng = random.Random(8)
+    kinds = ["helpful", "not_helpful", "misleading", "outdated"]
+    rows = [(f"b{k % 3}" if k % 5 else "b|4", k, datetime(2024, 1, 1) + timedelta(hours=5 * k), rng.choice(kinds)) for k in range(120)]
+    rng.shuffle(rows)
+    batches = [rows[:50], rows[50:90], rows[90:]]
+    outcomes = in_batches(spark, tmp_path, "log", batches, "belief_id string, event_id long, ts timestamp, outcome string", streams.feedback_stream)
+    beliefs = spark.createDataFrame([(f"b{k}", 20 + 30 * k, k) for k in range(3)] + [("b|4", 90, 0), ("none", 50, 2)], "id string, conv_pct int, usage_count int")
+    got = streams.current_convictions(beliefs, spark.read.parquet(str(tmp_path / "log" / "maps"))).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in folds.feedback_fold(beliefs, outcomes).collect()}
 
 
 def test_counter_log_is_exact_over_batches(spark, tmp_path):
