@@ -7,7 +7,6 @@ labelled pages by gradient steps on their likelihood, and Viterbi decodes.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,29 +21,21 @@ STEPS = 300
 RATE = 0.5
 RIDGE = 1e-3
 
-#: Words in names that tell what an element is for.
-GOOD_NAME = re.compile(r"\b(?:article|content|entry|main|post|story|text|body|articlebody)\b")
-BAD_NAME = re.compile(
-    r"\b(?:ads?|advert\w*|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|copyright|footer|header|legal|login|masthead|"
-    r"menu|modal|nav|navigation|newsletter|notice|pagination|popup|promo|related|reply|search|share|sidebar|social|sponsor\w*|subscribe|tags|widget)\b"
-)
-_SPLIT = re.compile(r"[-_]")
 _TAGS = ("article", "main", "nav", "header", "footer", "aside", "form", "head", "title", "li", "table", "button", "label", "section", "blockquote", "figure")
 _OWN = ("p", "div", "h1", "h2", "h3", "li", "td", "article", "body")
 
 
 def block_features(block: Block) -> list[str]:
     """Names of the features that a block has."""
-    names = _SPLIT.sub(" ", block.roles)
-    own = block.tags[-1] if block.tags else "none"
+    own = block.own
     text, size = block.text, len(block.text)
     found = ["bias", "own=" + (own if own in _OWN else "other")]
     found += ["in=" + t for t in _TAGS if t in block.tags]
-    if BAD_NAME.search(names):
+    if block.bad:
         found.append("bad name")
-    if GOOD_NAME.search(names):
+    if block.good:
         found.append("good name")
-    if not {"article", "main"} & set(block.tags) and "good name" not in found:
+    if not {"article", "main"} & block.tags and "good name" not in found:
         found.append("nothing good around")
     found.append("linked" if 2 * block.linked > size else "free")
     found.append("size=" + ("s" if size < 25 else "m" if size < 100 else "l"))

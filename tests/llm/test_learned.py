@@ -1,5 +1,6 @@
 """Language, toxicity and HTML models: held-out accuracy, and single parts against plain versions."""
 
+import time
 import zlib
 
 import numpy as np
@@ -144,7 +145,7 @@ def test_markup():
 
 @pytest.mark.parametrize("icon", [
     '<svg class="i"/>', "<svg/>", "<svg hidden/>", "<iframe src=x />", '<object data="x"/>', "<svg-icon name='i'></svg-icon>", "<template-x>", "<object-view/>",
-    "<canvas>", "<iframe src=x>", "<svg>drawn</svg>", "<svg width=1/>drawn</svg>", "<noscript>none</noscript >", "<math/><svg/>", '<svg title="a>b"/>',
+    "<canvas>", "<iframe src=x>", "<svg>drawn</svg>", "<svg width=1/>drawn</svg>", "<canvas>none</canvas >", "<math/><svg/>", '<svg title="a>b"/>',
 ])
 def test_elements_without_text_end_where_they_close(icon):
     page = f"<p>before</p>{icon}<article>main text</article><p>after</p>"
@@ -159,7 +160,28 @@ def test_icons_apart_and_scripts_to_the_end():
 def test_deep_elements_stay_paired():
     page = "<section>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>last</p></section>"
     deep, last = html_blocks.leaf_blocks(page)
-    assert len(deep.tags) == 2000 and last.tags == ("section", "p")
+    assert (deep.own, deep.tags, last.own, last.tags) == ("div", {"section", "div"}, "p", {"section", "p"})
+
+
+def test_formulas_objects_and_noscript_keep_their_text():
+    page = "<p>Let <math><mi>x</mi></math> be real.</p><object data=x>shown</object><noscript>plain</noscript><p>end</p>"
+    assert [b.text for b in html_blocks.leaf_blocks(page)] == ["Let x be real.", "shown", "plain", "end"]
+
+
+def test_quotes_in_tags():
+    page = """<p title="a>b">one</p><p title='">two</p><p class='x'>three</p><a href="x>four</p>"""
+    assert [b.text for b in html_blocks.leaf_blocks(page)] == ["one", "two", "three", "four"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<svg ", "<a '", '<a "', "<a '>", '<a ">', "<a '\">", "</svg ", "<svg></svg ", "<!--", "<!", "<svg>", "<p class=x ", "<div>x", "<p><figure>x", "<li>", "<script ", "</p>", "<a x='>'\">", "<object><li>x"])
+def test_time_is_linear_in_hostile_markup(piece):
+    page = piece * (1_000_000 // len(piece))
+    times = []
+    for part in (page, page + ">"):
+        began = time.process_time()
+        html_blocks.leaf_blocks(part)
+        times.append(time.process_time() - began)
+    assert max(times) < 6  # a second on an idle machine, and some for slow ones
 
 
 def test_odd_pages(spark):
