@@ -44,10 +44,9 @@ def _(spark, d):
     return languages.detect_language(sources(spark, d)).select("project_id", "path", "language")
 
 
-@query("detect_language_by_content", f"""WITH nx AS (SELECT path,content,list_max([{_SCORES}]) AS x FROM v_sources WHERE NOT starts_with(content,'#!')) SELECT path,CASE WHEN x.s>0 THEN x.l ELSE 'unknown' END AS language FROM nx""", S)
+@query("detect_language_by_content", f"""WITH nx AS (SELECT path,content,list_max([{_SCORES}]) AS x FROM v_sources) SELECT path,CASE WHEN regexp_matches(lower(string_split(content,chr(10))[1]),'^#!.*python') THEN 'python' WHEN x.s>0 THEN x.l ELSE 'unknown' END AS language FROM nx""", S)
 def _(spark, d):
-    texts = sources(spark, d).filter(~F.col("content").startswith("#!"))
-    bare = texts.withColumn("_path", F.col("path")).withColumn("path", F.lit("bare"))
+    bare = sources(spark, d).withColumn("_path", F.col("path")).withColumn("path", F.lit("bare"))
     return languages.detect_language(bare).select(F.col("_path").alias("path"), "language")
 
 
@@ -177,10 +176,13 @@ def _(spark, d):
     return extraction.template_edges(prepared(spark, d)).select("path", "type", "node_name")
 
 
-@query("contains_default", f"WITH {_LN} SELECT path,count(*) AS n FROM (SELECT DISTINCT * FROM ({' UNION ALL '.join(_NODE_SQL)})) WHERE type<>'File' GROUP BY 1", S)
+#: Nodes on even lines are contained already and must not be contained again; the others must.
+@query("contains_default", f"WITH {_LN} SELECT path,count(*) AS n FROM (SELECT DISTINCT * FROM ({' UNION ALL '.join(_NODE_SQL)})) WHERE type<>'File' AND line_start%2=1 GROUP BY 1", S)
 def _(spark, d):
     nodes, edges = extraction.extract_mesh(files(spark, d))
-    default = extraction.contains_default(nodes, edges.filter("type<>'CONTAINS'"))
+    even = nodes.filter("line_start % 2 = 0").select(F.col("id").alias("to_id"))
+    known = edges.filter("type<>'CONTAINS'").unionByName(edges.filter("type='CONTAINS'").join(even, "to_id", "left_semi"))
+    default = extraction.contains_default(nodes, known)
     return default.join(nodes.select(F.col("id").alias("from_id"), F.col("file").alias("path")), "from_id").groupBy("path").agg(F.count("*").alias("n"))
 
 
@@ -193,13 +195,16 @@ def _(spark, d):
     return rows.select("path", "schema", F.col("matches").cast("int").alias("matches"), F.round("confidence", 6).alias("confidence"))
 
 
-@query("verification_context", f"WITH {_LN} SELECT a.path,a.i AS line_start,string_agg(b.i||': '||b.l,chr(10) ORDER BY b.i) AS before FROM ln a JOIN ln b ON b.path=a.path AND b.i<a.i AND b.i>=a.i-10 WHERE a.language='java' AND starts_with(a.l,'public class') GROUP BY 1,2", S)
+#: A node of four lines at every third line of every file; the last ones run beyond the end.
+@query("verification_context", f"""WITH {_LN}, nd AS (SELECT project_id,path,i FROM ln WHERE i%3=1),
+tx AS (SELECT a.project_id,a.path,a.i,string_agg(b.i||': '||b.l,chr(10) ORDER BY b.i) FILTER (b.i<a.i) AS before,string_agg(b.i||': '||b.l,chr(10) ORDER BY b.i) FILTER (b.i BETWEEN a.i AND a.i+3) AS source,string_agg(b.i||': '||b.l,chr(10) ORDER BY b.i) FILTER (b.i>a.i+3) AS after FROM nd a JOIN ln b ON b.project_id=a.project_id AND b.path=a.path AND b.i BETWEEN a.i-10 AND a.i+13 GROUP BY 1,2,3)
+SELECT project_id||'/'||path||':'||i AS id,COALESCE(before,'') AS before,source,COALESCE(after,'') AS after FROM tx""", S)
 def _(spark, d):
-    ready = prepared(spark, d).filter("language='java'")
-    nodes = extraction.extract_nodes(ready).filter("type='Class'")
     texts = fx.view(spark, d, "v_sources").withColumnRenamed("path", "file")
-    context = extraction.verification_context(nodes, texts)
-    return context.join(nodes, "id").select(F.col("file").alias("path"), "line_start", "before")
+    lines = texts.select("project_id", "file", F.posexplode(F.split("content", "\n")).alias("at", "_")).filter("at % 3 = 0")
+    nodes = lines.select(F.concat("project_id", F.lit("/"), "file", F.lit(":"), (F.col("at") + 1).cast("string")).alias("id"), F.lit("Function").alias("type"),
+                         "project_id", "file", (F.col("at") + 1).alias("line_start"), (F.col("at") + 4).alias("line_end"))
+    return extraction.verification_context(nodes, texts)
 
 
 _VR = """SELECT 'o'||o_orderkey AS node_id,CASE o_orderstatus WHEN 'F' THEN '<status>corrected</status><confidence>0.'||(o_orderkey%9+1)||'</confidence><corrected_line_start>'||(o_orderkey%50)||'</corrected_line_start>' WHEN 'O' THEN '<status>rejected</status><reasoning> no </reasoning>' ELSE 'garbage' END AS response FROM orders"""

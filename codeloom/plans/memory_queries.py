@@ -372,9 +372,9 @@ def _(spark, d):
     return trust.discovery_cost(fx.view(spark, d, "v_file_results")).withColumn("tokens", F.round("tokens", 2))
 
 
-@query("discovery_confidence", "SELECT f.file,round(least(1.0,COALESCE(avg(n.conf_pct/100.0),0)+CASE WHEN contains(f.file,'lib') THEN 0.08 ELSE 0 END),6)::DOUBLE AS confidence FROM (SELECT DISTINCT file FROM v_nodes UNION SELECT 'none.py') f LEFT JOIN v_nodes n ON n.file=f.file AND n.type<>'Queue' GROUP BY 1", ["v_nodes"])
+@query("discovery_confidence", "SELECT f.file,round(least(1.0,COALESCE(avg(n.conf_pct/100.0),0)+CASE WHEN contains(f.file,'lib') THEN 0.08 ELSE 0 END),6)::DOUBLE AS confidence FROM (SELECT DISTINCT file FROM v_nodes UNION SELECT 'none.py') f LEFT JOIN v_nodes n ON n.file=f.file GROUP BY 1", ["v_nodes"])
 def _(spark, d):
     nodes = fx.nodes(spark, d)
     files = nodes.select("file").distinct().unionByName(spark.range(1).select(F.lit("none.py").alias("file")))
     boosts = files.filter(F.col("file").contains("lib")).withColumn("boost", F.lit(0.8))
-    return trust.discovery_confidence(files, nodes.filter("type<>'Queue'"), boosts).withColumn("confidence", F.round("confidence", 6))
+    return trust.discovery_confidence(files, nodes, boosts).withColumn("confidence", F.round("confidence", 6))

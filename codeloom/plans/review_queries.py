@@ -43,12 +43,15 @@ def _(spark, d):
     return review.detect_domain(fx.view(spark, d, "v_file_changes")).select("review_id", "path", "domain")
 
 
-@query("cross_file_findings", """WITH f AS (SELECT review_id,count(*) AS n,bool_or(contains(lower(path),'test')) AS t,count(*) FILTER (NOT contains(lower(path),'test') AND lines_added+lines_deleted>20) AS b,bool_or(contains(lower(path),'api') OR contains(lower(path),'routes')) AS a,bool_or(ends_with(path,'.md') OR contains(lower(path),'doc')) AS o FROM (SELECT *, review_id AS x FROM v_file_changes WHERE NOT (contains(path,'test') AND lines_added>3) AND NOT (contains(path,'doc') AND lines_added>3)) GROUP BY 1)
+#: Orders as reviews of a few files, with and without tests, API and documentation.
+_ORDERS = """SELECT 'o'||l_orderkey AS review_id,CASE l_partkey%9 WHEN 0 THEN 'src/routes/f' WHEN 1 THEN 'src/api/f' WHEN 2 THEN 'tests/test_f' WHEN 3 THEN 'guide/f' WHEN 4 THEN 'Docs/f' ELSE 'src/core/f' END||l_suppkey||'_'||l_linenumber||CASE l_partkey%9 WHEN 3 THEN '.md' ELSE '.py' END AS path,CAST(FLOOR(l_quantity) AS INT) AS lines_added,CAST(l_linenumber AS INT) AS lines_deleted FROM lineitem"""
+
+
+@query("cross_file_findings", f"""WITH f AS (SELECT review_id,count(*) AS n,bool_or(contains(lower(path),'test')) AS t,count(*) FILTER (NOT contains(lower(path),'test') AND lines_added+lines_deleted>20) AS b,bool_or(contains(lower(path),'api') OR contains(lower(path),'routes')) AS a,bool_or(ends_with(path,'.md') OR contains(lower(path),'doc')) AS o FROM ({_ORDERS} UNION ALL SELECT review_id,path,lines_added,lines_deleted FROM v_file_changes) GROUP BY 1)
 SELECT review_id,'warning' AS severity,'missing_tests' AS finding,b AS n_files FROM f WHERE n>=2 AND NOT t AND b>0 UNION ALL SELECT review_id,'suggestion','missing_docs',0 FROM f WHERE n>=2 AND a AND NOT o""", FC)
 def _(spark, d):
-    changes = fx.view(spark, d, "v_file_changes").filter(
-        "NOT (contains(path,'test') AND lines_added>3) AND NOT (contains(path,'doc') AND lines_added>3)")
-    return review.cross_file_findings(changes)
+    columns = ["review_id", "path", "lines_added", "lines_deleted"]
+    return review.cross_file_findings(fx.sql(spark, d, _ORDERS).unionByName(fx.view(spark, d, "v_file_changes").select(*columns)))
 
 
 _LINES = """ln AS (SELECT diff_id,i,l,sum(CASE WHEN regexp_matches(l,'^diff --git a/.+ b/.+$') THEN 1 ELSE 0 END) OVER (PARTITION BY diff_id ORDER BY i) AS fno,sum(CASE WHEN regexp_matches(l,'^@@ -\\d+(?:,\\d+)? \\+\\d+(?:,\\d+)? @@') THEN 1 ELSE 0 END) OVER (PARTITION BY diff_id ORDER BY i) AS hno FROM (SELECT diff_id,unnest(string_split(diff,chr(10))) AS l,generate_subscripts(string_split(diff,chr(10)),1) AS i FROM v_diffs)),
