@@ -4,7 +4,7 @@ A file is one bounded row (the scan drops files over its size limit), so all
 of its matches, scopes and resolutions are worked out inside that row with
 array functions. No stage shuffles; the one Python step runs compiled
 expressions over Arrow batches because line numbers need match offsets, which
-no built-in returns.
+no built-in returns, and finds the ends of scopes while it has the lines.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions import scopes as scope_ends
 from codeloom.functions.pattern_tables import PATTERNS, SCHEMAS
 from codeloom.functions.scalars import camel_case, snake_case
 from codeloom.functions.scaling import each_item
@@ -24,7 +25,6 @@ from codeloom.session import cut_lineage
 
 CALLABLE = ("Function", "Method")
 BRACE_LANGUAGES = ("typescript", "javascript")
-_ALL = 1_000_000_000
 
 # Imports and class heads per language family.
 HEADS = {
@@ -47,7 +47,7 @@ CALLS = {
               (r"(?:await\s+)?([a-zA-Z_$][a-zA-Z0-9_$]*)\.([a-zA-Z_$][a-zA-Z0-9_$]*)\s*\(", 2)],
 }
 
-MATCHES = "array<struct<pattern:string,seq:int,line:int,groups:array<string>>>"
+MATCHES = "array<struct<pattern:string,seq:int,line:int,end:int,groups:array<string>>>"
 
 
 def compiled(patterns: Sequence[tuple]) -> dict[str, re.Pattern]:
@@ -61,23 +61,38 @@ def compiled(patterns: Sequence[tuple]) -> dict[str, re.Pattern]:
     return table
 
 
-def matcher(rules: dict[str, re.Pattern]):
-    """Column function (content, pattern ids) -> matches with lines and groups."""
+def _scoped(patterns: Sequence[tuple]) -> dict[str, int]:
+    """Patterns whose nodes have a scope, and the group that captures the indentation of their definition (0: none)."""
+    groups = {}
+    for schema, group, name, _, captures, node, *_rest in patterns:
+        if node and (node[0] == "Class" or node[0] in CALLABLE):
+            spec = captures.get("indent", 0)
+            groups[f"{schema}/{group}/{name}"] = spec[0] if isinstance(spec, tuple) else spec
+    return groups
+
+
+def matcher(rules: dict[str, re.Pattern], scoped: dict[str, int]):
+    """Column function (content, pattern ids, language) -> matches with lines, groups and ends of scopes."""
 
     @F.pandas_udf(MATCHES)
-    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        def one(text: str, wanted) -> list[dict]:
-            found = []
+    def find(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def one(text: str, wanted, language: str | None) -> list[dict]:
+            found, scopes = [], None
+            kind = scope_ends.IndentScopes if language == "python" else scope_ends.BraceScopes if language in BRACE_LANGUAGES else None
             for name in wanted:
                 line, seen = 1, 0
                 for seq, match in enumerate(rules[name].finditer(text)):
                     line += text.count("\n", seen, match.start())
                     seen = match.start()
-                    found.append({"pattern": name, "seq": seq, "line": line, "groups": list(match.groups())})
+                    end = None
+                    if kind and name in scoped:
+                        scopes = scopes or kind(text.split("\n"))
+                        end = scopes.end(line, len(match[scoped[name]] or "") if scoped[name] else 0)
+                    found.append({"pattern": name, "seq": seq, "line": line, "end": end, "groups": list(match.groups())})
             return found
 
-        for contents, wanted in batches:
-            yield pd.Series([one(c or "", w) for c, w in zip(contents, wanted)])
+        for contents, wanted, kinds in batches:
+            yield pd.Series([one(c or "", w, k) for c, w, k in zip(contents, wanted, kinds)])
 
     return find
 
@@ -108,87 +123,13 @@ def find_matches(files: DataFrame, patterns: Sequence[tuple] = PATTERNS) -> Data
     family = F.when(F.col("language") == "python", F.lit("python")).when(F.col("language").isin(*BRACE_LANGUAGES), "brace")
     head_names = F.when(family.isNull(), F.array().cast("array<string>")).otherwise(
         F.array(F.concat(F.lit("import:"), family), F.concat(F.lit("class:"), family)))
-    find = matcher({**rules, **heads})
+    find = matcher({**rules, **heads}, _scoped(patterns))
     return files.withColumn("lines", F.split("content", "\n")).withColumn(
-        "_found", find("content", F.concat(wanted, head_names))
+        "_found", find("content", F.concat(wanted, head_names), "language")
     ).withColumn("matches", F.filter("_found", lambda m: ~m["pattern"].rlike("^(import|class):"))).withColumn(
         "heads", F.filter("_found", lambda m: m["pattern"].rlike("^(import|class):"))).drop("_found")
 
 
-# ----------------------------------------------------------------- scopes
-
-
-def _indent(line: Column) -> Column:
-    return F.length(F.regexp_extract(line, r"^(\s*)", 1))
-
-
-def scope_end_indent(lines: Column, start: Column, indent: Column | None = None) -> Column:
-    """Last line indented deeper than the definition, at least one line below it.
-
-    Blank and comment lines neither end nor extend the scope; a first content
-    line that is not deeper means the definition has no body.
-    """
-    own = F.coalesce(F.nullif(indent, F.lit(0)) if indent is not None else F.lit(None), _indent(F.get(lines, start - 1)), F.lit(0))
-    rest = F.slice(lines, start + 1, F.lit(_ALL))
-    begin = F.struct(start.alias("at"), start.alias("last"), F.lit(False).alias("body"), F.lit(False).alias("over"))
-
-    def step(acc: Column, line: Column) -> Column:
-        trimmed = F.regexp_replace(line, r"^\s+", "")
-        skip = acc["over"] | (trimmed == "") | trimmed.startswith("#")
-        deeper = _indent(line) > own
-        at = acc["at"] + 1
-        return F.struct(
-            at.alias("at"),
-            F.when(~skip & deeper, at).otherwise(acc["last"]).alias("last"),
-            (acc["body"] | (~skip & deeper)).alias("body"),
-            (acc["over"] | (~skip & ~deeper)).alias("over"),
-        )
-
-    return F.greatest(F.aggregate(rest, begin, step)["last"], start + 1)
-
-
-def _braces(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^{}]", "")
-
-
-def brace_profile(lines: Column) -> Column:
-    """Per line: balance with and without string contents, and the lowest running
-    balance outside strings. A quote after a backslash does not count, and an
-    open string ends with its line."""
-    strings = r"(?<!\\)([\"'`])(?:(?!(?<!\\)\1).)*(?:(?<!\\)\1|$)"
-
-    def one(line: Column) -> Column:
-        plain, outside = _braces(line), _braces(F.regexp_replace(line, strings, ""))
-        net = lambda t: F.length(F.replace(t, F.lit("}"))) - F.length(F.replace(t, F.lit("{")))
-        lowest = F.aggregate(
-            F.split(outside, ""), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("low")),
-            lambda acc, c: F.struct(
-                (acc["sum"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("sum"),
-                F.least(acc["low"], acc["sum"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("low")))["low"]
-        return F.struct(net(plain).alias("raw"), plain.contains("{").alias("opens"), net(outside).alias("net"), lowest.alias("low"))
-
-    return F.transform(lines, one)
-
-
-def scope_end_brace(profile: Column, start: Column) -> Column:
-    """Line on which the brace opened within five lines of ``start`` closes."""
-    size = F.size(profile)
-    begin = F.struct((start - 1).alias("at"), F.lit(0).alias("count"), F.lit(False).alias("opened"),
-                     F.lit(None).cast("int").alias("end"))
-
-    def step(acc: Column, p: Column) -> Column:
-        at = acc["at"] + 1
-        looking = ~acc["opened"] & (at < start + 5)
-        opened = acc["opened"] | (looking & p["opens"])
-        count = F.when(acc["opened"], acc["count"] + p["net"]).when(looking, acc["count"] + p["raw"]).otherwise(acc["count"])
-        closes = F.when(acc["opened"], acc["count"] + p["low"] <= 0).otherwise(looking & p["opens"] & (count == 0))
-        return F.struct(at.alias("at"), count.alias("count"), opened.alias("opened"),
-                        F.when(acc["end"].isNull() & closes, at).otherwise(acc["end"]).alias("end"))
-
-    done = F.aggregate(F.slice(profile, start, F.lit(_ALL)), begin, step)
-    return F.when(~done["opened"], start + 1).otherwise(F.coalesce(done["end"], size))
-
-
 # ------------------------------------------------------------------ nodes
 
 
@@ -240,18 +181,12 @@ def _node_array(patterns: Sequence[tuple]) -> Column:
 
     def placed(m: Column) -> Column:
         """Type and captures first, so that later steps read them as fields."""
-        return F.struct(m["pattern"].alias("pattern"), m["seq"].alias("seq"), m["line"].alias("line"),
+        return F.struct(m["pattern"].alias("pattern"), m["seq"].alias("seq"), m["line"].alias("line"), m["end"].alias("end"),
                         _literal_lookup(m["pattern"], kinds, "string").alias("type"), _captures(m, patterns).alias("captures"))
 
     def node(m: Column) -> Column:
         name = F.coalesce(F.nullif(F.try_element_at(m["captures"], _literal_lookup(m["pattern"], names, "string")), F.lit("")), F.lit("unknown"))
-        scoped = m["type"].isin("Class", *CALLABLE)
-        indent = F.length(F.coalesce(F.try_element_at(m["captures"], F.lit("indent")), F.lit("")))
-        end = (
-            F.when(scoped & (F.col("language") == "python"), scope_end_indent(F.col("lines"), m["line"], indent))
-            .when(scoped & F.col("language").isin(*BRACE_LANGUAGES), scope_end_brace(F.col("_profile"), m["line"]))
-            .otherwise(m["line"] + _literal_lookup(m["pattern"], extra, "int"))
-        )
+        end = F.coalesce(m["end"], m["line"] + _literal_lookup(m["pattern"], extra, "int"))
         return F.struct(
             node_id("project_id", "path", m["type"], name, m["line"].cast("string")).alias("id"), m["type"].alias("type"), name.alias("name"),
             m["line"].alias("line_start"), end.cast("int").alias("line_end"),
@@ -266,12 +201,9 @@ def _node_array(patterns: Sequence[tuple]) -> Column:
 
 def with_nodes(found: DataFrame, patterns: Sequence[tuple] = PATTERNS) -> DataFrame:
     """Adds ``nodes`` (array) and ``file_id`` to the output of :func:`find_matches`."""
-    profile = F.when(F.col("language").isin(*BRACE_LANGUAGES), brace_profile(F.col("lines")))
     return (
-        found.withColumn("_profile", profile)
-        .withColumn("nodes", _node_array(patterns))
+        found.withColumn("nodes", _node_array(patterns))
         .withColumn("file_id", node_id("project_id", "path", F.lit("File"), "path", F.lit("1")))
-        .drop("_profile")
     )
 
 

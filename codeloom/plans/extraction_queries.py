@@ -134,11 +134,10 @@ en AS (SELECT path,i,name,min(j) FILTER (NOT skip AND NOT deep) AS stop FROM bd
 """
 
 
-@query("scope_end_indent", f"WITH {_DEFS} SELECT df.project_id,df.path,df.name,df.i AS line_start,CAST(greatest(COALESCE(max(bd.j) FILTER (bd.deep AND NOT bd.skip AND (en.stop IS NULL OR bd.j<en.stop)),df.i),df.i+1) AS INT) AS line_end FROM df LEFT JOIN en ON en.path=df.path AND en.i=df.i LEFT JOIN bd ON bd.path=df.path AND bd.i=df.i GROUP BY 1,2,3,4,df.i", S)
+@query("scope_end_indent", f"WITH {_DEFS} SELECT df.project_id,df.path,df.name,df.i AS line_start,CAST(greatest(COALESCE(max(bd.j) FILTER (bd.deep AND NOT bd.skip AND (en.stop IS NULL OR bd.j<en.stop)),df.i),df.i+1) AS INT) AS line_end FROM df LEFT JOIN en ON en.path=df.path AND en.i=df.i LEFT JOIN bd ON bd.path=df.path AND bd.i=df.i GROUP BY 1,2,3,4,df.i UNION ALL SELECT a.project_id,a.path,regexp_extract(b.l,'def (\\w+)',1),a.i,a.i+1 FROM ln a JOIN ln b ON b.path=a.path AND b.i=a.i+1 WHERE a.language='python' AND starts_with(a.l,'@router.')", S)
 def _(spark, d):
     rows = prepared(spark, d).filter("language='python'").select("project_id", "path", F.inline_outer("nodes"))
-    kept = rows.filter("type IN ('Class','Function') AND schema='base-python'")
-    return kept.select("project_id", "path", "name", "line_start", "line_end")
+    return rows.filter("type IN ('Class','Function','Method')").select("project_id", "path", "name", "line_start", "line_end").distinct()
 
 
 @query("scope_end_brace", f"WITH {_LN} SELECT path,name,line_start,CASE WHEN type='Class' THEN 10 WHEN name='run' THEN 6 WHEN name='calc' THEN 9 ELSE 13 END AS line_end FROM (SELECT path,type,name,line_start FROM ({_NODE_SQL[13]} UNION ALL {_NODE_SQL[14]} UNION ALL {_NODE_SQL[15]}))", S)

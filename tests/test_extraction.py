@@ -1,6 +1,10 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.functions import scopes
 from codeloom.functions.pattern_tables import PATTERNS, SCHEMAS
 from codeloom.operators import context, extraction, languages
 
@@ -140,3 +144,69 @@ def test_exports_honour_all(spark):
     text = '__all__ = ["f"]\nclass A(B):\n    pass\ndef f(x) -> int:\n    pass\ndef _g():\n    pass\n'
     rows = spark.createDataFrame([("p", "m.py", "python", text)], "project_id string, path string, language string, content string")
     assert [(r.name, r.signature) for r in context.extract_exports(rows).collect()] == [("f", "def f(x) -> int")]
+
+
+def plain_indent_end(lines, start, indent):
+    own = indent or (len(lines[start - 1]) - len(lines[start - 1].lstrip()) if start <= len(lines) else 0)
+    last = start
+    for at in range(start + 1, len(lines) + 1):
+        line = lines[at - 1]
+        if not line.strip() or line.strip().startswith("#"):
+            continue
+        if len(line) - len(line.lstrip()) <= own:
+            break
+        last = at
+    return max(last, start + 1)
+
+
+def plain_brace_end(lines, start):
+    count, opened = 0, False
+    for at in range(start, len(lines) + 1):
+        outside, quote, escaped = [], None, False
+        for k, c in enumerate(lines[at - 1]):
+            before = lines[at - 1][k - 1] if k else ""
+            if c in "\"'`" and before != "\\" and quote in (None, c):
+                quote = None if quote else c
+            elif quote is None and c in "{}":
+                outside.append(1 if c == "{" else -1)
+        if opened:
+            if count <= 0:
+                return at
+            for step in outside:
+                count += step
+                if count <= 0:
+                    return at
+            continue
+        if at >= start + 5:
+            break
+        count += lines[at - 1].count("{") - lines[at - 1].count("}")
+        opened = "{" in lines[at - 1]
+        if opened and count == 0:
+            return at
+    return len(lines) if opened else start + 1
+
+
+def test_scopes_against_plain_ones():
+    rng = random.Random(9)
+    for _ in range(300):
+        lines = [rng.choice(["", " ", "  ", "    ", "\t"]) + rng.choice(["", "x", "# y", "def f():", "z"]) for _ in range(rng.randint(1, 150))]
+        found = scopes.IndentScopes(lines)
+        for start in range(1, len(lines) + 1):
+            indent = rng.choice([0, 0, 1, 4])
+            assert found.end(start, indent) == plain_indent_end(lines, start, indent), (lines, start)
+        pieces = ["{", "}", "a", "'{'", '"}"', "`", "\\'", "{}", " ", "{ x", "f(a) {"]
+        lines = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 150))]
+        found = scopes.BraceScopes(lines)
+        for start in range(1, len(lines) + 1):
+            assert found.end(start) == plain_brace_end(lines, start), (lines, start)
+
+
+def test_scopes_of_a_large_file_are_quick():
+    python = [line for k in range(2000) for line in (f"def f{k}():", *["    x = 1  " + "y" * 30] * 14)]
+    script = [line for k in range(2000) for line in (f"function f{k}() {{", *["  x = '}';  " + "y" * 30] * 13, "}")]
+    for kind, lines in ((scopes.IndentScopes, python), (scopes.BraceScopes, script)):
+        assert len("\n".join(lines)) > 1 << 20
+        began = time.process_time()
+        found = kind(lines)
+        assert [found.end(k * 15 + 1) for k in range(2000)] == [k * 15 + 15 for k in range(2000)]
+        assert time.process_time() - began < 3
