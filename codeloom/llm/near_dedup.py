@@ -28,7 +28,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from codeloom.llm.shingles import mixed, shingle_set
 from codeloom.llm.tables import stored, temporary
@@ -152,43 +151,64 @@ def _digest(values: np.ndarray) -> str | None:
     return xxhash.xxh3_128_hexdigest(values.tobytes()) if len(values) else None
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests and whole sets of texts."""
-    for batch in batches:
-        sets = [shingle_set(t.as_py()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(map(_digest, sets), pa.string()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["whole", "s"]
-        )
-
-
-@F.pandas_udf(StringType())
-def _whole(texts: pd.Series) -> pd.Series:
-    return pd.Series([_digest(shingle_set(t)) for t in texts], dtype=object)
-
-
 def _mark(column: str) -> Column:
     return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(MARKS))
 
 
-def _marked(ids: DataFrame) -> Callable[[str], Column]:
-    """A condition that holds for every id of ``ids`` and for few others.
+def _held(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 6] >> (places & 63)) & 1 == 1
+
+
+class _Marks:
+    """A filter that holds every id it was made of and few others.
 
     ``MARKS`` bits, whatever the number of ids, go to the driver and to the tasks;
-    who uses the condition joins by the id afterwards.
+    who uses it joins by the id or by the digest afterwards. Digests are made in
+    the same Python worker that tests the bits, so a task needs one.
     """
-    place = _mark(ids.columns[0])
-    words = ids.select(place.alias("at")).groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits"))
-    found = words.toArrow()
-    bits = np.zeros(MARKS >> 6, np.int64)
-    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
-    shared = ids.sparkSession.sparkContext.broadcast(bits)
 
-    @F.pandas_udf("boolean")
-    def marked(at: pd.Series) -> pd.Series:
-        places = at.to_numpy()
-        return pd.Series((shared.value[places >> 6] >> (places & 63)) & 1 == 1)
+    def __init__(self, ids: DataFrame):
+        place = _mark(ids.columns[0])
+        words = ids.select(place.alias("at")).groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("bits"))
+        found = words.toArrow()
+        bits = np.zeros(MARKS >> 6, np.int64)
+        bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+        self.shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    def hold(self, column: str) -> Column:
+        """True for the ids that may be among those of the filter."""
+        shared = self.shared
+
+        @F.pandas_udf("boolean")
+        def held(at: pd.Series) -> pd.Series:
+            return pd.Series(_held(shared.value, at.to_numpy()))
+
+        return held(_mark(column))
+
+    def digest(self, column: str, text: str) -> Column:
+        """Digest of the text's set where the id may be in the filter, empty without words; else null."""
+        shared = self.shared
+
+        @F.pandas_udf("string")
+        def told(at: pd.Series, texts: pd.Series) -> pd.Series:
+            held = _held(shared.value, at.to_numpy())
+            return pd.Series([(_digest(shingle_set(t)) or "") if h else None for h, t in zip(held, texts, strict=True)], dtype=object)
+
+        return told(_mark(column), F.col(text))
+
+    def sets(self, docs: DataFrame) -> DataFrame:
+        """(whole, s): digests and whole sets of the documents whose id may be in the filter."""
+        shared = self.shared
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                wanted = np.flatnonzero(_held(shared.value, batch.column("at").to_numpy()))
+                sets = [shingle_set(batch.column("text")[int(k)].as_py()) for k in wanted]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(map(_digest, sets), pa.string()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["whole", "s"]
+                )
 
-    return lambda column: marked(_mark(column))
+        return docs.select(_mark("doc_id").alias("at"), "text").mapInArrow(work, "whole string, s binary")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -243,8 +263,7 @@ def _whole_sets(docs: DataFrame, vertices: DataFrame, ids: DataFrame) -> DataFra
     leaves the scan; the digest of the set tells which are wanted.
     """
     wanted = stored(ids.join(vertices.select("id", "whole", "doc_id"), "id"), "wanted")
-    marked = _marked(wanted.select("doc_id"))
-    sets = docs.filter(marked("doc_id")).select("text").mapInArrow(_sets, "whole string, s binary")
+    sets = _Marks(wanted.select("doc_id")).sets(docs)
     return stored(sets.join(wanted.select("id", "whole"), "whole").select("id", "s"), "sets")
 
 
@@ -421,10 +440,10 @@ def drop_near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
         gone = judged.filter(~kept).select("doc_id", "whole", F.lit(False).alias("repeated")).distinct()
         repeated = judged.filter(kept).groupBy("doc_id", "whole").count().filter("count > 1").select("doc_id", "whole", F.lit(True).alias("repeated"))
         special = stored(gone.union(repeated), "special", result=True)
-    marked = _marked(special.select("doc_id"))
+    marks = _Marks(special.select("doc_id"))
     wrapped = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct("*").alias("doc"))
-    plain = wrapped.filter(~marked("_id")).select("doc.*")
-    judged = wrapped.filter(marked("_id")).withColumn("_whole", _whole("doc.text"))
+    plain = wrapped.filter(~marks.hold("_id")).select("doc.*")
+    judged = wrapped.withColumn("_whole", marks.digest("_id", "doc.text")).filter("_whole IS NOT NULL")
     match = lambda found: (judged["_id"] == found["doc_id"]) & (judged["_whole"] == found["whole"])
     once = judged.join(special, match(special), "left_anti").select("doc.*")
     twice = special.filter("repeated")

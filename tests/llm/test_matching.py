@@ -168,9 +168,9 @@ def test_intermediate_tables_go(spark, tmp_path, monkeypatch):
 
 def test_marks_hold_for_all_ids(spark):
     ids = spark.createDataFrame([(k * 7,) for k in range(500)] + [(None,), (-5,)], "doc_id long")
-    marked = near_dedup._marked(ids)
-    assert ids.filter(marked("doc_id")).count() == 502
-    assert spark.range(10_000, 30_000).filter(marked("id")).count() < 20
+    marks = near_dedup._Marks(ids)
+    assert ids.filter(marks.hold("doc_id")).count() == 502
+    assert spark.range(10_000, 30_000).filter(marks.hold("id")).count() < 20
 
 
 def test_shingles():
