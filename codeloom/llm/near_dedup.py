@@ -54,6 +54,8 @@ BLOCK_HASHES = 500_000
 COLUMNS = 1 << 14
 #: Bits of the filter that tells most unwanted texts without a shuffle. Past some millions of ids it lets more through.
 MARKS = 1 << 25
+#: Whole sets that a task holds at once before they leave it.
+TOGETHER = 256
 
 
 @lru_cache(1 << 12)
@@ -203,10 +205,12 @@ class _Marks:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 wanted = np.flatnonzero(_held(shared.value, batch.column("at").to_numpy()))
-                sets = [shingle_set(batch.column("text")[int(k)].as_py()) for k in wanted]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(map(_digest, sets), pa.string()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["whole", "s"]
-                )
+                # A few at a time, since sets are larger than texts.
+                for low in range(0, len(wanted), TOGETHER):
+                    sets = [shingle_set(batch.column("text")[int(k)].as_py()) for k in wanted[low : low + TOGETHER]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(map(_digest, sets), pa.string()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["whole", "s"]
+                    )
 
         return docs.select(_mark("doc_id").alias("at"), "text").mapInArrow(work, "whole string, s binary")
 
