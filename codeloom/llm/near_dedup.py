@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.shingles import mixed, shingle_set
-from codeloom.llm.tables import stored, temporary
+from codeloom.llm.tables import small_batches, stored, temporary
 
 #: 100 * intersection must reach this many times the union, unless another threshold is given (80 at least).
 SIMILAR = 85
@@ -376,6 +376,7 @@ def _at(work: Callable, similar: int) -> Callable:
 
 def _classes(docs: DataFrame, similar: int) -> DataFrame:
     """(doc_id, n, whole, component) of every row: its set's size and digest, and the smallest id of its component."""
+    small_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(read.mapInArrow(_at(_sketched, similar), "doc_id long, n long, whole string, sketch binary, keys array<long>"), "sketched")
     vertices = stored(

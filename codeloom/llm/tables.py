@@ -14,6 +14,9 @@ from codeloom.session import shared_dir
 #: A word is a run of anything but ASCII white space. Fixed value, from the contract.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,6 +62,18 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             discard(spark, path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold ``BATCH_BYTES`` of rows at most.
+
+    The setting of the session bounds what a task and its Python worker hold of
+    whole texts at once, however long they are; a smaller one of the user stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if given < 1 or given > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as the empty text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

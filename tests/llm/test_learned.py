@@ -1,9 +1,11 @@
 """Language, toxicity and HTML models: held-out accuracy, and single parts against plain versions."""
 
+import math
 import time
 import zlib
+from collections import Counter
+from functools import cache
 
-import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -25,13 +27,54 @@ def test_languages_held_out(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
-def test_code_lengths_are_those_of_a_code():
-    """In every context the chances sum to one, and a plain escape computation gives the same bits."""
-    model = language_id.fit({"a": ["abracadabra " * 30, "banana"], "b": ["xyzzy plugh " * 30]})
-    bits = model.bits.reshape(-1, language_id.SYMBOLS, 2).astype(float)
-    rare = 256 - (model.symbol > 0).sum()
-    bits[:, 0, :] -= np.log2(rare)
-    assert np.allclose((2.0**-bits).sum(axis=1), 1, atol=1e-3)
+def plain_bits(samples: list[bytes], known: set[bytes], data: bytes) -> float:
+    """Bits of a code with escapes (method C, with exclusion), worked out byte by byte from plain counts."""
+    counts: dict[bytes, dict[int, int]] = {}
+    for text in samples:
+        for i, byte in enumerate(text):
+            for order in range(min(i, 3) + 1):
+                seen = counts.setdefault(text[i - order : i], {})
+                seen[byte] = seen.get(byte, 0) + 1
+
+    @cache
+    def chance(context: bytes | None, byte: int) -> float:
+        if context is None:
+            return 1 / 256
+        shorter = context[1:] if context else None
+        seen = counts.get(context)
+        if not seen:
+            return chance(shorter, byte)
+        left = sum(chance(shorter, x) for x in range(256) if x not in seen)
+        total = sum(seen.values()) + (len(seen) if left > 0 else 0)
+        return seen[byte] / total if byte in seen else chance(shorter, byte) * len(seen) / total / left
+
+    bits = 0.0
+    for i, byte in enumerate(data):
+        context = next(c for c in (data[i - k : i] for k in range(min(i, 3), -1, -1)) if c in known)
+        bits -= math.log2(chance(context, byte))
+    return bits
+
+
+def test_code_lengths_equal_plain_escape_computation():
+    """Every byte is a symbol of its own, scripts and all; a rare language has its own contexts beside a common one."""
+    samples = {"a": ["abracadabra " * 12, "banana"], "b": ["xyzzy " * 3], "c": ["слово и дело " * 4, "日本"]}
+    model = language_id.fit(samples)
+    raw = {lang: [t.encode() for t in texts] for lang, texts in samples.items()}
+    known = {b""}
+    for texts in raw.values():
+        seen = Counter(t[i - k : i] for t in texts for k in (1, 2, 3) for i in range(k, len(t)))
+        known |= {c for c, n in seen.items() if n >= language_id.LEAST_SEEN}
+    for text in ("abra banana", "xyzzy xy", "дело 日", "\x00qé"):
+        expected = [plain_bits(raw[lang], known, text.encode()) for lang in sorted(raw)]
+        assert model.lengths(text) == pytest.approx(expected, rel=1e-4)
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark, monkeypatch):
+    fitted = {}
+    monkeypatch.setattr(language_id, "fit", lambda samples: fitted.update(samples))
+    docs = spark.range(500).selectExpr("cast(0 as long) doc_id", "concat('text ', id) text", "if(id < 300, 'a', concat('l', id)) lang")
+    language_id.learn(docs.unionAll(docs.limit(0)), texts=20)
+    assert {lang: len(texts) for lang, texts in fitted.items()} == {lang: 20 if lang == "a" else 1 for lang in fitted} and "a" in fitted
 
 
 def test_odd_texts_have_languages(spark):
