@@ -34,7 +34,7 @@ LITERALS = 4
 #: Items are broadcast in blocks of about so many characters; each block is one pass over the documents.
 BLOCK_CHARS = 16_000_000
 #: Word forms a worker keeps at hand.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 
 UNITS = frozenset("""
 mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres

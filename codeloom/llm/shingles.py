@@ -8,7 +8,7 @@ import xxhash
 #: Words in a shingle.
 WIDTH = 5
 #: Word hashes a worker keeps at hand; further words are hashed when they come.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 30_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
