@@ -297,56 +297,78 @@ def extract_imports(prepared: DataFrame) -> DataFrame:
     )
 
 
-def _first_named(nodes: Column, name: Column, *kinds: str) -> Column:
-    return F.get(F.filter(nodes, lambda n: n["type"].isin(*kinds) & (n["name"] == name)), F.lit(0))["id"]
+def _sorted_names(rank: Column, last: bool) -> Column:
+    """(name, rank, place, id) of the nodes whose rank is not null, so sorted that the one a name means comes first."""
+    place = lambda i: -i if last else i
+    ranked = F.transform("nodes", lambda n, i: F.struct(n["name"].alias("name"), rank(n).alias("rank"), place(i).alias("place"), n["id"].alias("id")))
+    return F.sort_array(F.filter(ranked, lambda x: x["rank"].isNotNull() & x["name"].isNotNull()))
+
+
+def _name_map(names: str) -> Column:
+    """Name to id from a column made by :func:`_sorted_names`, which must be a column so that it is built once a file."""
+    first = F.filter(names, lambda x, i: (i == 0) | (F.get(F.col(names), i - 1)["name"] != x["name"]))
+    return F.map_from_entries(F.transform(first, lambda x: F.struct(x["name"], x["id"])))
 
 
 def extract_inheritance(prepared: DataFrame) -> DataFrame:
-    """INHERITS and IMPLEMENTS edges; parents resolve to classes of the same file."""
-    rows = _head_rows(prepared, "class")
-    group = lambda i: F.coalesce(F.get(F.col("h.groups"), F.lit(i)), F.lit(""))
-    python = F.col("h.pattern") == "class:python"
-
-    def parents(clause: Column, edge: str, drop: str) -> Column:
-        parts = F.filter(F.transform(F.split(clause, ","), _trim), lambda p: p != "")
-        return F.transform(parts, lambda p: F.struct(_trim(F.regexp_replace(p, drop, "")).alias("parent"), F.lit(edge).alias("edge")))
-
-    bases = F.filter(parents(group(1), "INHERITS", r"\[.*\]"), lambda p: ~p["parent"].isin(*MARKER_BASES))
-    extends = F.filter(F.array(F.struct(_trim(F.regexp_replace(group(1), "<.*>", "")).alias("parent"), F.lit("INHERITS").alias("edge"))),
-                       lambda p: p["parent"] != "")
-    items = F.when(python, bases).otherwise(F.concat(extends, parents(group(2), "IMPLEMENTS", "<.*>")))
-    owner = _first_named(F.col("nodes"), group(0), "Class")
-    each = each_item(rows, ["project_id", "path", "nodes", owner.alias("from_id"), group(0).alias("from_name")], items, "p").filter(
-        "from_id IS NOT NULL")
-    target = F.when(F.col("p.edge") == "IMPLEMENTS", _first_named(F.col("nodes"), F.col("p.parent"), "Class", "Interface")).otherwise(
-        _first_named(F.col("nodes"), F.col("p.parent"), "Class"))
-    return each.select("project_id", "path", "from_id", "from_name", F.col("p.edge").alias("type"), F.col("p.parent").alias("parent_name"),
-                       target.alias("_target")).select(
-        "project_id", "path", "from_id", F.coalesce("_target", "parent_name").alias("to_id"), "type", "from_name", "parent_name",
-        F.col("_target").isNotNull().alias("is_resolved"), F.when(F.col("_target").isNotNull(), 0.95).otherwise(0.7).alias("confidence"))
+    """INHERITS and IMPLEMENTS edges; parents resolve to classes of the same file.
+
+    Names are resolved inside the file's row; what is exploded holds the edge alone.
+    """
+    classes = _sorted_names(lambda n: F.when(n["type"] == "Class", 0), last=False)
+    either = _sorted_names(lambda n: F.when(n["type"].isin("Class", "Interface"), 0), last=False)
+    files = prepared.select("project_id", "path", "heads", classes.alias("_sorted"), either.alias("_either_sorted"))
+    files = files.select("project_id", "path", "heads", _name_map("_sorted").alias("_classes"), _name_map("_either_sorted").alias("_either"))
+
+    def edges(h: Column) -> Column:
+        group = lambda i: F.coalesce(F.get(h["groups"], F.lit(i)), F.lit(""))
+        edge = lambda name, kind: F.struct(
+            F.try_element_at("_classes", group(0)).alias("from_id"), group(0).alias("from_name"), name.alias("parent"), F.lit(kind).alias("edge"),
+            F.try_element_at("_either" if kind == "IMPLEMENTS" else "_classes", name).alias("target"))
+
+        def parents(clause: Column, kind: str, drop: str) -> Column:
+            parts = F.filter(F.transform(F.split(clause, ","), _trim), lambda p: p != "")
+            return F.transform(F.transform(parts, lambda p: _trim(F.regexp_replace(p, drop, ""))), lambda p: edge(p, kind))
+
+        bases = F.filter(parents(group(1), "INHERITS", r"\[.*\]"), lambda p: ~p["parent"].isin(*MARKER_BASES))
+        extends = F.filter(F.array(edge(_trim(F.regexp_replace(group(1), "<.*>", "")), "INHERITS")), lambda p: p["parent"] != "")
+        return F.when(h["pattern"] == "class:python", bases).otherwise(F.concat(extends, parents(group(2), "IMPLEMENTS", "<.*>")))
+
+    heads = F.filter("heads", lambda h: h["pattern"].startswith("class:"))
+    each = each_item(files, ["project_id", "path"], F.flatten(F.transform(heads, edges)), "e").filter("e.from_id IS NOT NULL")
+    target = F.col("e.target")
+    return each.select(
+        "project_id", "path", "e.from_id", F.coalesce(target, "e.parent").alias("to_id"), F.col("e.edge").alias("type"), "e.from_name",
+        F.col("e.parent").alias("parent_name"), target.isNotNull().alias("is_resolved"), F.when(target.isNotNull(), 0.95).otherwise(0.7).alias("confidence"))
 
 
 def extract_calls(prepared: DataFrame) -> DataFrame:
-    """CALLS edges from every callable and class to the names called in its lines."""
-    scopes = F.filter(unique_nodes(F.col("nodes")), lambda n: n["type"].isin("Class", *CALLABLE))
-    each = each_item(prepared, ["project_id", "path", "language", "lines", "nodes"], scopes, "n")
-    text = F.array_join(F.slice("lines", F.col("n.line_start"), F.greatest(F.col("n.line_end") - F.col("n.line_start") + 1, F.lit(0))), "\n")
-
-    def found(family: str) -> Column:
-        return F.concat(*[F.regexp_extract_all("_text", F.lit(rule), F.lit(group)) for rule, group in CALLS[family]])
-
-    names = F.array_distinct(F.when(F.col("language") == "python", found("python")).otherwise(found("other")))
-    kept = F.filter(names, lambda x: ~x.isin(*NOT_CALLS) & (x != F.col("n.name")) & (F.length(x) > 1))
-    rows = each_item(each.withColumn("_text", text), [
-        "project_id", "path", "nodes", F.col("n.id").alias("from_id"), F.col("n.name").alias("from_name"), F.col("n.type").alias("_kind")],
-        kept, "target_name")
-    # Classes shadow callables of the same name; the last definition wins.
-    last = lambda *kinds: F.try_element_at(F.filter("nodes", lambda n: n["type"].isin(*kinds) & (n["name"] == F.col("target_name"))), F.lit(-1))["id"]
-    target = F.coalesce(last("Class"), last(*CALLABLE))
-    known, in_class = F.col("_target").isNotNull(), F.col("_kind") == "Class"
-    return rows.withColumn("_target", target).select(
-        "project_id", "path", "from_id", F.coalesce("_target", "target_name").alias("to_id"), F.lit("CALLS").alias("type"), "from_name",
-        "target_name", known.alias("is_resolved"), in_class.alias("from_class_scope"),
+    """CALLS edges from every callable and class to the names called in its lines.
+
+    Classes shadow callables of the same name; the last definition wins. Names are
+    resolved inside the file's row; what is exploded holds the edge alone.
+    """
+    rank = lambda n: F.when(n["type"] == "Class", 0).when(n["type"].isin(*CALLABLE), 1)
+    files = prepared.select("project_id", "path", "language", "lines", "nodes", _sorted_names(rank, last=True).alias("_sorted"))
+    files = files.select("project_id", "path", "language", "lines", _name_map("_sorted").alias("_ids"),
+                         F.filter(unique_nodes(F.col("nodes")), lambda n: n["type"].isin("Class", *CALLABLE)).alias("_scopes"))
+
+    def found(text: Column, family: str) -> Column:
+        return F.concat(*[F.regexp_extract_all(text, F.lit(rule), F.lit(group)) for rule, group in CALLS[family]])
+
+    def edges(n: Column) -> Column:
+        text = F.array_join(F.slice("lines", n["line_start"], F.greatest(n["line_end"] - n["line_start"] + 1, F.lit(0))), "\n")
+        # An array of one text, so that the text is put together once for all rules.
+        names = F.flatten(F.transform(F.array(text), lambda t: F.when(F.col("language") == "python", found(t, "python")).otherwise(found(t, "other"))))
+        kept = F.filter(F.array_distinct(names), lambda x: ~x.isin(*NOT_CALLS) & (x != n["name"]) & (F.length(x) > 1))
+        return F.transform(kept, lambda x: F.struct(
+            n["id"].alias("from_id"), n["name"].alias("from_name"), n["type"].alias("kind"), x.alias("target_name"), F.try_element_at("_ids", x).alias("target")))
+
+    rows = each_item(files, ["project_id", "path"], F.flatten(F.transform("_scopes", edges)), "e")
+    known, in_class = F.col("e.target").isNotNull(), F.col("e.kind") == "Class"
+    return rows.select(
+        "project_id", "path", "e.from_id", F.coalesce("e.target", "e.target_name").alias("to_id"), F.lit("CALLS").alias("type"), "e.from_name",
+        "e.target_name", known.alias("is_resolved"), in_class.alias("from_class_scope"),
         F.when(known & ~in_class, 0.9).when(known, 0.8).when(~in_class, 0.6).otherwise(0.5).alias("confidence"))
 
 

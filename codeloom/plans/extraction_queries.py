@@ -162,12 +162,10 @@ def _(spark, d):
     return extraction.extract_inheritance(prepared(spark, d)).select("path", "from_name", "type", "parent_name", "is_resolved")
 
 
-@query("extract_calls", f"""WITH {_DEFS}, sp AS (SELECT df.path,df.name,df.i,CAST(greatest(COALESCE(max(bd.j) FILTER (bd.deep AND NOT bd.skip AND (en.stop IS NULL OR bd.j<en.stop)),df.i),df.i+1) AS INT) AS e FROM df LEFT JOIN en ON en.path=df.path AND en.i=df.i LEFT JOIN bd ON bd.path=df.path AND bd.i=df.i WHERE NOT contains(df.path,'/api/') GROUP BY 1,2,3),
-cl AS (SELECT DISTINCT sp.path,sp.name AS from_name,unnest(regexp_extract_all(ln.l,'([a-zA-Z_][a-zA-Z0-9_]*)\\s*\\(',1)) AS target_name FROM sp JOIN ln ON ln.path=sp.path AND ln.i BETWEEN sp.i AND sp.e)
-SELECT path,from_name,target_name,EXISTS (SELECT 1 FROM df WHERE df.path=cl.path AND df.name=cl.target_name) AS is_resolved FROM cl WHERE target_name<>from_name AND length(target_name)>1""", S)
+# Calls of every file; the scopes of several languages and schemas are beyond SQL, a plain version in tests/test_extraction.py is not.
+@query("extract_calls")
 def _(spark, d):
-    return extraction.extract_calls(prepared(spark, d).filter("language='python' AND NOT contains(path,'/api/')")).select(
-        "path", "from_name", "target_name", "is_resolved")
+    return extraction.extract_calls(prepared(spark, d)).select("path", "from_name", "target_name", "is_resolved", "from_class_scope", "confidence")
 
 
 @query("template_edges", f"WITH {_LN} SELECT a.path,'HANDLED_BY' AS type,regexp_extract(b.l,'def (\\w+)',1) AS node_name FROM ln a JOIN ln b ON b.path=a.path AND b.i=a.i+1 WHERE contains(a.path,'/api/') AND starts_with(a.l,'@router.')", S)

@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import pytest
@@ -60,6 +61,7 @@ public class OrderController extends Base implements X {
 GO = 'package main\n\nimport "fmt"\n\ntype Srv struct {\n  n int\n}\n\nfunc (s *Srv) Run(a int) error {\n}\n\nfunc main() {\n  fmt.Println(1)\n}\n'
 RUST = 'use std::io;\n\npub struct P {\n}\n\nimpl Tr for P {\n}\n\npub fn go(x: i32) -> i32 {\n  x\n}\n'
 CSHARP = 'using System.Linq;\nnamespace N\n{\n    [HttpGet("/z")]\n    public class K : B\n    {\n        public int Do(int a) { return a; }\n    }\n}\n'
+FASTAPI = 'from fastapi import APIRouter\n\nrouter = APIRouter()\n\n@router.get("/u")\nasync def users(db):\n    return await load(db)\n\ndef load(db):\n    return db.all()\n'
 NEST = "import { Controller } from '@nestjs/common';\n@Controller('cats')\nexport class CatsController {\n  @Get(':id')\n  find(id: string): string {\n    return id;\n  }\n}\n"
 
 
@@ -110,6 +112,45 @@ def test_imports_inheritance_and_calls(corpus):
     assert ("run", "calc", True, 0.9) in calls and ("Svc", "calc", True, 0.8) in calls
 
 
+def plain_calls(row):
+    """Calls of a prepared file, line by line, from its nodes."""
+    ids = {}
+    for kinds in (extraction.CALLABLE, ("Class",)):
+        ids |= {n.name: n.id for n in row.nodes if n.type in kinds}
+    found, seen = set(), set()
+    for n in row.nodes:
+        if n.id in seen:
+            continue
+        seen.add(n.id)
+        if n.type in ("Class", *extraction.CALLABLE):
+            text = "\n".join(row.lines[n.line_start - 1 : n.line_end])
+            for rule, group in extraction.CALLS["python" if row.language == "python" else "other"]:
+                names = {m.group(group) for m in re.finditer(rule, text)} - {n.name, *extraction.NOT_CALLS}
+                found |= {(row.path, n.id, ids.get(x, x), x, x in ids, n.type == "Class") for x in names if len(x) > 1}
+    return found
+
+
+def test_calls_equal_a_plain_version_in_every_language(spark, corpus):
+    twice = "class Run:\n    def go(self):\n        return Run(go(helper()))\n\ndef helper():\n    pass\n\ndef helper():\n    go()\n\ndef Run():\n    helper()\n"
+    rows = spark.createDataFrame([("p", k, v) for k, v in {"twice.py": twice, "api/r.py": FASTAPI, "empty.py": "", "none.go": "package main\n"}.items()],
+                                 "project_id string, path string, content string")
+    more = extraction.with_nodes(extraction.find_matches(languages.match_schemas(languages.detect_language(rows))))
+    files = corpus.unionByName(more).cache()
+    expected = set().union(*map(plain_calls, files.collect()))
+    got = extraction.extract_calls(files).collect()
+    assert {(r.path, r.from_id, r.to_id, r.target_name, r.is_resolved, r.from_class_scope) for r in got} == expected
+    assert len(got) == len(expected) and {"a.py", "b.ts", "twice.py", "api/r.py", "d.go"} <= {r.path for r in got}
+
+
+def test_first_class_of_a_name_is_the_parent(spark):
+    text = "class A:\n    pass\n\nclass A(Base):\n    pass\n\nclass B(A, Enum):\n    pass\n"
+    rows = spark.createDataFrame([("p", "x.py", text)], "project_id string, path string, content string")
+    files = extraction.with_nodes(extraction.find_matches(languages.match_schemas(languages.detect_language(rows))))
+    first = {n.name: n.id for n in reversed(files.first().nodes) if n.type == "Class"}
+    got = {(r.from_id, r.to_id, r.parent_name, r.is_resolved) for r in extraction.extract_inheritance(files).collect()}
+    assert got == {(first["A"], "Base", "Base", False), (first["B"], first["A"], "A", True)}
+
+
 def test_handler_edge_needs_current_class(corpus):
     edges = extraction.template_edges(corpus).filter("path = 'cats.controller.ts'").collect()
     assert [(e.type, e.node_name) for e in edges] == [("HANDLED_BY", "find")]
