@@ -62,20 +62,29 @@ def closure(steps: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 def class_hierarchy(nodes: DataFrame, edges: DataFrame, class_name: str | None = None,
                     direction: str = "both", depth: int = 5) -> DataFrame:
-    """Ancestors (``up``) and descendants (``down``) within ``depth`` steps."""
+    """Ancestors (``up``) and descendants (``down``) within ``depth`` steps.
+
+    Without a name one closure, over every child that has a parent, serves both
+    ways: what is above one end is below the other. With a name each way starts
+    from that class alone.
+    """
     inherit = edges.filter(F.col("type").isin("INHERITS", "IMPLEMENTS")).select(
         F.col("from_id").alias("src"), F.col("to_id").alias("dst")
     )
     classes = nodes.filter(F.col("type") == "Class")
-    if class_name is not None:
-        classes = classes.filter(F.col("name") == class_name)
-    found = []
-    if direction in ("up", "both"):
-        found.append(closure(inherit, classes, depth).withColumn("direction", F.lit("up")))
-    if direction in ("down", "both"):
-        turned = inherit.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        found.append(closure(turned, classes, depth).withColumn("direction", F.lit("down")))
-    pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    ways = ("up", "down") if direction == "both" else (direction,)
+    turn = lambda df, a, b: df.select(F.col(b).alias(a), F.col(a).alias(b), *[c for c in df.columns if c not in (a, b)])
+    if class_name is None:
+        ids = classes.select("id").distinct()
+        up = closure(inherit, inherit.select(F.col("src").alias("id")), depth)
+        up = cut_lineage(up) if len(ways) > 1 else up
+        started = lambda df: df.join(ids.withColumnRenamed("id", "start_id"), "start_id", "left_semi")
+        found = {"up": started(up), "down": started(turn(up, "start_id", "id"))}
+    else:
+        named = classes.filter(F.col("name") == class_name)
+        found = {way: closure(inherit if way == "up" else turn(inherit, "src", "dst"), named, depth) for way in ways}
+    tables = [found[way].withColumn("direction", F.lit(way)) for way in ways]
+    pairs = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
     return pairs.join(nodes.select("id", F.col("name").alias("related_name")), "id").select(
         F.col("start_id").alias("class_id"), F.col("id").alias("related_id"), "related_name", "direction", "distance"
     )

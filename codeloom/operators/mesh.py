@@ -16,10 +16,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.scaling import first_per_key, overlap_join, top_k
+from codeloom.session import cut_lineage
 
 ENDPOINT_TYPES = ("ApiEndpoint", "Endpoint")
 CALLABLE_TYPES = ("Function", "Method")
 
+#: Bits of one of Spark's bitmaps; a fixed value.
+BITS = 1 << 15
+#: Names in more files than this are bitmaps of files, others rows: a row of 16 bytes against a bitmap of 4 KB.
+FEW_FILES = 256
+
 # Edge types that carry a link between projects.
 LINK_EDGE_TYPES = {
     "queue": ("CONNECTS_VIA_QUEUE", "PUBLISHES_TO", "SUBSCRIBES_TO"),
@@ -372,29 +378,74 @@ def suggest_reviewers(nodes: DataFrame, edges: DataFrame, changed_files: DataFra
     return best.withColumn("priority", F.when(F.col("refs") > 3, "high").otherwise("medium"))
 
 
+def _numbered(files: DataFrame) -> DataFrame:
+    """``files`` (file, distinct) with a number each that is dense enough for bitmaps.
+
+    Files are dealt over as many groups as fill a bitmap to the half and numbered
+    inside their group, so no task numbers them all. A group that grows beyond a
+    bitmap goes on in the next one.
+    """
+    groups = files.agg(F.greatest(F.ceil(F.count("*") / (BITS // 2)), F.lit(1))).scalar()
+    dealt = files.withColumn("group", F.pmod(F.xxhash64("file"), groups))
+    row = F.row_number().over(Window.partitionBy("group").orderBy("file"))
+    number = F.shiftleft(F.col("group").cast("long"), 40) + row
+    return dealt.select("file", F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("place"))
+
+
+def files_reached(wanted: DataFrame, held: DataFrame, few: int = FEW_FILES) -> DataFrame:
+    """Distinct files that hold any of the names a file wants.
+
+    ``wanted``: file, name; ``held``: name, file; both distinct. Returns file and
+    reached, for files that reach any; the file itself counts where it holds one
+    of its names, a held file of null does not. A name in more than ``few`` files
+    is a set of bitmaps, united per wanting file, so a name that all files want
+    and hold makes a row for some ten thousand pairs. Other names stay rows; those
+    whose bit is set already are not counted again. Counts are exact either way.
+    """
+    held = held.filter("file IS NOT NULL")
+    sizes = held.groupBy("name").agg(F.count("*").alias("files"))
+    numbers = cut_lineage(_numbered(held.select("file").distinct()))
+    held = cut_lineage(held.join(sizes, "name").join(numbers, "file").select("name", "bucket", "place", (F.col("files") > few).alias("many")))
+    sets = held.filter("many").groupBy("name", "bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+    united = cut_lineage(wanted.join(sets, "name").groupBy("file", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
+    single = wanted.join(held.filter("NOT many"), "name").select("file", "bucket", "place").distinct()
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(place div 8 + 1 AS int), 1)")), 16, 10).cast("int")
+    in_set = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(place % 8 AS int))")) != 0, F.lit(False))
+    counted = united.select("file", F.bitmap_count("bits").alias("n")).unionByName(
+        single.join(united, ["file", "bucket"], "left").filter(~in_set).groupBy("file").agg(F.count("*").alias("n")))
+    return counted.groupBy("file").agg(F.sum("n").alias("reached"))
+
+
 def impact_analysis(nodes: DataFrame, edges: DataFrame, changed_files: DataFrame) -> DataFrame:
     """Effect of each changed file taken as a change set of its own.
 
     Callers and callees are found by function name and all of them count. Calls
-    are counted per name first; only the calling files, which must be told apart,
-    meet the changed files one by one.
+    are counted per name, distinct calling files by :func:`files_reached`, so no
+    changed file meets the calling files of a common name one by one. What is
+    used more than once is written down.
     """
-    changed = nodes.join(changed_files.select("file").distinct(), "file", "left_semi")
-    functions = changed.filter(F.col("type").isin(*CALLABLE_TYPES)).groupBy("file", "name").agg(F.count("*").alias("same"))
+    changed = cut_lineage(nodes.join(changed_files.select("file").distinct(), "file", "left_semi").select("id", "file", "name", "type"))
+    functions = cut_lineage(changed.filter(F.col("type").isin(*CALLABLE_TYPES)).groupBy("file", "name").agg(F.count("*").alias("same")))
     caller = nodes.select(F.col("id").alias("from_id"), F.col("name").alias("from_name"), F.col("file").alias("from_file"))
     callee = nodes.select(F.col("id").alias("to_id"), F.col("name").alias("to_name"))
-    calls = (
+    calls = cut_lineage(
         edges.filter(F.col("type") == "CALLS").select("from_id", "to_id")
         .join(caller, "from_id").join(callee, "to_id")
         .groupBy("from_name", "to_name", "from_file").agg(F.count("*").alias("n"))
     )
-    calling = calls.groupBy(F.col("to_name").alias("name"), "from_file").agg(F.sum("n").alias("n"))
-    called = calls.groupBy(F.col("from_name").alias("name")).agg(F.sum("n").alias("d"))
+    per_name = (
+        calls.select(F.col("to_name").alias("name"), F.col("n").alias("up"), F.lit(0).alias("down"))
+        .unionByName(calls.select(F.col("from_name").alias("name"), F.lit(0).alias("up"), F.col("n").alias("down")))
+        .groupBy("name").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    )
+    counts = functions.join(per_name, "name").groupBy("file").agg(
+        F.sum(F.col("up") * F.col("same")).alias("callers"), F.sum(F.col("down") * F.col("same")).alias("callees"))
+    called_in = calls.select(F.col("to_name").alias("name"), F.col("from_file").alias("file")).distinct()
+    own = functions.join(called_in, ["name", "file"], "left_semi").select("file").distinct().withColumn("own", F.lit(1))
     affected = (
-        functions.join(calling, "name")
-        .groupBy("file", "from_file").agg(F.sum(F.col("n") * F.col("same")).alias("c"))
-        .groupBy("file").agg(F.count_if(F.col("from_file") != F.col("file")).alias("affected_files"), F.sum("c").alias("callers"))
-        .join(functions.join(called, "name").groupBy("file").agg(F.sum(F.col("d") * F.col("same")).alias("callees")), "file", "full_outer")
+        files_reached(functions.select("file", "name"), called_in).join(own, "file", "left")
+        .select("file", (F.col("reached") - F.coalesce("own", F.lit(0))).alias("affected_files"))
+        .join(counts, "file", "full_outer")
     )
     endpoints = changed.filter(F.col("type").isin(*ENDPOINT_TYPES)).groupBy("file").agg(F.count("*").alias("endpoints"))
     of_file = changed.select("id", "file")

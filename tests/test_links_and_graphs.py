@@ -96,3 +96,54 @@ def test_diff_is_empty_for_equal_branches(spark):
     assert mesh.mesh_diff(nodes, nodes, ["line_start"]).count() == 0
     moved = nodes.withColumn("line_start", F.col("line_start") + 1)
     assert {r.change for r in mesh.mesh_diff(nodes, moved, ["line_start"]).collect()} == {"changed"}
+
+
+def test_files_reached_by_bitmaps_and_rows_equal_sets(spark):
+    """Hot names as bitmaps, rare ones as rows, a name held by nobody, null files, one file wanting both kinds."""
+    rng = random.Random(5)
+    held = {(name, f"f{i}") for i in range(400) for name in ("get", "set") if rng.random() < 0.8}
+    held |= {(f"n{rng.randrange(60)}", f"f{rng.randrange(500)}") for _ in range(300)} | {("n1", None)}
+    wanted = {(f"f{rng.randrange(40)}", rng.choice(["get", "set", "nobody", *[f"n{k}" for k in range(60)]])) for _ in range(150)}
+    wanted |= {("only-rare", "n1"), ("only-none", "nobody"), ("only-hot", "get")}
+    want = {}
+    for file in {f for f, _ in wanted}:
+        names = {n for f, n in wanted if f == file}
+        reached = {f for n, f in held if n in names and f is not None}
+        if reached:
+            want[file] = len(reached)
+    asked = spark.createDataFrame(sorted(wanted), "file string, name string")
+    holds = spark.createDataFrame(sorted(held, key=str), "name string, file string")
+    for few in (0, 5, 1000):
+        assert {r.file: r.reached for r in mesh.files_reached(asked, holds, few).collect()} == want
+
+
+def test_files_reached_numbers_go_on_in_further_bitmaps(spark, monkeypatch):
+    monkeypatch.setattr(mesh, "BITS", 8)
+    asked = spark.createDataFrame([("a", "get"), ("b", "x")], "file string, name string")
+    holds = spark.range(300).select(F.lit("get").alias("name"), F.format_string("f%d", "id").alias("file")).union(
+        spark.createDataFrame([("x", "f7")], "name string, file string"))
+    assert {(r.file, r.reached) for r in mesh.files_reached(asked, holds, 10).collect()} == {("a", 300), ("b", 1)}
+    assert mesh.files_reached(asked, holds.limit(0)).count() == 0
+
+
+def test_class_hierarchy_both_ways_from_one_closure(spark):
+    nodes = spark.createDataFrame([(c, "Interface" if c == "i" else "Class", c.upper()) for c in "abcdi"], "id string, type string, name string")
+    edges = spark.createDataFrame([("a", "b", "INHERITS"), ("b", "c", "INHERITS"), ("c", "a", "INHERITS"), ("d", "i", "IMPLEMENTS"), ("i", "b", "INHERITS")], "from_id string, to_id string, type string")
+    steps = {}
+    for x, y, _ in edges.collect():
+        steps.setdefault(x, set()).add(y)
+    want = set()
+    for depth in (1, 5):
+        want = set()
+        for start in "abcdi":
+            seen, frontier = {start}, {start}
+            for distance in range(1, depth + 1):
+                frontier = {y for x in frontier for y in steps.get(x, ())} - seen
+                seen |= frontier
+                want |= {(start, y, "up", distance) for y in frontier if start != "i"} | {(y, start, "down", distance) for y in frontier if y != "i"}
+        rows = graph.class_hierarchy(nodes, edges, depth=depth).collect()
+        assert {(r.class_id, r.related_id, r.direction, r.distance) for r in rows} == want and len(rows) == len(want)
+    for way in ("up", "down"):
+        for name in (None, "B"):
+            rows = graph.class_hierarchy(nodes, edges, name, way).collect()
+            assert {(r.class_id, r.related_id, r.direction, r.distance) for r in rows} == {w for w in want if w[2] == way and (name is None or w[0] == "b")}
