@@ -73,18 +73,18 @@ def class_hierarchy(nodes: DataFrame, edges: DataFrame, class_name: str | None =
     )
     classes = nodes.filter(F.col("type") == "Class")
     ways = ("up", "down") if direction == "both" else (direction,)
-    turn = lambda df, a, b: df.select(F.col(b).alias(a), F.col(a).alias(b), *[c for c in df.columns if c not in (a, b)])
+    turned = inherit.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     if class_name is None:
-        ids = classes.select("id").distinct()
-        up = closure(inherit, inherit.select(F.col("src").alias("id")), depth)
-        up = cut_lineage(up) if len(ways) > 1 else up
-        started = lambda df: df.join(ids.withColumnRenamed("id", "start_id"), "start_id", "left_semi")
-        found = {"up": started(up), "down": started(turn(up, "start_id", "id"))}
+        children = nodes.select("id").join(inherit.select(F.col("src").alias("id")), "id", "left_semi")
+        above = closure(inherit, children, depth)
+        seen_from = {"up": ("start_id", "id"), "down": ("id", "start_id")}
+        rows = [F.struct(F.col(seen_from[way][0]).alias("start_id"), F.col(seen_from[way][1]).alias("id"), "distance", F.lit(way).alias("direction")) for way in ways]
+        pairs = above.select(F.explode(F.array(*rows)).alias("row")).select("row.*")
+        pairs = pairs.join(classes.select(F.col("id").alias("start_id")), "start_id", "left_semi")
     else:
         named = classes.filter(F.col("name") == class_name)
-        found = {way: closure(inherit if way == "up" else turn(inherit, "src", "dst"), named, depth) for way in ways}
-    tables = [found[way].withColumn("direction", F.lit(way)) for way in ways]
-    pairs = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+        found = [closure(inherit if way == "up" else turned, named, depth).withColumn("direction", F.lit(way)) for way in ways]
+        pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     return pairs.join(nodes.select("id", F.col("name").alias("related_name")), "id").select(
         F.col("start_id").alias("class_id"), F.col("id").alias("related_id"), "related_name", "direction", "distance"
     )
