@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions import scalars
 from codeloom.plans import fixtures as fx
 from codeloom.plans.ask import ask, mesh_sql
 from codeloom.plans.memory_queries import _FOLD, _TS
@@ -210,6 +211,53 @@ def _(spark, d):
         spark.read.parquet(f"{path}/edges").select(F.lit("edge").alias("kind"), F.col("from_id").alias("source"), F.col("to_id").alias("target"), *common))
 
 
+# ------------------------------------------------ written out and read again
+
+
+_RUN = ["id", "project_id", "branch", "commit_sha", "files_processed", "files_skipped"]
+
+
+@query("record_extraction_run", f"SELECT {','.join(_RUN)} FROM v_runs", ["v_runs"])
+def _(spark, d):
+    """Runs of either branch are appended one after the other; a log holds them all."""
+    path = f"{shared_dir(spark)}/run-log-{uuid.uuid4().hex}"
+    runs = fx.view(spark, d, "v_runs").select(*_RUN)
+    for branch in ("main", "dev"):
+        store.record_extraction_run(runs.filter(F.col("branch") == branch), path)
+    return spark.read.parquet(path).select(*_RUN)
+
+
+@query("export_patterns", """SELECT id,schema_id,CASE WHEN version=1 THEN 'own '||name ELSE name END AS name,CAST(version AS INT) AS version,regex,is_active FROM v_pattern_versions""", ["v_pattern_versions"])
+def _(spark, d):
+    """An export read back adds what a store lacks and leaves what it has under its own name."""
+    path = f"{shared_dir(spark)}/patterns-{uuid.uuid4().hex}"
+    versions = fx.view(spark, d, "v_pattern_versions").withColumn("version", F.col("version").cast("int"))
+    store.export_patterns(versions, path)
+    known = versions.filter("version = 1").withColumn("name", F.concat(F.lit("own "), "name"))
+    return store.import_patterns(known, spark.read.schema(versions.schema).json(path))
+
+
+_KEPT = "CASE type WHEN 'ApiEndpoint' THEN {0} END"
+
+
+@query("property_map", f"SELECT id,{_KEPT.format('method')} AS method,{_KEPT.format('path')} AS path FROM v_nodes", ["v_nodes"])
+def _(spark, d):
+    """Properties of endpoints come back from JSON; broken and missing texts give empty maps."""
+    nodes = fx.nodes(spark, d)
+    text = F.when(F.col("type") == "ApiEndpoint", F.to_json("properties")).when(F.col("type") == "Method", F.lit('{"method": ["GET'))
+    bag = scalars.property_map(text)
+    return nodes.select("id", bag["method"].alias("method"), bag["path"].alias("path"))
+
+
+@query("operation_ids", r"""SELECT id,lower(method)||'_'||CASE WHEN w='' THEN 'root' ELSE w END AS operation_id FROM (SELECT id,method,trim(regexp_replace(regexp_replace(path,'[{}:]','','g'),'/+','_','g'),'_') AS w FROM (SELECT id,method,path FROM v_nodes WHERE method IS NOT NULL AND path IS NOT NULL UNION ALL SELECT 'root/'||id,method,'/' FROM v_nodes WHERE method IS NOT NULL AND path IS NOT NULL))""", ["v_nodes"])
+def _(spark, d):
+    """Every endpoint, by its own path and by the empty one."""
+    method, path = F.col("properties")["method"], F.col("properties")["path"]
+    rows = fx.nodes(spark, d).select("id", method.alias("method"), path.alias("path")).filter("method IS NOT NULL AND path IS NOT NULL")
+    rows = rows.unionByName(rows.select(F.concat(F.lit("root/"), "id").alias("id"), "method", F.lit("/").alias("path")))
+    return rows.select("id", scalars.operation_id("method", "path").alias("operation_id"))
+
+
 # ----------------------------------------------------------------- questions
 
 
