@@ -111,7 +111,7 @@ def function_summary(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         *[F.count_if(F.col("kind") == k).alias(f"n_{k}s") for k in ("caller", "callee", "parameter")]
     )
     return (
-        nodes.filter(F.col("type").isin(*CALLABLE_TYPES)).select("id", "name", "file", "line_start")
+        nodes.filter(F.col("type").isin(*CALLABLE_TYPES)).select("project_id", "file", "id", "name", "line_start")
         .join(counts, "id", "left").na.fill(0, ["n_callers", "n_callees", "n_parameters"])
     )
 
@@ -165,6 +165,16 @@ def functions_by_file(nodes: DataFrame, limit: int | None = None) -> DataFrame:
     return listing(sizes, ["project_id", "file"], limit)
 
 
+def file_functions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Top-level functions (no dot in the name) as rows of their file,.
+
+    Each with the numbers of its distinct callers, callees and parameters. No
+    list per file is built; a sink that writes a page per file sorts by
+    project_id, file, line_start and id.
+    """
+    return function_summary(nodes.filter(~F.col("name").contains(".")), function_docs(nodes, edges))
+
+
 #: Piece lengths by which modules and file names meet, longest first.
 _PIECES = (8, 5, 3, 2, 1)
 

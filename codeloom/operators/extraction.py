@@ -138,6 +138,14 @@ def node_id(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def capture_transform(text: Column, change: Column) -> Column:
+    """Captured text changed as the pattern says: not at all for an empty name, else to trim, uppercase, lowercase, camelCase or snake_case."""
+    return (
+        F.when(change == "", text).when(change == "trim", _trim(text)).when(change == "uppercase", F.upper(text))
+        .when(change == "lowercase", F.lower(text)).when(change == "camelCase", camel_case(text)).otherwise(snake_case(text))
+    )
+
+
 def _captures(match: Column, patterns: Sequence[tuple]) -> Column:
     """Captured text by name: group, else default, then transformed."""
     table = {}
@@ -148,11 +156,7 @@ def _captures(match: Column, patterns: Sequence[tuple]) -> Column:
 
     def value(spec: Column) -> Column:
         text = F.coalesce(F.nullif(F.get(match["groups"], spec["group"] - 1), F.lit("")), spec["default"])
-        change = spec["change"]
-        return (
-            F.when(change == "", text).when(change == "trim", _trim(text)).when(change == "uppercase", F.upper(text))
-            .when(change == "lowercase", F.lower(text)).when(change == "camelCase", camel_case(text)).otherwise(snake_case(text))
-        )
+        return capture_transform(text, spec["change"])
 
     specs = _literal_lookup(match["pattern"], table, "array<struct<name:string,group:int,change:string,default:string>>")
     return F.map_from_entries(F.transform(specs, lambda c: F.struct(c["name"], value(c))))

@@ -341,6 +341,11 @@ def _(spark, d):
     return trust.verification_sample(log.select(F.col("event_id").alias("id"), "schema_id", "pattern_name"), trust.trust_scores(log))
 
 
+@query("flat_sample", "SELECT event_id AS id,schema_id FROM v_verifications WHERE CAST(('0x'||substr(md5(CAST(event_id AS VARCHAR)),1,8)) AS BIGINT)/4294967296.0::DOUBLE<0.2", V)
+def _(spark, d):
+    return trust.flat_sample(fx.view(spark, d, "v_verifications").select(F.col("event_id").alias("id"), "schema_id"), 0.2)
+
+
 _SUCC = "rejections=0 AND NOT (expected_nodes>0 AND n_nodes*10<expected_nodes*8) AND corrections*10<greatest(n_nodes,1)"
 FR = ["v_file_results"]
 

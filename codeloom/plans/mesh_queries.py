@@ -265,6 +265,16 @@ def _(spark, d):
     return docs.endpoints_by_tag(fx.nodes(spark, d))
 
 
+_FUNCTION_DOCS = """f AS (SELECT id FROM v_nodes WHERE type IN ('Function','Method')),
+up AS (SELECT e.to_id AS id,count(DISTINCT n.name) AS n FROM v_edges e JOIN v_nodes n ON n.id=e.from_id WHERE e.type='CALLS' GROUP BY 1),
+dn AS (SELECT e.from_id AS id,count(DISTINCT n.name) AS n FROM v_edges e JOIN v_nodes n ON n.id=e.to_id WHERE e.type='CALLS' GROUP BY 1)"""
+
+
+@query("file_functions", f"WITH {_FUNCTION_DOCS} SELECT v.project_id,v.file,v.id,v.name,CAST(v.line_start AS INT) AS line_start,COALESCE(up.n,0) AS n_callers,COALESCE(dn.n,0) AS n_callees,CAST(0 AS BIGINT) AS n_parameters FROM v_nodes v JOIN f USING (id) LEFT JOIN up USING (id) LEFT JOIN dn USING (id) WHERE NOT contains(v.name,'.')", E)
+def _(spark, d):
+    return docs.file_functions(*_ne(spark, d))
+
+
 @query("functions_by_file", "SELECT project_id,file,count(*) AS n_functions,count(DISTINCT name) AS n_names,min(name) AS first_name,max(name) AS last_name FROM v_nodes WHERE type IN ('Function','Method') AND NOT contains(name,'.') GROUP BY 1,2", N)
 def _(spark, d):
     return docs.functions_by_file(fx.nodes(spark, d))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import scalars
-from codeloom.operators import linking, review, telemetry
+from codeloom.operators import extraction, linking, review, telemetry
 from codeloom.plans import fixtures as fx
 from codeloom.plans.registry import query
 
@@ -292,3 +292,11 @@ def _(spark, d):
         "node_id", scalars.queue_name(i).alias("queue_name"), scalars.api_path(i).alias("api_path"), scalars.without_verb(i).alias("no_verb"),
         scalars.table_name(i).alias("table_name"), scalars.has_variable(i).alias("has_variable"), scalars.snake_case(i).alias("snake"),
         scalars.brace_path(i).alias("braces"))
+
+
+@query("capture_transforms", r"""SELECT node_id,t AS text,upper(t) AS uppercase,lower(t) AS lowercase,regexp_replace(t,'^\s+|\s+$','','g') AS trim,lower(j[1])||j[2:] AS "camelCase",regexp_replace(lower(regexp_replace(t,'([A-Z])','_\1','g')),'^_','') AS snake_case FROM (SELECT node_id,t,p[1]||array_to_string(list_transform(p[2:],lambda x: upper(x[1])||x[2:]),'') AS j FROM (SELECT node_id,t,regexp_split_to_array(t,'[-_\s]+') AS p FROM (SELECT node_id,identifier||'  ' AS t FROM v_refs)))""", ["v_refs"])
+def _(spark, d):
+    text = F.concat("identifier", F.lit("  "))
+    changes = ("uppercase", "lowercase", "trim", "camelCase", "snake_case")
+    return fx.view(spark, d, "v_refs").select(
+        "node_id", extraction.capture_transform(text, F.lit("")).alias("text"), *[extraction.capture_transform(text, F.lit(c)).alias(c) for c in changes])
