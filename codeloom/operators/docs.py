@@ -175,43 +175,39 @@ def file_functions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return function_summary(nodes.filter(~F.col("name").contains(".")), function_docs(nodes, edges))
 
 
-#: Piece lengths by which modules and file names meet, longest first.
-_PIECES = (8, 5, 3, 2, 1)
+#: Groups of module heads that are told apart before anything is shuffled; a fixed value.
+_HEADS = 1 << 15
 
 
-def _pieces(text: Column, size: Column) -> Column:
-    """Distinct substrings of one length; none if the text is shorter."""
-    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
+def _head(text: Column, at: Column, size: Column) -> Column:
+    """Group of a window of ``size`` characters, by its length and up to three first characters."""
+    return F.pmod(F.xxhash64(size, F.substring(text, at, F.least(size, F.lit(3)))), F.lit(_HEADS)).alias("_head")
 
 
 def module_dependencies(imports: DataFrame) -> DataFrame:
     """File to imported file, where the import text lies inside a known file name.
 
     ``imports``: file, module. Only files that import something count as known,
-    the first by name wins. A file name that contains a module contains every
-    piece of it, so each module waits under its rarest piece of the greatest
-    length it has, and the containment test runs on what meets there.
+    the first by name wins. A file name is cut into its windows of the lengths that
+    modules have. Those that begin like no module are left out where they are cut,
+    by a table of fixed size; the others meet equal modules, after the first file of
+    a window has been found, so that a common window costs a row per task.
     """
     used = imports.select("file", "module").filter("module <> ''").distinct()
     files = used.select(F.col("file").alias("target")).distinct()
-    modules = used.select("module").distinct()
-    spread = files.withColumn("_size", F.explode(F.array(*[F.lit(n) for n in _PIECES]))).select(
-        "target", "_size", F.explode(_pieces(F.col("target"), F.col("_size"))).alias("_piece"))
-    size = F.lit(_PIECES[-1])
-    for n in reversed(_PIECES):
-        size = F.when(F.length("module") >= n, n).otherwise(size)
-    asked = modules.withColumn("_size", size).select("module", F.explode(_pieces(F.col("module"), F.col("_size"))).alias("_piece"))
-    often = spread.groupBy("_piece").agg(F.count("*").alias("_n"))
-    # A piece no file name has rules its module out, so an inner join decides it.
-    wanted = asked.groupBy("module").agg(F.count("*").alias("_all")).join(
-        asked.join(often, "_piece").groupBy("module").agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"), F.count("*").alias("_some")), "module",
-    ).filter(F.col("_all") == F.col("_some")).select("module", "_piece")
-    found = spread.join(wanted, "_piece").filter(F.col("target").contains(F.col("module"))).select("module", "target")
-    first = first_per_key(found, ["module"], [F.col("target")])
+    modules = used.select("module", F.length("module").alias("_size"))
+    heads = modules.select(_head(F.col("module"), F.lit(1), F.col("_size"))).distinct()
+    sizes = F.broadcast(modules.agg(F.collect_set("_size").alias("_sizes")))
+    cut = files.crossJoin(sizes).select("target", F.explode("_sizes").alias("_size"))
+    starts = F.when(F.length("target") >= F.col("_size"), F.sequence(F.lit(1), F.length("target") - F.col("_size") + 1))
+    windows = cut.select("target", "_size", F.explode(starts).alias("_at"))
+    headed = windows.withColumn("_head", _head(F.col("target"), F.col("_at"), F.col("_size")))
+    known = headed.join(F.broadcast(heads), "_head", "left_semi")
+    first = known.groupBy(F.substring("target", F.col("_at"), F.col("_size")).alias("module")).agg(F.min("target").alias("target"))
     folder = F.when(F.col("file").contains("/"), F.regexp_extract("file", "^(.*)/[^/]*$", 1)).otherwise(".")
+    # Sizes of cut text are guessed far too low, so the hint keeps it from being broadcast.
     return (
-        used.join(first, "module").filter(F.col("file") != F.col("target"))
+        used.join(first.hint("merge"), "module").filter(F.col("file") != F.col("target"))
         .select("file", "target", folder.alias("directory")).distinct()
     )
 
