@@ -91,16 +91,20 @@ def find_file_contents(nodes, file_part, project_id=None, limit=None) -> DataFra
 def node_at_location(nodes: DataFrame, locations: DataFrame) -> DataFrame:
     """Innermost node overlapping each location.
 
-    ``locations``: location_id, file, line_from, line_to.
+    ``locations``: location_id, file, line_from, line_to. Nodes with the same lines
+    of a file are one span, locations with the same lines one probe.
     """
-    spans = nodes.filter(F.col("type") != "File").select("file", "id", "type", "name", "line_start", "line_end")
-    hits = overlap_join(spans, locations, ["file"], ("line_start", "line_end"), ("line_from", "line_to"))
-    size = (F.col("line_end") - F.col("line_start")).alias("size")
-    return first_per_key(
-        hits.select("location_id", "id", "type", "name", "line_start", "line_end"),
-        ["location_id"],
-        [size, F.col("id")],
-    )
+    spans = first_per_key(
+        nodes.filter(F.col("type") != "File").select("file", "id", "type", "name", "line_start", "line_end"),
+        ["file", "line_start", "line_end"], [F.col("id")])
+    places = ["file", "line_from", "line_to"]
+    probes = locations.select(*places).distinct()
+    hits = overlap_join(spans, probes, ["file"], ("line_start", "line_end"), ("line_from", "line_to"))
+    order = [(F.col("line_end") - F.col("line_start")).alias("size"), F.col("id")]
+    columns = ["id", "type", "name", "line_start", "line_end"]
+    best = first_per_key(hits.select(*places, *columns), places, order)
+    placed = locations.select("location_id", *places).join(best.hint("merge"), places)
+    return first_per_key(placed.select("location_id", *columns), ["location_id"], order)
 
 
 def find_callers(nodes, edges, function_name=None, project_id=None, limit=None) -> DataFrame:
@@ -312,30 +316,32 @@ def containing_class(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Class around each method, unless an edge already says so.
 
     The first class by line that starts before the method and either ends after
-    it or ends on the method's first line; confidence 0.7.
+    it or ends on the method's first line; confidence 0.7. Classes and methods with
+    the same lines of a file meet once, whatever their number.
     """
-    classes = nodes.filter(F.col("type") == "Class").select(
-        "project_id", "file", F.col("id").alias("class_id"),
-        F.col("line_start").alias("class_start"), F.col("line_end").alias("class_end"),
-    )
+    home, span = ["project_id", "file"], ["method_start", "method_end"]
+    classes = first_per_key(nodes.filter(F.col("type") == "Class").select(
+        *home, F.col("id").alias("class_id"), F.col("line_start").alias("class_start"), F.col("line_end").alias("class_end"),
+    ), [*home, "class_start", "class_end"], [F.col("class_id")])
     methods = nodes.filter(F.col("type") == "Method").select(
-        "project_id", "file", F.col("id").alias("method_id"),
-        F.col("line_start").alias("method_start"), F.col("line_end").alias("method_end"),
+        *home, F.col("id").alias("method_id"), F.col("line_start").alias("method_start"), F.col("line_end").alias("method_end"),
     )
     around = overlap_join(
-        classes, methods, ["project_id", "file"], ("class_start", "class_end"), ("method_start", "method_start")
+        classes, methods.select(*home, *span).distinct(), home, ("class_start", "class_end"), ("method_start", "method_start")
     ).filter(
         (F.col("class_start") < F.col("method_start"))
         & ((F.col("class_end") > F.col("method_end")) | (F.col("class_end") == F.col("method_start")))
     )
+    order = [F.col("class_start"), F.col("class_id")]
+    best = first_per_key(around.select(*home, *span, "class_id", "class_start"), [*home, *span], order)
     first = first_per_key(
-        around.select("method_id", "class_id", "class_start"), ["method_id"], [F.col("class_start"), F.col("class_id")]
+        methods.join(best.hint("merge"), [*home, *span]).select("method_id", "class_id", "class_start"), ["method_id"], order
     )
     known = edges.filter(F.col("type") == "CONTAINS").select(
         F.col("from_id").alias("class_id"), F.col("to_id").alias("method_id")
     )
     return (
-        first.join(known, ["class_id", "method_id"], "left_anti")
+        first.join(known.hint("merge"), ["class_id", "method_id"], "left_anti")
         .select("class_id", "method_id", F.lit("CONTAINS").alias("type"), F.lit(0.7).alias("confidence"))
     )
 
