@@ -6,7 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from codeloom.functions.scaling import overlap_join
-from codeloom.operators import docs, mesh
+from codeloom.operators import docs, extraction, languages, mesh
+from codeloom.plans import fixtures
 from codeloom.streaming import streams
 
 NODE = "id string, type string, name string, project_id string, branch string, file string, line_start int, line_end int"
@@ -77,3 +78,21 @@ def test_node_at_location_equals_the_pair_loop(spark):
             want[at] = min(want.get(at, (99, "")), (n[7] - n[6], n[0]))
     found = mesh.node_at_location(spark.createDataFrame(rows, NODE), spark.createDataFrame(places, "location_id string, file string, line_from int, line_to int"))
     assert sorted((r.location_id, r.line_end - r.line_start, r.id) for r in found.collect()) == sorted((k, *v) for k, v in want.items())
+
+
+def test_generated_text_is_dealt_by_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "SPREAD_ROWS", 10)
+    rows = spark.range(500).withColumn("path", F.col("id").cast("string"))
+    assert fixtures.spread(rows, "path").rdd.getNumPartitions() == 50
+
+
+def test_mesh_is_read_from_compressed_columns(spark):
+    text = "import os\nclass A(B):\n    def run(self):\n        return go(1)\n"
+    rows = spark.createDataFrame([("p", "a.py", text), ("p", "b.py", text), ("p", None, None)], "project_id string, path string, content string")
+    files = languages.with_base_fallback(languages.match_schemas(languages.detect_language(rows)))
+    nodes, edges = extraction.extract_mesh(files)
+    assert "ExistingRDD" not in plan_of(nodes) and "ExistingRDD" not in plan_of(edges)
+    plain = extraction.with_nodes(extraction.find_matches(files))
+    assert sorted(map(str, nodes.collect())) == sorted(map(str, extraction.extract_nodes(plain).collect()))
+    calls = extraction.extract_calls(plain).select("from_id", "to_id")
+    assert sorted(map(tuple, edges.filter("type='CALLS'").select("from_id", "to_id").collect())) == sorted(map(tuple, calls.collect()))
