@@ -170,7 +170,8 @@ def related_files(imports: DataFrame, files: DataFrame, aliases: dict[str, str]
     """Files that relative imports point to; ``max_files`` shortens the list of a file.
 
     For an import without an ending every known ending is tried, the file
-    before its index file. ``imports``: project_id, path, module, line.
+    before its index file. Files are filed under the names that lead to them, so an
+    import meets them once. ``imports``: project_id, path, module, line.
     ``files``: project_id, path. Aliases count from the project root.
     """
     folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
@@ -181,16 +182,17 @@ def related_files(imports: DataFrame, files: DataFrame, aliases: dict[str, str]
         target = F.when(hit, F.concat(F.lit(place), F.substring(F.col("module"), F.lit(len(alias) + 1), F.length("module")))).otherwise(target)
     target = F.when(F.col("module").startswith("/"), F.col("module")).otherwise(target)
     wanted = imports.filter(relative).select("project_id", "path", "module", "line", _normal(target).alias("_t"))
-    no_ending = F.regexp_extract("_t", r"[^/]+(\.[^/.]*)$", 1) == ""
-    tries = F.array(*[F.struct(F.lit(2 * i + k).alias("place"), F.concat(F.col("_t"), F.lit(middle + e)).alias("resolved"))
-                      for i, e in enumerate(RESOLVED_ENDINGS) for k, middle in enumerate(("", "/index"))])
-    exact = F.array(F.struct(F.lit(99).alias("place"), F.col("_t").alias("resolved")))
-    candidates = wanted.select("project_id", "path", "module", "line", F.inline(F.when(no_ending, F.concat(tries, exact)).otherwise(exact)))
     known = files.select("project_id", F.col("path").alias("resolved")).distinct()
-    hits = candidates.join(known, ["project_id", "resolved"], "left_semi")
-    best = first_per_key(hits.select("project_id", "path", "module", "line", "place", "resolved"),
-                         ["project_id", "path", "module", "line"], [F.col("place")])
-    once = first_per_key(best.select("project_id", "path", "resolved", "line", "module"), ["project_id", "path", "resolved"], [F.col("line"), F.col("module")])
+    own = [(2 * i + k, middle + e) for i, e in enumerate(RESOLVED_ENDINGS) for k, middle in enumerate(("", "/index"))]
+    tries = [F.when(F.col("resolved").endswith(tail), F.struct(F.lit(place).alias("place"), F.expr(f"left(resolved, length(resolved) - {len(tail)})").alias("_t")))
+             for place, tail in own]
+    exact = F.struct(F.lit(99).alias("place"), F.col("resolved").alias("_t"))
+    no_ending = lambda t: F.regexp_extract(t, r"[^/]+(\.[^/.]*)$", 1) == ""
+    named = known.select("project_id", "resolved", F.inline(F.filter(F.array(*tries, exact), lambda x: x.isNotNull() & ((x["place"] == 99) | no_ending(x["_t"])))))
+    found = first_per_key(named, ["project_id", "_t"], [F.col("place")])
+    hits = wanted.join(found.select("project_id", "_t", "resolved"), ["project_id", "_t"])
+    once = hits.groupBy("project_id", "path", "resolved").agg(F.min(F.struct("line", "module")).alias("_first")).select(
+        "project_id", "path", "resolved", "_first.*")
     return once if max_files is None else top_k(once, ["project_id", "path"], [F.col("line"), F.col("module")], max_files)
 
 

@@ -31,3 +31,31 @@ def test_merges_let_go_of_what_they_shuffled(spark, tmp_path):
         sizes.append(held())
     assert sizes[-1] <= sizes[0] + 4, sizes
     assert spark.read.parquet(paths[0]).count() == 48 == spark.read.parquet(paths[1]).count()
+
+
+def test_an_import_meets_its_files_once(spark):
+    tree = ["src/a.ts", "src/a.tsx", "src/b/index.js", "src/b.js", "src/c.d.ts", "src/c.d", "src/e", "src/f/index.ts", "src/.ts", "src/g."]
+    files = spark.createDataFrame([("p", path) for path in [*tree, "src/a.ts"]] + [("q", "src/h.ts"), (None, "src/a.ts"), ("p", None)], "project_id string, path string")
+    modules = ["./a", "./b", "./c", "./c.d", "./e", "./f", "./h", "./a.ts", "./a.tsx", "../src/b", "./", "./g", "./g.", "lib", None]
+    rows = [("p", "src/m.ts", module, line) for line, module in enumerate(modules)] + [("p", "src/m.ts", "../src/a", None), ("p", "src/m.ts", "./a", 0), (None, "src/m.ts", "./a", 1)]
+    found = context.related_files(spark.createDataFrame(rows, "project_id string, path string, module string, line int"), files)
+    got = {(r.resolved, r.line, r.module) for r in found.collect()}
+
+    def resolved(module):
+        parts = []
+        for part in ("src/" + module).split("/"):
+            parts = parts[:-1] if part == ".." else parts + [part] * (part not in ("", "."))
+        target = "/".join(parts)
+        name, dot, _ = target.split("/")[-1].rpartition(".")
+        tries = [target + middle + end for end in context.RESOLVED_ENDINGS for middle in ("", "/index")] if not (name and dot) else []
+        return next((path for path in [*tries, target] if path in tree), None)
+
+    best = {}
+    for project, _, module, line in rows:
+        if project and module and module[0] == "." and resolved(module):
+            key = (line is not None, line or 0, module)
+            best[resolved(module)] = min(best.get(resolved(module), key), key)
+    assert got == {(path, key[1] if key[0] else None, key[2]) for path, key in best.items()} and len(got) > 6
+    lines = plan_of(found)
+    first = lambda word: next(i for i, line in enumerate(lines) if word in line)
+    assert first("LogicalRDD") < first("Generate")  # imports are not multiplied; names of files are
