@@ -130,10 +130,23 @@ def _rank_keys() -> dict[int, Column]:
             6: F.when(kind == "api", scalars.without_verb(scalars.api_path(ident)))}
 
 
+#: Ranks whose keys identifiers are joined on: equal identifiers are equal in lower case too, so these meet all pairs of the others.
+_JOINED = (2, 4, 5, 6)
+
+
 def _keys(grouped: DataFrame) -> DataFrame:
-    """One row per preference rank under which an identifier can be matched."""
-    keys = F.array(*[F.struct(F.lit(r).alias("rank"), k.alias("key")) for r, k in _rank_keys().items()])
-    return grouped.select("*", F.inline(F.filter(keys, lambda k: k["key"].isNotNull())))
+    """One row per joined rank under which an identifier can be matched, with the key of rank 5."""
+    keys = _rank_keys()
+    each = F.array(*[F.struct(F.lit(r).alias("at"), keys[r].alias("key")) for r in _JOINED])
+    return grouped.select("*", keys[5].alias("pattern"), F.inline(F.filter(each, lambda k: k["key"].isNotNull())))
+
+
+def _best_rank() -> Column:
+    """Best rank of a pair that met under the joined rank ``at``; null where it meets under a better one as well."""
+    same = lambda name, fold=lambda c: c: fold(F.col(f"p.{name}")) == fold(F.col(f"c.{name}"))
+    met = F.when(same("identifier", F.lower), 2).when(same("resolved", F.lower), 4).when(same("pattern"), 5).otherwise(6)
+    exact = F.when((met == 2) & same("identifier"), 1).when((met == 4) & same("resolved"), 3).otherwise(met)
+    return F.when(met == F.col("p.at"), exact)
 
 
 def _by_rank(rank: Column, place: int, kind: str) -> Column:
@@ -151,16 +164,20 @@ def match_references(refs: DataFrame, config: DataFrame, min_confidence: float =
     on each side; ``n_pairs`` reference pairs are linked by it. The rows are the
     square of the projects that share an identifier; with ``project_id`` only
     those with that project at one end are made, which is linear in the others.
-    Counts over all projects come from :func:`link_counts` without any pair.
+    A pair that meets under several ranks is kept under the best of them alone, as
+    its keys tell, so pairs are not shuffled. Counts over all projects come from :func:`link_counts` without any pair.
     """
-    keyed = _keys(_identifiers(refs, config))
-    producers = keyed.filter(F.col("direction").isin("produce", "both")).select(
-        "type", "rank", "key", F.col("project_id").alias("from_project"), F.col("identifier").alias("from_identifier"),
-        F.col("direction").alias("from_direction"), F.col("n").alias("n_from"))
-    consumers = keyed.filter(F.col("direction").isin("consume", "both")).select(
-        "type", "rank", "key", F.col("project_id").alias("to_project"), F.col("identifier").alias("to_identifier"),
-        F.col("direction").alias("to_direction"), F.col("n").alias("n_to"))
-    meet = lambda p, c: p.join(c, ["type", "rank", "key"]).filter(F.col("from_project") != F.col("to_project"))
+    known = _identifiers(refs, config)
+    # What an identifier matches does not depend on the direction, so a consumer is one row.
+    taken = known.filter(F.col("direction").isin("consume", "both")).groupBy("type", "project_id", "identifier").agg(
+        F.first("resolved").alias("resolved"), F.sum("n").alias("n"))
+    producers, consumers = _keys(known.filter(F.col("direction").isin("produce", "both"))).alias("p"), _keys(taken).alias("c")
+    makes, takes = F.col("p.project_id"), F.col("c.project_id")
+    meets = (F.col("p.type") == F.col("c.type")) & (F.col("p.at") == F.col("c.at")) & (F.col("p.key") == F.col("c.key")) & (makes != takes)
+    meet = lambda p, c: p.join(c, meets).select(
+        "p.type", makes.alias("from_project"), F.col("p.identifier").alias("from_identifier"), F.col("p.direction").alias("from_direction"),
+        takes.alias("to_project"), F.col("c.identifier").alias("to_identifier"), _best_rank().alias("rank"),
+        F.col("p.n").alias("n_from"), F.col("c.n").alias("n_to")).filter("rank IS NOT NULL")
     if project_id is None:
         pairs = meet(producers, consumers)
     else:

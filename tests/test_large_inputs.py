@@ -59,3 +59,40 @@ def test_an_import_meets_its_files_once(spark):
     lines = plan_of(found)
     first = lambda word: next(i for i, line in enumerate(lines) if word in line)
     assert first("LogicalRDD") < first("Generate")  # imports are not multiplied; names of files are
+
+
+def matched(rows):
+    """Pairs by the six rules in turn, for references without variables."""
+    ends = defaultdict(int)
+    for kind, identifier, direction, _, project in rows:
+        ends[kind, project, identifier, direction] += 1
+    short = lambda kind, i: i.split(".")[-1] if kind == "queue" else i
+    bare = lambda i: i.removeprefix("GET ").removeprefix("POST ")
+    out = {}
+    for ((kind, pp, pi, pd), n), ((ck, cp, ci, cd), m) in product(ends.items(), repeat=2):
+        if kind is None or None in (pi, ci, pp, cp) or kind != ck or pp == cp or pd == "consume" or cd == "produce":
+            continue
+        rules = [pi == ci, pi.lower() == ci.lower(), False, False, short(kind, pi) == short(kind, ci), kind == "api" and bare(pi) == bare(ci)]
+        if any(rules):
+            key = (kind, pp, pi, pd, cp, ci)
+            out[key] = (rules.index(True) + 1, n, out.get(key, (0, 0, 0))[2] + m)
+    return out
+
+
+REFS = [(kind, name, direction, f"n{i}", project) for i, (kind, name, direction, project) in enumerate(product(
+    ["queue", "api", None], ["a.Q", "b.Q", "Q", "q", "GET x", "POST x", "x", None], ["produce", "consume", "both"], ["p", "r", "s", None]))]
+
+
+def test_a_pair_is_matched_under_its_best_rank_alone(spark):
+    rows = REFS + REFS[::5]
+    refs = spark.createDataFrame(rows, "type string, identifier string, direction string, node_id string, project_id string")
+    config = spark.createDataFrame([], "project_id string, name string, value string, method string")
+    found = linking.match_references(refs, config)
+    pairs = {tuple(r[:6]): (r["rank"], r.n_from, r.n_to) for r in found.select(
+        "type", "from_project", "from_identifier", "from_direction", "to_project", "to_identifier", "rank", "n_from", "n_to").collect()}
+    assert pairs == matched(rows) and found.count() == len(pairs)
+    some = linking.match_references(refs, config, project_id="r")
+    assert some.count() == sum("r" in (k[1], k[4]) for k in pairs)
+    lines = plan_of(found)
+    joined = next(i for i, line in enumerate(lines) if "Join Inner" in line)
+    assert not any("Aggregate" in line for line in lines[:joined])  # pairs are not shuffled again
