@@ -179,16 +179,12 @@ def match_references(refs: DataFrame, config: DataFrame, min_confidence: float =
         takes.alias("to_project"), F.col("c.identifier").alias("to_identifier"), _best_rank().alias("rank"),
         F.col("p.n").alias("n_from"), F.col("c.n").alias("n_to")).filter("rank IS NOT NULL")
     if project_id is None:
-        pairs = meet(producers, consumers)
+        best = meet(producers, consumers)
     else:
-        makes, takes = F.col("from_project") == project_id, F.col("to_project") == project_id
-        pairs = meet(producers.filter(makes), consumers).unionByName(meet(producers.filter(~makes), consumers.filter(takes)))
-    best = pairs.groupBy("type", "from_project", "from_identifier", "from_direction", "to_project", "to_identifier",
-                         "to_direction").agg(F.min("rank").alias("rank"), F.first("n_from").alias("n_from"), F.first("n_to").alias("n_to"))
-    summed = best.groupBy("type", "from_project", "from_identifier", "from_direction", "to_project", "to_identifier", "rank").agg(
-        F.first("n_from").alias("n_from"), F.sum("n_to").alias("n_to"))
+        best = meet(producers.filter(makes == project_id), consumers).unionByName(
+            meet(producers.filter(makes != project_id), consumers.filter(takes == project_id)))
     return (
-        summed.withColumn("confidence", _by_rank(F.col("rank"), 0, "double")).withColumn("method", _by_rank(F.col("rank"), 1, "string"))
+        best.withColumn("confidence", _by_rank(F.col("rank"), 0, "double")).withColumn("method", _by_rank(F.col("rank"), 1, "string"))
         .withColumn("n_pairs", F.col("n_from") * F.col("n_to")).filter(F.col("confidence") >= min_confidence)
     )
 
@@ -275,11 +271,9 @@ def create_links(matches: DataFrame, bidirectional: bool = True) -> DataFrame:
 
 def link_members(matches: DataFrame, refs: DataFrame) -> DataFrame:
     """The nodes behind the identifiers that were matched, per role."""
-    made = matches.select("type", F.col("from_project").alias("project_id"), F.col("from_identifier").alias("identifier"),
-                          F.lit("producer").alias("role"))
-    taken = matches.select("type", F.col("to_project").alias("project_id"), F.col("to_identifier").alias("identifier"),
-                           F.lit("consumer").alias("role"))
-    wanted = made.unionByName(taken).distinct()
+    ends = [F.struct(F.col(f"{side}_project").alias("project_id"), F.col(f"{side}_identifier").alias("identifier"), F.lit(role).alias("role"))
+            for side, role in (("from", "producer"), ("to", "consumer"))]
+    wanted = matches.select("type", F.inline(F.array(*ends))).distinct()
     fits = ((F.col("role") == "producer") & F.col("direction").isin("produce", "both")) | (
         (F.col("role") == "consumer") & F.col("direction").isin("consume", "both"))
     return refs.join(wanted, ["type", "project_id", "identifier"]).filter(fits).select(

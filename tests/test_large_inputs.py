@@ -96,3 +96,15 @@ def test_a_pair_is_matched_under_its_best_rank_alone(spark):
     lines = plan_of(found)
     joined = next(i for i, line in enumerate(lines) if "Join Inner" in line)
     assert not any("Aggregate" in line for line in lines[:joined])  # pairs are not shuffled again
+
+
+def test_members_read_the_matches_once(spark):
+    refs = spark.createDataFrame(REFS, "type string, identifier string, direction string, node_id string, project_id string")
+    rows = [(*key[:3], *key[4:]) for key in matched(REFS)]
+    matches = spark.createDataFrame(rows, "type string, from_project string, from_identifier string, to_project string, to_identifier string")
+    found = linking.link_members(matches, refs)
+    made, taken = {r[:3] for r in rows}, {(r[0], *r[3:]) for r in rows}
+    want = sorted((kind, project, name, role, node) for kind, name, direction, node, project in REFS for role, ends, other in (
+        ("producer", made, "consume"), ("consumer", taken, "produce")) if direction != other and (kind, project, name) in ends)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert sum("LogicalRDD" in line for line in plan_of(found)) == 2
