@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.scaling import any_of, top_k
+from codeloom.session import kept
 
 # File classes by path, checked in the order of classify().
 NOISE = [
@@ -249,8 +250,9 @@ def prioritize_files(changes: DataFrame, max_files: int = 20) -> DataFrame:
 
     Only the best ``max_files`` per review and class compete, trimmed before
     the shuffle; a review with a third of all files costs no more than others.
+    Classes are written down, as they cost the most and are read four times.
     """
-    ranked = classify_files(changes).select("review_id", "path", "lines_changed", "file_class")
+    ranked = kept(classify_files(changes).select("review_id", "path", "lines_changed", "file_class"))
     critical = ranked.filter(F.col("file_class") == "critical").select("review_id", "path")
     taken = critical.groupBy("review_id").agg(F.count("*").alias("_critical"))
     best = top_k(

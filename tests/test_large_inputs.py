@@ -108,3 +108,12 @@ def test_members_read_the_matches_once(spark):
         ("producer", made, "consume"), ("consumer", taken, "produce")) if direction != other and (kind, project, name) in ends)
     assert sorted(tuple(r) for r in found.collect()) == want
     assert sum("LogicalRDD" in line for line in plan_of(found)) == 2
+
+
+def test_files_are_classified_once(spark):
+    rows = [("r1", f"src/core/f{i}.py", i, 0, False) for i in range(30)] + [("r1", "src/auth/a.py", 1, 1, False), ("r1", "dist/x.js", 9, 9, False), (None, "src/auth/a.py", 1, 1, False), ("r2", None, 1, 1, False)]
+    found = review.prioritize_files(spark.createDataFrame(rows, "review_id string, path string, lines_added long, lines_deleted long, is_binary boolean"), 5)
+    got = {(r.review_id, r.path): r.to_review for r in found.collect()}
+    assert len(got) == len(rows)
+    assert {k for k, chosen in got.items() if chosen} == {("r1", "src/auth/a.py"), *(("r1", f"src/core/f{i}.py") for i in (29, 28, 27, 26))}
+    assert not any("RLIKE" in line for line in plan_of(found))
