@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.scaling import first_per_key, overlap_join, top_k
-from codeloom.session import cut_lineage
+from codeloom.session import cut_lineage, kept
 
 ENDPOINT_TYPES = ("ApiEndpoint", "Endpoint")
 CALLABLE_TYPES = ("Function", "Method")
@@ -411,9 +411,9 @@ def files_reached(wanted: DataFrame, held: DataFrame, few: int = FEW_FILES) -> D
     held = held.filter("file IS NOT NULL")
     sizes = held.groupBy("name").agg(F.count("*").alias("files"))
     numbers = cut_lineage(_numbered(held.select("file").distinct()))
-    held = cut_lineage(held.join(sizes, "name").join(numbers, "file").select("name", "bucket", "place", (F.col("files") > few).alias("many")))
+    held = kept(held.join(sizes, "name").join(numbers, "file").select("name", "bucket", "place", (F.col("files") > few).alias("many")))
     sets = held.filter("many").groupBy("name", "bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
-    united = cut_lineage(wanted.join(sets, "name").groupBy("file", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
+    united = kept(wanted.join(sets, "name").groupBy("file", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
     single = wanted.join(held.filter("NOT many"), "name").select("file", "bucket", "place").distinct()
     byte = F.conv(F.hex(F.expr("substring(bits, cast(place div 8 + 1 AS int), 1)")), 16, 10).cast("int")
     in_set = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(place % 8 AS int))")) != 0, F.lit(False))
@@ -430,11 +430,11 @@ def impact_analysis(nodes: DataFrame, edges: DataFrame, changed_files: DataFrame
     changed file meets the calling files of a common name one by one. What is
     used more than once is written down.
     """
-    changed = cut_lineage(nodes.join(changed_files.select("file").distinct(), "file", "left_semi").select("id", "file", "name", "type"))
-    functions = cut_lineage(changed.filter(F.col("type").isin(*CALLABLE_TYPES)).groupBy("file", "name").agg(F.count("*").alias("same")))
+    changed = kept(nodes.join(changed_files.select("file").distinct(), "file", "left_semi").select("id", "file", "name", "type"))
+    functions = kept(changed.filter(F.col("type").isin(*CALLABLE_TYPES)).groupBy("file", "name").agg(F.count("*").alias("same")))
     caller = nodes.select(F.col("id").alias("from_id"), F.col("name").alias("from_name"), F.col("file").alias("from_file"))
     callee = nodes.select(F.col("id").alias("to_id"), F.col("name").alias("to_name"))
-    calls = cut_lineage(
+    calls = kept(
         edges.filter(F.col("type") == "CALLS").select("from_id", "to_id")
         .join(caller, "from_id").join(callee, "to_id")
         .groupBy("from_name", "to_name", "from_file").agg(F.count("*").alias("n"))
@@ -455,12 +455,8 @@ def impact_analysis(nodes: DataFrame, edges: DataFrame, changed_files: DataFrame
     )
     endpoints = changed.filter(F.col("type").isin(*ENDPOINT_TYPES)).groupBy("file").agg(F.count("*").alias("endpoints"))
     of_file = changed.select("id", "file")
-    linked = edges.filter("cross_project").select("from_id", "to_id", "type")
-    links = (
-        linked.join(of_file.withColumnRenamed("id", "from_id"), "from_id").select("file", "from_id", "to_id", "type")
-        .unionByName(linked.join(of_file.withColumnRenamed("id", "to_id"), "to_id").select("file", "from_id", "to_id", "type"))
-        .distinct().groupBy("file").agg(F.count("*").alias("links"))
-    )
+    linked = edges.filter("cross_project").select("from_id", "to_id", "type", F.explode(F.array("from_id", "to_id")).alias("id"))
+    links = linked.join(of_file, "id").select("file", "from_id", "to_id", "type").distinct().groupBy("file").agg(F.count("*").alias("links"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
     joined = (
         changed.select("file").distinct()

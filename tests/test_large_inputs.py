@@ -117,3 +117,12 @@ def test_files_are_classified_once(spark):
     assert len(got) == len(rows)
     assert {k for k, chosen in got.items() if chosen} == {("r1", "src/auth/a.py"), *(("r1", f"src/core/f{i}.py") for i in (29, 28, 27, 26))}
     assert not any("RLIKE" in line for line in plan_of(found))
+
+
+def test_links_between_projects_are_read_once(spark):
+    nodes = spark.createDataFrame([("a", "Function", "f", "x.py"), ("b", "Function", "g", "y.py"), ("c", "Function", "h", "x.py"), ("d", "ApiEndpoint", "e", "z.py")], "id string, type string, name string, file string")
+    rows = [("a", "b", "CALLS", False), ("a", "b", "USES", True), ("a", "c", "USES", True), ("a", "a", "USES", True), ("a", "b", "USES", True), ("b", None, "USES", True), ("d", "nowhere", "USES", True)]
+    impact = mesh.impact_analysis(nodes, spark.createDataFrame(rows, "from_id string, to_id string, type string, cross_project boolean"), nodes.select("file"))
+    got = {r.file: (r.affected_files, r.callers, r.callees, r.endpoints, r.links) for r in impact.collect()}
+    assert got == {"x.py": (0, 0, 1, 0, 3), "y.py": (1, 1, 0, 0, 2), "z.py": (0, 0, 0, 1, 1)}
+    assert sum("cross_project" in line and "LogicalRDD" in line for line in plan_of(impact)) == 1
