@@ -126,3 +126,18 @@ def test_links_between_projects_are_read_once(spark):
     got = {r.file: (r.affected_files, r.callers, r.callees, r.endpoints, r.links) for r in impact.collect()}
     assert got == {"x.py": (0, 0, 1, 0, 3), "y.py": (1, 1, 0, 0, 2), "z.py": (0, 0, 0, 1, 1)}
     assert sum("cross_project" in line and "LogicalRDD" in line for line in plan_of(impact)) == 1
+
+
+def test_parts_of_a_file_are_sized_without_sorting_its_rows(spark):
+    nodes = spark.createDataFrame([(f"n{i}", "Function", f"f{i}", i, i, "p", f"{i % 3}.py") for i in range(30)] + [("n0", "Class", "twice", 1, 1, "p", "0.py"), ("bare", "Class", "c", 1, 1, "p", None)],
+                                  "id string, type string, name string, line_start int, line_end int, project_id string, file string")
+    edges = spark.createDataFrame([(f"n{i % 30}", f"n{i}", "CALLS") for i in range(100)] + [(None, "x", "CALLS"), ("nowhere", "x", "CALLS")], "from_id string, to_id string, type string")
+    found = store.export_mesh(nodes, edges, part_size=10)
+    got = defaultdict(lambda: [0, 0, 0])
+    for r in found.collect():
+        sums = got[r.file]
+        got[r.file] = [sums[0] + len(r.nodes), sums[1] + len(r.edges), max(sums[2], r.part)]
+    drawn = lambda k: sum(2 if i % 30 == 0 else 1 for i in range(100) if i % 30 % 3 == k)
+    assert {file: sums[:2] for file, sums in got.items()} == {"0.py": [11, drawn(0)], "1.py": [10, drawn(1)], "2.py": [10, drawn(2)]}
+    assert all(sums[2] < -(-(sums[0] + sums[1]) // 10) for sums in got.values())
+    assert "ShuffledHashJoin" in found._jdf.queryExecution().executedPlan().toString()
