@@ -350,5 +350,6 @@ def flatten_config(configs: DataFrame) -> DataFrame:
         level = typed.filter(F.col("_t").startswith("OBJECT")).select("project_id", "v", "name", "order")
         if level.isEmpty():
             break
-    both = leaves.select("project_id", "name", "value", "order").unionByName(leaves.select("project_id", F.col("leaf").alias("name"), "value", "order"))
+    names = F.when(F.col("name") == F.col("leaf"), F.array("name")).otherwise(F.array("name", "leaf"))
+    both = leaves.select("project_id", F.explode(names).alias("name"), "value", "order")
     return both.groupBy("project_id", "name").agg(F.max_by("value", "order").alias("value")).withColumn("method", F.lit("config"))

@@ -82,4 +82,4 @@ _CFG = """SELECT 'proj'||p_partkey AS project_id,'{"db":{"host":"h'||p_partkey||
 @query("flatten_config", f"""WITH c AS ({_CFG}), b AS (SELECT project_id,regexp_extract(content,'"host":"(h\\d+)"',1) AS h,regexp_extract(content,'"port":(\\d+)',1) AS p FROM c)
 SELECT project_id,unnest(['db.host','db.port','port','db.opt.on','on','host','z.a.b.c.d.e.f.g.deep','b.deep','deep']) AS name,unnest([h,p,p,'true','true','top','first','last'||p,'last'||p]) AS value FROM b""")
 def _(spark, d):
-    return context.flatten_config(fx.sql(spark, d, _CFG)).drop("method")
+    return context.flatten_config(fx.spread(fx.sql(spark, d, _CFG), "project_id")).drop("method")

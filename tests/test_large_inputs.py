@@ -6,7 +6,10 @@ import time
 from collections import defaultdict
 from itertools import product
 
+from pyspark.sql import functions as F
+
 from codeloom.operators import context, linking, mesh, review
+from codeloom.plans import catalog
 from codeloom.sources import store
 
 
@@ -141,3 +144,17 @@ def test_parts_of_a_file_are_sized_without_sorting_its_rows(spark):
     assert {file: sums[:2] for file, sums in got.items()} == {"0.py": [11, drawn(0)], "1.py": [10, drawn(1)], "2.py": [10, drawn(2)]}
     assert all(sums[2] < -(-(sums[0] + sums[1]) // 10) for sums in got.values())
     assert "ShuffledHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_levels_of_a_configuration_are_read_once(spark):
+    found = context.flatten_config(spark.createDataFrame([("p", '{"a":{"x":1,"l":[1]},"x":"top","y":{"x":"last"},"n":null,"e":{}}'), ("p", "broken"), ("p", None), ("q", "{}")], "project_id string, content string"))
+    assert {(r.project_id, r.name, r.value) for r in found.collect()} == {("p", "a.x", "1"), ("p", "x", "last"), ("p", "y.x", "last")}
+    assert sum("LogicalRDD" in line for line in plan_of(found)) == 2
+
+
+def test_configurations_are_spread_over_tasks(spark, tmp_path, monkeypatch):
+    spark.range(300).selectExpr("id AS p_partkey", "cast(id AS int) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    given, flatten = [], context.flatten_config
+    monkeypatch.setattr(context, "flatten_config", lambda configs: given.append(configs) or flatten(configs))
+    assert catalog.QUERIES["flatten_config"](spark, str(tmp_path)).count() == 9 * 300
+    assert given[0].withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 1
