@@ -9,7 +9,7 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from codeloom.operators import context, linking, mesh, review
-from codeloom.plans import catalog
+from codeloom.plans import catalog, fixtures
 from codeloom.sources import store
 
 
@@ -158,3 +158,18 @@ def test_configurations_are_spread_over_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(context, "flatten_config", lambda configs: given.append(configs) or flatten(configs))
     assert catalog.QUERIES["flatten_config"](spark, str(tmp_path)).count() == 9 * 300
     assert given[0].withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 1
+
+
+def test_the_mesh_before_a_sync_is_joined_once(spark, tmp_path, monkeypatch):
+    tables = {"nation": "id AS n_nationkey, 'n' || id AS n_name", "customer": "id AS c_custkey, 'c' || id AS c_name, id % 2 AS c_nationkey, 'm' AS c_mktsegment",
+              "supplier": "id AS s_suppkey, 's' || id AS s_name, id % 2 AS s_nationkey", "part": "id AS p_partkey, 'b' || id % 3 AS p_brand, cast(id AS int) AS p_size",
+              "orders": "id AS o_orderkey, id % 7 AS o_custkey", "lineitem": "id % 9 AS l_orderkey, id % 5 AS l_partkey, id % 4 AS l_suppkey, 'A' AS l_returnflag"}
+    for name, columns in tables.items():
+        spark.range(12).selectExpr(*columns.split(", ")).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    texts, sql = [], fixtures.sql
+    monkeypatch.setattr(fixtures, "sql", lambda session, folder, text: texts.append(text) or sql(session, folder, text))
+    rows = catalog.QUERIES["incremental_sync"](spark, str(tmp_path)).collect()
+    assert sum("v_edges" in text for text in texts) == 1
+    moved = {r.file for r in rows if r.kind == "node" and r.file.endswith(("/c1.py", "/c3.py", "/c11.py"))}
+    assert moved == {"src/moved/c3.py"}  # 1 and 11 are deleted
+    assert {r.source for r in rows if r.kind == "edge" and r.file == "src/moved/c3.py"} == {"c3-m", "o3-m"}
