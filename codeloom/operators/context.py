@@ -167,21 +167,21 @@ def _normal(path: Column) -> Column:
 
 
 def related_files(imports: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None, max_files: int | None = None) -> DataFrame:
-    """Files that relative imports point to; ``max_files`` shortens the list of a file.
+    """Files that relative and aliased imports point to; ``max_files`` shortens the list of a file.
 
     For an import without an ending every known ending is tried, the file
     before its index file. Files are filed under the names that lead to them, so an
     import meets them once. ``imports``: project_id, path, module, line.
-    ``files``: project_id, path. Aliases count from the project root.
+    ``files``: project_id, path. Aliases count from the project root; the first that fits holds.
     """
     folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
-    target = F.concat(folder, "module")
-    relative = F.col("module").startswith(".") | F.col("module").startswith("/")
-    for alias, place in (aliases or {}).items():
+    local = F.col("module").startswith(".") | F.col("module").startswith("/")
+    target = F.when(F.col("module").startswith("/"), F.col("module")).otherwise(F.concat(folder, "module"))
+    for alias, place in reversed((aliases or {}).items()):
         hit = (F.col("module") == alias) | F.col("module").startswith(alias + "/")
+        local = local | hit
         target = F.when(hit, F.concat(F.lit(place), F.substring(F.col("module"), F.lit(len(alias) + 1), F.length("module")))).otherwise(target)
-    target = F.when(F.col("module").startswith("/"), F.col("module")).otherwise(target)
-    wanted = imports.filter(relative).select("project_id", "path", "module", "line", _normal(target).alias("_t"))
+    wanted = imports.filter(local).select("project_id", "path", "module", "line", _normal(target).alias("_t"))
     known = files.select("project_id", F.col("path").alias("resolved")).distinct()
     own = [(2 * i + k, middle + e) for i, e in enumerate(RESOLVED_ENDINGS) for k, middle in enumerate(("", "/index"))]
     tries = [F.when(F.col("resolved").endswith(tail), F.struct(F.lit(place).alias("place"), F.expr(f"left(resolved, length(resolved) - {len(tail)})").alias("_t")))

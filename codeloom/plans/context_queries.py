@@ -49,7 +49,7 @@ _TREE = """SELECT DISTINCT 'proj' AS project_id,'src/p'||(l_suppkey%50)||CASE l_
 
 
 @query("related_files", f"""
-WITH im AS (SELECT DISTINCT project_id,path,module,line FROM ({_REL}) WHERE NOT starts_with(module,'@')), fl AS ({_TREE}), tg AS (SELECT *,CASE WHEN starts_with(module,'./') THEN regexp_extract(path,'^(.*)/[^/]*$',1)||substr(module,2) WHEN starts_with(module,'../') THEN 'src'||substr(module,3) ELSE 'src'||substr(module,2) END AS t FROM im),
+WITH im AS (SELECT DISTINCT project_id,path,module,line FROM ({_REL})), fl AS ({_TREE}), tg AS (SELECT *,CASE WHEN starts_with(module,'./') THEN regexp_extract(path,'^(.*)/[^/]*$',1)||substr(module,2) WHEN starts_with(module,'../') THEN 'src'||substr(module,3) ELSE 'src'||substr(module,2) END AS t FROM im),
 ca AS (SELECT *,t AS r,99 AS pl FROM tg UNION ALL SELECT tg.*,t||e,p FROM tg,(VALUES ('.ts',0),('/index.ts',1),('.tsx',2),('/index.tsx',3),('.js',4),('/index.js',5)) v(e,p) WHERE NOT contains(regexp_extract(t,'[^/]*$'),'.')),
 be AS (SELECT path,module,line,arg_min(r,pl) AS resolved FROM ca JOIN fl ON fl.path=ca.r GROUP BY 1,2,3), un AS (SELECT path,resolved,arg_min(module,(line,module)) AS module,min(line) AS line FROM be GROUP BY 1,2)
 SELECT path,resolved,module FROM un""".replace("JOIN fl ON fl.path=ca.r", "JOIN (SELECT path AS fp FROM fl) f ON f.fp=ca.r"))

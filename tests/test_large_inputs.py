@@ -64,6 +64,17 @@ def test_an_import_meets_its_files_once(spark):
     assert first("LogicalRDD") < first("Generate")  # imports are not multiplied; names of files are
 
 
+def test_aliased_imports_lead_to_files(spark):
+    files = spark.createDataFrame([("p", path) for path in ("src/p1/a.ts", "src/b/index.js", "lib/c.py", "lib/x/d.ts", "src/x/d.ts", "src/index.ts", "@/p1/a.ts", "app/@b.ts")], "project_id string, path string")
+    modules = ["@/p1/a.ts", "@/p1/a", "@/b", "@", "@lib/c", "@/x/d", "~/c", "/abs/c", "@b", "react", "./@b", "@/nowhere", None]
+    imports = spark.createDataFrame([("p", f"app/m{line}.ts", module, line) for line, module in enumerate(modules)], "project_id string, path string, module string, line int")
+    aliases = {"@/x": "lib/x", "@": "src", "@lib": "/lib", "~": "./lib", "/abs": "lib"}
+    got = {(r.module, r.resolved) for r in context.related_files(imports, files, aliases).collect()}
+    assert got == {("@/p1/a.ts", "src/p1/a.ts"), ("@/p1/a", "src/p1/a.ts"), ("@/b", "src/b/index.js"), ("@", "src/index.ts"), ("@lib/c", "lib/c.py"),
+                   ("@/x/d", "lib/x/d.ts"), ("~/c", "lib/c.py"), ("/abs/c", "lib/c.py"), ("./@b", "app/@b.ts")}
+    assert {r.module for r in context.related_files(imports, files).collect()} == {"./@b"}
+
+
 def matched(rows):
     """Pairs by the six rules in turn, for references without variables."""
     ends = defaultdict(int)
