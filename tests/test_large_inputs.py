@@ -184,3 +184,37 @@ def test_the_mesh_before_a_sync_is_joined_once(spark, tmp_path, monkeypatch):
     moved = {r.file for r in rows if r.kind == "node" and r.file.endswith(("/c1.py", "/c3.py", "/c11.py"))}
     assert moved == {"src/moved/c3.py"}  # 1 and 11 are deleted
     assert {r.source for r in rows if r.kind == "edge" and r.file == "src/moved/c3.py"} == {"c3-m", "o3-m"}
+
+
+def test_tables_are_joined_and_merged_a_slice_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "SLICE_ROWS", 25)
+    left = [(f"k{i % 9}" if i % 7 else None, i) for i in range(60)]
+    right = [(f"k{i % 12}" if i % 5 else None, i) for i in range(30)]
+    tables = spark.createDataFrame(left, "a string, x int"), spark.createDataFrame(right, "b string, y int")
+    for how in ("inner", "left"):
+        want = [(a, x, y) for a, x in left for b, y in right if a is not None and a == b]
+        want += [(a, x, None) for a, x in left if how == "left" and a not in {b for b, _ in right if b}]
+        with store.joined(*tables, ("a", "b"), how, ["a", "x", "y"]) as table:
+            assert sorted(map(str, map(tuple, table.collect()))) == sorted(map(str, want))
+            assert len({r.f for r in table.select(F.input_file_name().alias("f")).collect()}) > 1
+
+    schema = "id string, name string, file string, line_start int, project_id string, branch string"
+    drawn = "from_id string, to_id string, type string, target_name string, in_file boolean, project_id string, branch string, file string"
+    nodes = [(f"n{i}", f"f{i % 7}", f"a{i % 5}.py", i, f"p{i % 3}", ("main", "dev/x")[i % 2]) for i in range(60)] + [("gone", "f1", "b.py", 1, "q", "main"), ("stays", "f1", "c.py", 1, "r", "main")]
+    edges = [(n[0], "x", "CALLS", f"f{i % 8}", False, n[4], n[5], n[2]) for i, n in enumerate(nodes)]
+    paths = [str(tmp_path / name) for name in ("nodes", "edges")]
+    old = spark.createDataFrame(nodes, schema), spark.createDataFrame(edges, drawn)
+    store.write_branches(old[0], paths[0])
+    store.write_branches(store.bind_targets(old[1], old[0]), paths[1])
+    files = [(n[4], n[5], "a2.py") for n in nodes[:6]] + [("q", "main", "b.py"), ("r", "main", "b.py"), (None, "main", "b.py"), ("none", "main", "b.py")]
+    new = [df.filter("file = 'a2.py'").withColumn(c, F.concat(c, F.lit("-2"))) for df, c in zip(old, ("id", "from_id"))]
+    want = [a.filter("file NOT IN ('a2.py', 'b.py')").unionByName(b) for a, b in zip(old, new)]
+    writes, write = [], store.write_branches
+    monkeypatch.setattr(store, "write_branches", lambda rows, path: writes.append((path, {tuple(r) for r in rows.select(*store.KEYS).distinct().collect()})) or write(rows, path))
+    store.merge_mesh_stored(spark, *new, spark.createDataFrame(files, "project_id string, branch string, file string"), *paths)
+    for path, rows in zip(paths, (want[0], store.bind_targets(want[1], want[0]))):
+        got = spark.read.parquet(path)
+        columns = sorted(got.columns)
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, rows.select(columns).collect()))
+        parts = [keys for where, keys in writes if where == path]
+        assert len(parts) > 2 and sum(map(len, parts)) == len(set.union(*parts)) == 7
