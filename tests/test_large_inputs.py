@@ -8,7 +8,8 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import context, linking, mesh, review
+from codeloom import session
+from codeloom.operators import context, extraction, linking, mesh, review
 from codeloom.plans import catalog, fixtures
 from codeloom.sources import store
 
@@ -187,7 +188,7 @@ def test_the_mesh_before_a_sync_is_joined_once(spark, tmp_path, monkeypatch):
 
 
 def test_tables_are_joined_and_merged_a_slice_at_a_time(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(store, "SLICE_ROWS", 25)
+    monkeypatch.setattr(session, "SLICE_ROWS", 25)
     left = [(f"k{i % 9}" if i % 7 else None, i) for i in range(60)]
     right = [(f"k{i % 12}" if i % 5 else None, i) for i in range(30)]
     tables = spark.createDataFrame(left, "a string, x int"), spark.createDataFrame(right, "b string, y int")
@@ -218,3 +219,32 @@ def test_tables_are_joined_and_merged_a_slice_at_a_time(spark, tmp_path, monkeyp
         assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, rows.select(columns).collect()))
         parts = [keys for where, keys in writes if where == path]
         assert len(parts) > 2 and sum(map(len, parts)) == len(set.union(*parts)) == 7
+
+
+def test_nodes_are_opened_once_and_met_a_slice_at_a_time(spark, monkeypatch):
+    sources = [("p", f"m{i}.py", "python", f"import os\nclass A{i}(B):\n    def f(self):\n        return g()\nclass A{i}(C): pass\n") for i in range(20)]
+    sources += [("p", "r.py", "python", "from fastapi import APIRouter\nrouter = APIRouter()\n@router.get('/x')\nasync def x(q):\n    return 1\n")]
+    files = spark.createDataFrame(sources, "project_id string, path string, language string, content string")
+    schemas = F.transform(F.array(F.lit("base-python"), F.lit("fastapi")), lambda s: F.struct(s.alias("schema")))
+    nodes, edges = extraction.extract_mesh(files.withColumn("schemas", schemas))
+    prepared = extraction.with_nodes(extraction.find_matches(files.withColumn("schemas", schemas)))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(nodes) == rows(extraction.extract_nodes(prepared))
+    kinds = {r.type: r["count"] for r in edges.groupBy("type").count().collect()}
+    assert set(kinds) == {"IMPORTS", "INHERITS", "CALLS", "HANDLED_BY", "CONTAINS"} and kinds["CONTAINS"] == nodes.filter("type <> 'File'").count()
+    asked = edges.filter("type = 'CONTAINS'")
+    assert not any("Generate" in line for line in plan_of(asked)) and sum("parquet" in line for line in plan_of(asked)) == 1
+    assert not any("Generate" in line for line in plan_of(nodes))
+
+    odd = spark.createDataFrame([("bare", "Class", "p", "m1.py"), (None, "Class", "p", "m1.py"), ("bare", "Class", "p", "m2.py"), ("lost", "Class", None, "m2.py")], "id string, type string, project_id string, file string")
+    some = nodes.select(odd.columns).unionByName(odd)
+    drawn = edges.filter("type <> 'CONTAINS' OR to_id < '8'").select("to_id", "type").unionByName(spark.createDataFrame([(None, "CONTAINS")], "to_id string, type string"))
+    whole = rows(extraction.contains_default(some, drawn))
+    taken = {r.to_id for r in drawn.filter("type = 'CONTAINS'").collect()}
+    home = {r.file: r.id for r in some.filter("type = 'File'").collect()}
+    want = sorted((home[r.file], r.id) for r in some.filter("type <> 'File'").collect() if r.project_id and r.id is not None and r.id not in taken)
+    monkeypatch.setattr(session, "SLICE_ROWS", 30)
+    found = extraction.contains_default(some, drawn)
+    assert rows(found) == whole
+    assert sorted((r.from_id, r.to_id) for r in found.collect() if r.to_id is not None) == want and sum(r.to_id is None for r in found.collect()) == 1
+    assert not any("LeftAnti" in line for line in plan_of(found))  # written down slice by slice
