@@ -251,3 +251,35 @@ def test_scopes_of_a_large_file_are_quick():
         found = kind(lines)
         assert [found.end(k * 15 + 1) for k in range(2000)] == [k * 15 + 15 for k in range(2000)]
         assert time.process_time() - began < 3
+
+
+def test_an_expression_runs_only_where_its_required_text_is():
+    wanted = {r"^from\s+(\w+)\s+import": "import", r"(?:app|router)\.get\(": ".get(", r"a(?:bc)?de": "de", r"(?:abc)+x": "abc", r"x(?!long)y": "x", r"(?i)class": "",
+              r"long|short": "", r"(?i:long)s": "s", r"[abc]\d": "", r"(?:ab){0,2}": "", r"(ab)(cd)": "abcd", r"ab??c": "a", r"a\bb$": "ab", r"(?>xy)z": "z"}
+    rng = random.Random(4)
+    for rule, text in wanted.items():
+        found = re.compile(rule)
+        assert extraction.required_text(found) == text, rule
+        for _ in range(300):
+            some = "".join(rng.choices(["a", "b", "ab", "bc", "cd", "de", "x", "y", "xy", "z", "long", "LONG", "s", "1", "class", " import", "from q", "app.get("], k=6))
+            assert text in some or not found.search(some)
+    rules = extraction.compiled(PATTERNS)
+    for content in (PYTHON, TYPESCRIPT, JAVA, GO, RUST, CSHARP):
+        assert all(extraction.required_text(rule) in m[0] for rule in rules.values() for m in rule.finditer(content))
+    assert sum(extraction.required_text(rule) != "" for rule in rules.values()) == len(rules)
+
+
+def test_ends_of_scopes_near_and_far():
+    rng = random.Random(6)
+    for size in (1, 5, scopes.NEAR, scopes.NEAR + 1, 40, 300):
+        lines = [" " * rng.choice([0, 2, 4, 4, 4, 4, 4, 4, 6, 8]) + rng.choice(["x", "x", "x", "# c", ""]) for _ in range(size)]
+        found = scopes.IndentScopes(lines)
+        depth = [len(line) - len(line.lstrip()) for line in lines]
+        for start in range(1, size + 1):
+            last = start
+            for k in range(start, size):
+                if lines[k].strip() and not lines[k].lstrip().startswith("#"):
+                    if depth[k] <= depth[start - 1]:
+                        break
+                    last = k + 1
+            assert found.end(start) == max(last, start + 1)
